@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import simhash
+from tallyspark.llm import bpe, secrets, simhash, warc
 from tallyspark.llm.common import table
 
 
+def op2_warc_archive(spark, sf_dir):
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_secret_scan(spark, sf_dir):
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_bpe_round_trip(spark, sf_dir):
+    return bpe.encode_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 def queries():
     return {
+        "op2_warc_archive": op2_warc_archive,
+        "op3_secret_scan": op3_secret_scan,
+        "op4_bpe_round_trip": op4_bpe_round_trip,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
     }
 
