@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, secrets, simhash, warc
+from tallyspark.llm import bpe, langid, media, secrets, simhash, toxicity, warc
 from tallyspark.llm.common import table
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc_archive(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -18,15 +22,26 @@ def op4_bpe_round_trip(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark, sf_dir):
+    return langid.identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_media_tiff(spark, sf_dir):
+    return media.store_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 def queries():
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_warc_archive": op2_warc_archive,
         "op3_secret_scan": op3_secret_scan,
         "op4_bpe_round_trip": op4_bpe_round_trip,
+        "op5_language_id": op5_language_id,
+        "op6_media_tiff": op6_media_tiff,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
     }
 
