@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, langid, media, secrets, simhash, toxicity, warc
+from tallyspark.llm import bpe, langid, media, packing, secrets, simhash, toxicity, warc
 from tallyspark.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_media_tiff(spark, sf_dir):
     return media.store_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_mixture_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def queries():
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_language_id": op5_language_id,
         "op6_media_tiff": op6_media_tiff,
+        "op7_mixture_packing": op7_mixture_packing,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
     }
 
