@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, langid, media, packing, secrets, simhash, toxicity, warc
+from tallyspark.llm import bpe, embeddings, langid, media, packing, secrets, simhash, toxicity, warc
 from tallyspark.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark, sf_dir):
+    return embeddings.cosine_components(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {
         "op1_toxicity": op1_toxicity,
@@ -48,6 +52,7 @@ def queries():
         "op6_media_tiff": op6_media_tiff,
         "op7_mixture_packing": op7_mixture_packing,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
