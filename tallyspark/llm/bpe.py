@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import slices, small_batches
+from tallyspark.llm.common import map_rows, slices
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -188,8 +188,6 @@ def tokenizer(path: str) -> BpeTokenizer:
 def encode_columns(df: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, ids array<int>, decoded string) per row; a null text is empty and has no ids."""
     path = path or public_tokenizers.path(WORD_VOCABULARY)
-    source = small_batches(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")))
-    kind = dict(source.dtypes)["id"]
 
     def run(batches):
         own = tokenizer(path)
@@ -197,14 +195,13 @@ def encode_columns(df: DataFrame, path: str | None = None, id_column: str = "doc
             ids = own.encode_batch([t or "" for t in b["text"]])
             yield pd.DataFrame({"id": b["id"], "ids": [x.astype(np.int32) for x in ids], "decoded": [own.decode(x) for x in ids]})
 
-    return source.mapInPandas(run, f"id {kind}, ids array<int>, decoded string")
+    return map_rows(df, id_column, {"text": F.col(text_column)}, run, "ids array<int>, decoded string")
 
 
 def encode_digests(df: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts have no
     ids; null and repeated doc_ids and repeated rows stay as they are."""
     path = path or public_tokenizers.path(WORD_VOCABULARY)
-    source = small_batches(df.select("doc_id", "text"))
 
     def run(batches):
         own = tokenizer(path)
@@ -213,11 +210,12 @@ def encode_digests(df: DataFrame, path: str | None = None) -> DataFrame:
             ids = own.encode_batch([t or "" for t in b["text"]])
             yield pd.DataFrame(
                 {
-                    "doc_id": b["doc_id"],
+                    "id": b["id"],
                     "n_tokens": [len(x) for x in ids],
                     "ids_sha256": [sha(x.tobytes()) for x in ids],
                     "decoded_sha256": [sha(own.decode(x).encode()) for x in ids],
                 }
             )
 
-    return source.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = map_rows(df, "doc_id", {"text": F.col("text")}, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.withColumnRenamed("id", "doc_id")

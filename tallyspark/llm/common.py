@@ -27,6 +27,17 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def map_rows(df: DataFrame, id_column: str, columns: dict[str, Column], run, schema: str, rows: int = 1000) -> DataFrame:
+    """``mapInPandas`` over ``id`` and ``columns``, yielding ``id`` and the columns of ``schema``.
+
+    The id travels as text and gets its type back afterwards, so that null ids do not turn integer
+    ids into floats.
+    """
+    kind = dict(df.dtypes)[id_column]
+    source = small_batches(df.select(F.col(id_column).cast("string").alias("id"), *(c.alias(n) for n, c in columns.items())), rows)
+    return source.mapInPandas(run, f"id string, {schema}").withColumn("id", F.col("id").cast(kind))
+
+
 def slices(sizes: list[int], budget: int) -> Iterator[tuple[int, int]]:
     """Index ranges whose sizes add up to about ``budget`` (one item at least)."""
     start = total = 0

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import discard, materialize, small_batches
+from tallyspark.llm.common import discard, map_rows, materialize, small_batches
 from tallyspark.operators.components import connected_components
 
 THRESHOLD = 0.9
@@ -94,8 +94,6 @@ def _units(vectors: list[bytes]) -> np.ndarray:
 
 def _rows(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(id, key, vec): vec holds the doubles of a vector that can link, key its digest; both null else."""
-    source = small_batches(df.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("v")), 2000)
-    kind = dict(source.dtypes)["id"]
 
     def one(v):
         if v is None or len(v) == 0:
@@ -108,7 +106,7 @@ def _rows(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
             vec = [one(v) for v in b["v"]]
             yield pd.DataFrame({"id": b["id"], "key": [v and hashlib.blake2b(v, digest_size=16).hexdigest() for v in vec], "vec": vec})
 
-    return source.mapInPandas(run, f"id {kind}, key string, vec binary")
+    return map_rows(df, id_column, {"v": F.col(vector_column).cast("array<double>")}, run, "key string, vec binary", rows=2000)
 
 
 def _runs(batches, by: list[str]):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallyspark.llm.common import discard, fold, materialize, slices, small_batches
+from tallyspark.llm.common import discard, fold, map_rows, materialize, slices
 
 SAMPLE_ROWS = 20_000
 MAX_WORDS = 20_000
@@ -133,8 +133,6 @@ def predict_texts(model: LanguageModel, texts: list[str | None], memo: dict) ->
 
 def identify(df: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, lang_pred, score) per row: ``und`` and 0 where the text is null, empty or has no letter."""
-    source = small_batches(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")))
-    kind = dict(source.dtypes)["id"]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -143,7 +141,7 @@ def identify(df: DataFrame, model: LanguageModel, id_column: str = "doc_id", tex
             langs, scores = predict_texts(shared.value, list(b["text"]), memo)
             yield pd.DataFrame({"id": b["id"], "lang_pred": langs, "score": scores})
 
-    return source.mapInPandas(run, f"id {kind}, lang_pred string, score double")
+    return map_rows(df, id_column, {"text": F.col(text_column)}, run, "lang_pred string, score double")
 
 
 def identify_documents(df: DataFrame) -> DataFrame:

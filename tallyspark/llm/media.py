@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import small_batches
+from tallyspark.llm.common import map_rows
 
 # Fixed values of the TIFF 6.0 specification: tags, field types, compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -294,8 +294,6 @@ def _page(data: bytes, tags: dict[int, tuple], order: str, number: int) -> Page:
 def pages(df: DataFrame, id_column: str, media_column: str) -> DataFrame:
     """One row per page of each TIFF: (id, page, width, height, bits, samples, compression, tiled,
     mean, pixels, error). Null media give no row; broken media give a last row with ``error`` set."""
-    source = small_batches(df.select(F.col(id_column).alias("id"), F.col(media_column).alias("media")).where("media is not null"), 100)
-    kind = dict(source.dtypes)["id"]
     names = ["id", "page", "width", "height", "bits", "samples", "compression", "tiled", "mean", "pixels", "error"]
 
     def rows(key, data):
@@ -310,9 +308,11 @@ def pages(df: DataFrame, id_column: str, media_column: str) -> DataFrame:
     def run(batches):
         for b in batches:
             found = [r for key, data in zip(b["id"], b["media"], strict=True) for r in rows(key, bytes(data))]
-            yield pd.DataFrame(found, columns=names)
+            yield pd.DataFrame(found, columns=names, dtype=object)
 
-    return source.mapInPandas(run, f"id {kind}, page int, width int, height int, bits int, samples int, compression int, tiled boolean, mean double, pixels binary, error string")
+    # a broken file's row has no numbers, which pandas would turn into floats: object columns keep them
+    schema = "page int, width int, height int, bits int, samples int, compression int, tiled boolean, mean double, pixels binary, error string"
+    return map_rows(df.where(F.col(media_column).isNotNull()), id_column, {"media": F.col(media_column)}, run, schema, rows=100)
 
 
 def store_payload(payload: bytes) -> bytes:
@@ -343,8 +343,7 @@ def features(data: bytes) -> tuple[bytes, str]:
 def store_documents(df: DataFrame) -> DataFrame:
     """Each text as UTF-8 padded with zero bytes to a positive multiple of 64, stored as TIFF, read
     back and described. Null texts are empty; null ids and repeated rows stay as they are."""
-    source = small_batches(df.select("doc_id", "text"), 500)
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def row(key, text):
         raw = (text or "").encode("utf-8")
@@ -354,6 +353,7 @@ def store_documents(df: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame([row(k, t) for k, t in zip(b["doc_id"], b["text"], strict=True)], columns=names)
+            yield pd.DataFrame([row(k, t) for k, t in zip(b["id"], b["text"], strict=True)], columns=names)
 
-    return source.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    out = map_rows(df, "doc_id", {"text": F.col("text")}, run, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", rows=500)
+    return out.withColumnRenamed("id", "doc_id")

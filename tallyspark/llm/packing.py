@@ -35,7 +35,7 @@ MAX_SOURCES = 1_000
 SLACK = 0.05
 SEPARATOR = 0
 OTHER = "\0other"
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 @functools.lru_cache(maxsize=2)
@@ -208,7 +208,7 @@ def pack(
     filling. Null ids and repeated rows are packed like any other; an empty table gives no row.
     """
     path = path or public_tokenizers.path(BYTE_VOCABULARY)
-    docs = df.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.coalesce(F.col(source_column).cast("string"), F.lit("\0null")).alias("source"))
+    docs = df.select(F.col(id_column).cast("string").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.coalesce(F.col(source_column).cast("string"), F.lit("\0null")).alias("source"))
     shares, total = _shares(docs, targets)
     names = sorted(shares)
     share = np.array([shares[s] for s in names])
@@ -223,7 +223,7 @@ def pack(
         shard = int(group["shard"].iloc[0])
         done = queues.cut(slices)
         sizes = np.array([len(x) for x in ids])
-        doc, owner = group["doc_id"].astype("Int64"), group["source"].to_numpy()
+        doc, owner = group["doc_id"], group["source"].to_numpy()
         out = pd.DataFrame(
             {
                 "doc_id": doc.take(done["row"]).reset_index(drop=True), "start": done["skip"], "length": done["length"], "ids_crc32": done["ids_crc32"],
@@ -240,7 +240,7 @@ def pack(
                 "kind": 1, "shard": shard, "source": [owner[r] for r in rows], "ids": [x for _, _, x in left], "owed": 0.0,
             }
         )
-        debt = pd.DataFrame({"doc_id": pd.array([None] * len(names), dtype="Int64"), "start": 0, "length": 0, "ids_crc32": 0, "doc_tokens": 0, "sequence_id": 0, "offset": 0, "kind": 2, "shard": shard, "source": names, "ids": None, "owed": owed})
+        debt = pd.DataFrame({"doc_id": [None] * len(names), "start": 0, "length": 0, "ids_crc32": 0, "doc_tokens": 0, "sequence_id": 0, "offset": 0, "kind": 2, "shard": shard, "source": names, "ids": None, "owed": owed})
         return pd.concat([out, rest, debt[debt["owed"] != 0]], ignore_index=True)[columns]
 
     schema = PIECES + ", kind int, shard long, source string, ids binary, owed double"
@@ -265,11 +265,12 @@ def pack(
         pool = int(owed_rows["pool"].iloc[0]) if len(owed_rows) else int(group["pool"].iloc[0])
         return pd.DataFrame(
             {
-                "doc_id": group["doc_id"].astype("Int64").take(row).reset_index(drop=True), "start": group["start"].to_numpy()[row] + done["skip"], "length": done["length"], "ids_crc32": done["ids_crc32"],
+                "doc_id": group["doc_id"].take(row).reset_index(drop=True), "start": group["start"].to_numpy()[row] + done["skip"], "length": done["length"], "ids_crc32": done["ids_crc32"],
                 "doc_tokens": group["doc_tokens"].to_numpy()[row], "sequence_id": ((np.int64(1) << 30) + pool << 32) + done["sequence"].astype(np.int64), "offset": done["offset"],
             }
         )
 
     small_batches(one)
     two = one.where("kind > 0").withColumn("pool", F.col("shard") % pools).groupBy("pool").applyInPandas(second_round, PIECES)
-    return one.where("kind = 0").select(*[c.split()[0] for c in PIECES.split(", ")]).unionByName(two)
+    packed = one.where("kind = 0").select(*[c.split()[0] for c in PIECES.split(", ")]).unionByName(two)
+    return packed.withColumn("doc_id", F.col("doc_id").cast(dict(df.dtypes)[id_column]))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, embeddings, langid, media, packing, secrets, simhash, toxicity, warc
+import corpus_pipeline
+from tallyspark.llm import bpe, embeddings, langid, media, packing, paragraphs, secrets, simhash, toxicity, warc
 from tallyspark.llm.common import table
 
 
@@ -38,10 +39,18 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return paragraphs.dedup_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_near_dedup(spark, sf_dir):
     return embeddings.cosine_components(table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
         "op1_toxicity": op1_toxicity,
@@ -52,7 +61,9 @@ def queries():
         "op6_media_tiff": op6_media_tiff,
         "op7_mixture_packing": op7_mixture_packing,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
+        "pipeline": pipeline,
     }
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import discard, materialize, small_batches
+from tallyspark.llm.common import discard, map_rows, materialize
 from tallyspark.operators.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -54,15 +54,13 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS, seed: int = SEED)
 
 def with_fingerprints(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long."""
-    source = small_batches(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")))
-    kind = dict(source.dtypes)["id"]
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"id": b["id"], "fp": fps})
 
-    return source.mapInPandas(run, f"id {kind}, fp long")
+    return map_rows(df, id_column, {"text": F.col(text_column)}, run, "fp long")
 
 
 def _popcounts(fp: Column) -> Column:

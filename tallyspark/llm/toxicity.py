@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import discard, fold, materialize, small_batches
+from tallyspark.llm.common import discard, fold, map_rows, materialize, small_batches
 from tallyspark.llm.langid import bounded_sample
 
 SAMPLE_ROWS = 20_000
@@ -291,8 +292,6 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
 
 def score(df: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, score) per row; null and empty texts get the score of a text without hits."""
-    source = small_batches(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")))
-    kind = dict(source.dtypes)["id"]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -300,7 +299,7 @@ def score(df: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_c
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "score": [scorer.score(t) for t in b["text"]]})
 
-    return source.mapInPandas(run, f"id {kind}, score double")
+    return map_rows(df, id_column, {"text": F.col(text_column)}, run, "score double")
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -326,9 +325,10 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(labelled_rows(docs, labels))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
-        for b in batches:
-            yield b[[scorer.score(t) < 0.5 for t in b["text"]]]
+        for part in texts:
+            yield pd.Series([scorer.score(t) for t in part], dtype="float64")
 
-    return small_batches(docs).mapInPandas(run, docs.schema)
+    return small_batches(docs).where(scored("text") < 0.5)
