@@ -1,4 +1,7 @@
-"""Registered queries over the driver's tables, each with its SQL twin."""
+"""Registered queries over the driver's tables, each with its SQL twin where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tallyspark.plans import attendance
+
+MODULES = (attendance,)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
