@@ -84,6 +84,11 @@ def claims_schema(row_id: str, item_id: str) -> str:
     return f"{row_id} long, {item_id} long"
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """The same rows under columns of their own, so both sides may come from one table."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
 def first_fit(rows: DataFrame, items: DataFrame, keys: Sequence[str], row_id: str, item_id: str, absolute: float = 30.0, relative: float = 0.08) -> DataFrame:
     """(row_id, item_id) claims: rows (row_id, seq, length, qty) in their order take the shortest
     unused items (item_id, length) within max(absolute, relative * length), ``qty`` at most."""
@@ -103,7 +108,7 @@ def first_fit(rows: DataFrame, items: DataFrame, keys: Sequence[str], row_id: st
                     out.append((getattr(r, row_id), ids[i]))
         return pd.DataFrame(out, columns=[row_id, item_id])
 
-    return rows.groupBy(*keys).cogroup(items.groupBy(*keys)).applyInPandas(run, claims_schema(row_id, item_id))
+    return rows.groupBy(*keys).cogroup(_apart(items).groupBy(*keys)).applyInPandas(run, claims_schema(row_id, item_id))
 
 
 def nearest_fill(rows: DataFrame, items: DataFrame, keys: Sequence[str], row_id: str, item_id: str, absolute: float = 80.0, relative: float = 0.15) -> DataFrame:
@@ -121,7 +126,7 @@ def nearest_fill(rows: DataFrame, items: DataFrame, keys: Sequence[str], row_id:
                 out.append((getattr(r, row_id), i))
         return pd.DataFrame(out, columns=[row_id, item_id])
 
-    return rows.groupBy(*keys).cogroup(items.groupBy(*keys)).applyInPandas(run, claims_schema(row_id, item_id))
+    return rows.groupBy(*keys).cogroup(_apart(items).groupBy(*keys)).applyInPandas(run, claims_schema(row_id, item_id))
 
 
 def best_fit(rows: DataFrame, items: DataFrame, keys: Sequence[str], row_id: str, item_id: str, passes: Sequence[tuple[int, float, float]] = ((1, 0.75, 1.30), (2, 1.75, 2.45))) -> DataFrame:
@@ -146,7 +151,7 @@ def best_fit(rows: DataFrame, items: DataFrame, keys: Sequence[str], row_id: str
             waiting = rest
         return pd.DataFrame(out, columns=[row_id, item_id, "units"])
 
-    return rows.groupBy(*keys).cogroup(items.groupBy(*keys)).applyInPandas(run, claims_schema(row_id, item_id) + ", units long")
+    return rows.groupBy(*keys).cogroup(_apart(items).groupBy(*keys)).applyInPandas(run, claims_schema(row_id, item_id) + ", units long")
 
 
 def nearest_claim(labels: DataFrame, points: DataFrame, keys: Sequence[str], label_id: str, point_id: str, within: float = 250.0) -> DataFrame:
@@ -167,7 +172,7 @@ def nearest_claim(labels: DataFrame, points: DataFrame, keys: Sequence[str], lab
                 out.append((getattr(r, label_id), at))
         return pd.DataFrame(out, columns=[label_id, point_id])
 
-    return labels.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInPandas(run, claims_schema(label_id, point_id))
+    return labels.groupBy(*keys).cogroup(_apart(points).groupBy(*keys)).applyInPandas(run, claims_schema(label_id, point_id))
 
 
 def priority_pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
