@@ -15,15 +15,14 @@ import functools
 import hashlib
 import json
 import re
-import unicodedata
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tallyspark.llm.common import map_rows, slices
 
@@ -34,18 +33,15 @@ STORE_WORDS = 300_000
 SLICE_CHARS = 2_000_000
 
 # Characters whose classes Python's re and the splitting patterns agree on: ASCII, Latin letters
-# without U+0130, and common punctuation. Texts of these only take the fast patterns.
+# without U+0130, and common punctuation. Texts of these only take the fast patterns, others are split by the library.
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ƿǍ-ɏ"
 _MARKS = "!-/:-@\\[-`{-~¡£«»¿×÷–—‘’“”…€"
-_UNSAFE = re.compile(f"[^\t\n\r {_LETTERS}0-9{_MARKS}]")
+UNSAFE = re.compile(f"[^\t\n\r {_LETTERS}0-9{_MARKS}]")
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _WORDS = {
-    True: (re.compile(f"{_ENDINGS}|[{_LETTERS}]+|[0-9]|[{_MARKS}]+"), regex.compile(rf"{_ENDINGS}|\p{{L}}+|\p{{N}}|[^\p{{White_Space}}\p{{L}}\p{{N}}]+")),
-    False: (
-        re.compile(rf"{_ENDINGS}| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"),
-        regex.compile(rf"{_ENDINGS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\p{{White_Space}}\p{{L}}\p{{N}}]+|\p{{White_Space}}+(?!\P{{White_Space}})|\p{{White_Space}}+"),
-    ),
-}
+    True: re.compile(f"{_ENDINGS}|[{_LETTERS}]+|[0-9]|[{_MARKS}]+"),
+    False: re.compile(rf"{_ENDINGS}| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"),
+}
 
 
 def _byte_letters() -> list[str]:
@@ -78,10 +74,11 @@ class BpeTokenizer:
         self.last = np.array([vocab[c + self.suffix] for c in letters], dtype=np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], dtype=np.int64)
-        made = np.array([vocab[a + b] if not self.suffix else vocab[a + b] for a, b in pairs], dtype=np.int64)
+        made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
-        self.fast, self.slow = _WORDS[self.lower]
+        self.fast = _WORDS[self.lower]
+        self.library = Tokenizer.from_file(path)
         self._reset()
 
     def _reset(self) -> None:
@@ -97,11 +94,13 @@ class BpeTokenizer:
         return self._plain_words(text)
 
     def _plain_words(self, text: str) -> list[str]:
-        if _UNSAFE.search(text) is None:
+        if UNSAFE.search(text) is None:
             return self.fast.findall(text.lower() if self.lower else text)
-        if self.lower:
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        return self.slow.findall(text)
+        # which other characters are letters depends on the library's Unicode tables, so it splits
+        if self.library.normalizer:
+            text = self.library.normalizer.normalize_str(text)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(text)
+        return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in pieces]
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of ids of each word)."""

@@ -48,7 +48,9 @@ class CrossPolytope:
 
     def __init__(self, dim: int, width: int, tables: int = TABLES, probes: int = PROBES, seed: int = SEED):
         self.size = 1 << max(1, (dim - 1).bit_length())
-        self.dim, self.width, self.tables, self.probes = dim, width, tables, probes
+        self.dim, self.width, self.tables = dim, width, tables
+        self.choices = min(probes, self.size)  # a short vector has few coordinates to choose from
+        self.probes = min(probes, 1 + width * (self.choices - 1))
         self.signs = np.random.default_rng([seed, dim]).choice([-1.0, 1.0], size=(tables, width, 3, self.size))
 
     def keys(self, units: np.ndarray) -> np.ndarray:
@@ -63,7 +65,7 @@ class CrossPolytope:
                 for s in self.signs[t, w]:
                     y = hadamard(y * s)
                 size = np.abs(y)
-                best = np.argsort(-size, axis=1, kind="stable")[:, : self.probes]
+                best = np.argsort(-size, axis=1, kind="stable")[:, : self.choices]
                 sign = np.take_along_axis(y, best, 1) < 0
                 choices.append(best * 2 + sign)
                 top = np.take_along_axis(size, best, 1)
@@ -76,8 +78,8 @@ class CrossPolytope:
                 chosen = first.copy()
                 at = order[:, p] - 1
                 for w in range(self.width):
-                    own = (at >= w * (self.probes - 1)) & (at < (w + 1) * (self.probes - 1))
-                    chosen[own, w] = choices[w][own, at[own] - w * (self.probes - 1) + 1]
+                    own = (at >= w * (self.choices - 1)) & (at < (w + 1) * (self.choices - 1))
+                    chosen[own, w] = choices[w][own, at[own] - w * (self.choices - 1) + 1]
                 key = np.full(len(units), t, dtype=np.int64)
                 for w in range(self.width):
                     key = key * base + chosen[:, w]

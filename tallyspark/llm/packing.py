@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.bpe import BYTE_VOCABULARY, BpeTokenizer
+from tallyspark.llm import bpe
 from tallyspark.llm.common import materialize, small_batches
 
 LENGTH = 1024
@@ -42,15 +42,18 @@ PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens lon
 def fast_encoder(path: str) -> tiktoken.Encoding:
     """The byte-level vocabulary of a tokenizers file as an encoder of the same ids: in such a file
     a token's id is its rank."""
-    own = BpeTokenizer(path)
+    own = bpe.tokenizer(path)
     special = set(own.special.values())
     ranks = {bytes(own.byte_of[c] for c in t): i for i, t in enumerate(own.tokens) if t and i not in special}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=own.special)
 
 
 def encode(path: str, text: str | None) -> np.ndarray:
-    """Ids of a text, then the separator."""
-    ids = fast_encoder(path).encode((text or "").encode("utf-8", "replace").decode(), allowed_special="all")
+    """Ids of a text, then the separator. Texts with characters whose class depends on Unicode
+    tables are encoded over the library's own splitting."""
+    if bpe.UNSAFE.search(text or ""):
+        return np.append(bpe.tokenizer(path).encode_batch([text])[0], np.array([SEPARATOR], "<u4"))
+    ids = fast_encoder(path).encode(text or "", allowed_special="all")
     return np.array([*ids, SEPARATOR], dtype="<u4")
 
 
@@ -207,7 +210,7 @@ def pack(
     ``targets`` (source -> weight), sources it does not name share one queue of weight 0, packed as
     filling. Null ids and repeated rows are packed like any other; an empty table gives no row.
     """
-    path = path or public_tokenizers.path(BYTE_VOCABULARY)
+    path = path or public_tokenizers.path(bpe.BYTE_VOCABULARY)
     docs = df.select(F.col(id_column).cast("string").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.coalesce(F.col(source_column).cast("string"), F.lit("\0null")).alias("source"))
     shares, total = _shares(docs, targets)
     names = sorted(shares)
