@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyspark.llm import bpe, embeddings, langid, media, packing, paragraphs, secrets, simhash, toxicity, warc
+from tallyspark.llm import bpe, embeddings, langid, media, oracles, packing, paragraphs, secrets, simhash, toxicity, warc
 from tallyspark.llm.common import table
 
 
@@ -68,4 +68,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(oracles.ORACLES)
