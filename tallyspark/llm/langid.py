@@ -18,7 +18,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tallyspark.llm.common import discard, fold, map_rows, materialize, slices
 
@@ -28,7 +27,7 @@ MAX_GRAMS = 4_000
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 
 
 def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
@@ -71,7 +70,7 @@ class LanguageModel:
             text = f"^{word}$" if k > 1 else word
             found = [table[g] for g in (text[i : i + k] for i in range(len(text) - k + 1)) if g in table]
             if found:
-                return np.mean(found, axis=0)
+                return sum(found[1:], found[0]) / len(found)
         return np.zeros(max(len(self.languages), 1), dtype=np.float32)
 
 
@@ -89,8 +88,16 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, id_column: str = "d
     counts = materialize(sample.select("lang", tokens.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "lang-words")
 
     def top(table: DataFrame, by: list[str], most: int) -> pd.DataFrame:
-        order = Window.partitionBy(*by).orderBy(F.col("n").desc(), "word")
-        return table.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).select("lang", "word", "n").toPandas()
+        """The most frequent entries of each group, whole counts only, ``most`` of them or fewer."""
+        sizes = table.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("m")).toPandas().sort_values([*by, "n"], ascending=[True] * len(by) + [False])
+        fits = sizes[sizes.groupby(by)["m"].cumsum() <= most]
+        least = fits.groupby(by)["n"].min()
+        if least.empty:
+            return pd.DataFrame(columns=["lang", "word", "n"], dtype=object)
+        keys = [k if isinstance(k, tuple) else (k,) for k in least.index]
+        entries = [x for k, n in zip(keys, least, strict=True) for x in (F.lit("\0".join(map(str, k))), F.lit(int(n)))]
+        cut = F.create_map(*entries)[F.concat_ws("\0", *by)]
+        return table.where(F.col("n") >= cut).select("lang", "word", "n").toPandas()
 
     # a word of one document may be a name or a slip; two or more sightings make it known
     words = top(counts.where("n > 1"), ["lang"], MAX_WORDS)
@@ -108,26 +115,45 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, id_column: str = "d
     return model
 
 
-def predict_texts(model: LanguageModel, texts: list[str | None], memo: dict) -> tuple[list[str], list[float]]:
-    """Language and confidence of each text. ``memo`` keeps word scores between calls."""
-    langs: list[str] = []
-    scores: list[float] = []
-    for a, b in slices([len(t or "") for t in texts], 2_000_000):
-        split = [_WORD.findall((t or "").lower()) for t in texts[a:b]]
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = set(chain.from_iterable(split)).difference(memo)
-        memo.update((w, model.score(w)) for w in new)
-        for words in split:
-            if not words or not model.languages:
-                langs.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            mean = np.sum([memo[w] for w in words], axis=0, dtype=np.float64) / len(words)
-            gap = np.exp((mean - mean.max()) * min(len(words), 20))
-            best = int(mean.argmax())
-            langs.append(model.languages[best])
-            scores.append(float(gap[best] / gap.sum()))
+class WordScores:
+    """Scores of the words seen so far as rows of one matrix; emptied when it grows large."""
+
+    def __init__(self, model: LanguageModel):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.rows = np.zeros((0, max(len(self.model.languages), 1)), dtype=np.float32)
+
+    def sums(self, texts: list[list[str]]) -> np.ndarray:
+        """Summed scores of each word list; lists must not be empty."""
+        if len(self.index) > MEMO_WORDS:
+            self.clear()
+        new = list(set(chain.from_iterable(texts)).difference(self.index))
+        if new:
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+            self.rows = np.concatenate([self.rows, np.stack([self.model.score(w) for w in new])])
+        sizes = np.array([len(t) for t in texts])
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(sizes.sum()))
+        return np.add.reduceat(self.rows[at].astype(np.float64), np.cumsum(sizes) - sizes, axis=0)
+
+
+def predict_texts(words: WordScores, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and confidence of each text."""
+    languages = words.model.languages
+    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    for a, b in slices([len(t or "") for t in texts], 1_000_000):
+        split = {i: found for i in range(a, b) if languages and (found := _WORD.findall((texts[i] or "").lower()))}
+        if not split:
+            continue
+        sizes = np.array([len(w) for w in split.values()])
+        mean = words.sums(list(split.values())) / sizes[:, None]
+        gap = np.exp((mean - mean.max(axis=1, keepdims=True)) * np.minimum(sizes, 20)[:, None])
+        best = mean.argmax(axis=1)
+        sure = gap[np.arange(len(gap)), best] / gap.sum(axis=1)
+        for i, k, x in zip(split, best.tolist(), sure.tolist(), strict=True):
+            langs[i], scores[i] = languages[k], x
     return langs, scores
 
 
@@ -136,9 +162,9 @@ def identify(df: DataFrame, model: LanguageModel, id_column: str = "doc_id", tex
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        memo: dict = {}
+        words = WordScores(shared.value)
         for b in batches:
-            langs, scores = predict_texts(shared.value, list(b["text"]), memo)
+            langs, scores = predict_texts(words, list(b["text"]))
             yield pd.DataFrame({"id": b["id"], "lang_pred": langs, "score": scores})
 
     return map_rows(df, id_column, {"text": F.col(text_column)}, run, "lang_pred string, score double")

@@ -31,9 +31,9 @@ def test_held_out_accuracy(docs):
 def test_unseen_words_back_off(docs):
     model = L.fit(docs)
     assert "schverichungterung" not in model.words
-    assert L.predict_texts(model, ["schverichungterung", "tretreoisqueeauois"], {})[0] == ["bb", "cc"]
+    assert L.predict_texts(L.WordScores(model), ["schverichungterung", "tretreoisqueeauois"])[0] == ["bb", "cc"]
     # nothing known, not even a letter: no opinion, but a learned language is named
-    assert L.predict_texts(model, ["ж"], {})[0][0] in SOUNDS
+    assert L.predict_texts(L.WordScores(model), ["ж"])[0][0] in SOUNDS
 
 
 def test_known_words_come_first(docs):
