@@ -230,10 +230,10 @@ def dedup_documents(df: DataFrame) -> DataFrame:
     point spans, comma-joined) and component_id, the smallest doc_id reachable over shared
     paragraphs, itself included. Null and short texts have no paragraphs."""
     marked, links = repeated_paragraphs(df)
+    # rows that repeat an id and a text count once, so a list is no longer than its document
+    once = marked.select("id", "th", "pos", "start", "stop", "removed").distinct()
     spans = F.array_sort(F.collect_list(F.when(F.col("removed"), F.struct("start", "stop"))))
-    facts = marked.groupBy("id", "th").agg(
-        F.count_distinct("pos").alias("n_paragraphs"), F.array_distinct(spans).alias("spans")
-    )
+    facts = once.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n_paragraphs"), spans.alias("spans"))
     facts = materialize(facts.select(F.col("id").alias("fact_id"), F.col("th").alias("fact_th"), "n_paragraphs", "spans"), "facts")
     links = materialize(links, "doc-links")
     docs = df.select("doc_id", F.xxhash64("text").alias("th"))
