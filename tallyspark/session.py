@@ -45,6 +45,13 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return out
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every table that :func:`materialize` left below the shared folder. Results that are still
+    to be read go with them, so this is for the end of a job."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tallyspark")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` once nothing reads it any more."""
     path = getattr(df, "_tallyspark_path", None)
