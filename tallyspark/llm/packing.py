@@ -1,6 +1,6 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Documents are dealt to shards by a hash of id and text, so every shard holds every source about as
+Documents are dealt to shards by a hash of id, text and input partition, so every shard holds every source about as
 the corpus does, however large a source is. Within a shard each source is a queue of tokens. A
 window of ``WINDOW_SEQUENCES`` sequences is filled by giving each source its share of the window
 plus the deficit it carries; a source whose queue runs short keeps the difference as its deficit for
@@ -181,7 +181,7 @@ class Queues:
 def _shares(df: DataFrame, targets: dict[str, float] | None) -> tuple[dict[str, float], int]:
     """(source -> share of a window, bytes of all texts). Without ``targets`` a source's share is its
     part of the corpus' UTF-8 bytes. Beyond the largest ``MAX_SOURCES`` sources one queue holds the rest."""
-    sums = df.groupBy("source").agg(F.sum(F.octet_length("text") + 1).alias("n"))
+    sums = materialize(df.groupBy("source").agg(F.sum(F.octet_length("text") + 1).alias("n")), "pack-sources")
     total = sums.agg(F.sum("n")).first()[0] or 0
     top = {r["source"]: float(r["n"]) for r in sums.orderBy(F.col("n").desc(), "source").limit(MAX_SOURCES).collect()}
     if targets is not None:
@@ -214,6 +214,7 @@ def pack(
     docs = df.select(F.col(id_column).cast("string").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.coalesce(F.col(source_column).cast("string"), F.lit("\0null")).alias("source"))
     shares, total = _shares(docs, targets)
     names = sorted(shares)
+    place = {s: i for i, s in enumerate(names)}
     share = np.array([shares[s] for s in names])
     shards = max(1, -(-total // SHARD_BYTES))
     window = LENGTH * WINDOW_SEQUENCES
@@ -248,7 +249,8 @@ def pack(
 
     schema = PIECES + ", kind int, shard long, source string, ids binary, owed double"
     columns = [c.split()[0] for c in schema.split(", ")]
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
+    # the input partition spreads rows that repeat an id and a text
+    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(shards)))
     one = materialize(dealt.groupBy("shard").applyInPandas(first_round, schema), "pack-one")
 
     tokens = one.where("kind = 1").agg(F.sum("length")).first()[0] or 0
@@ -257,8 +259,7 @@ def pack(
     def second_round(group: pd.DataFrame) -> pd.DataFrame:
         owed_rows, group = group[group["kind"] == 2], group[group["kind"] == 1]
         owed = np.zeros(len(names))
-        for s, x in zip(owed_rows["source"], owed_rows["owed"], strict=True):
-            owed[names.index(s)] += x
+        np.add.at(owed, [place[s] for s in owed_rows["source"]], owed_rows["owed"].to_numpy())
         group = group.sort_values(["shard", "doc_id", "start", "ids"], na_position="first", kind="stable").reset_index(drop=True)
         ids = [np.frombuffer(x, "<u4") for x in group["ids"]]
         queues = Queues(names, [s if s in shares else OTHER for s in group["source"]], ids)
