@@ -147,7 +147,7 @@ def need_by_key(spark, sf_dir):
 def fragment_limits(spark, sf_dir):
     rows = sched(spark, sf_dir).where("dia is not null")
     bent = F.when(F.col("l_linenumber") > 3, F.col("len_mm"))
-    return rows.groupBy("dia").agg(F.round(F.max(bent) * 1.15, 2).alias("ceiling"), F.round(F.min("len_mm") * 0.5, 2).alias("floor"), F.bool_or(F.col("l_linestatus") == "F").alias("dowel_only"))
+    return rows.groupBy("dia").agg(F.round(F.max(bent) * 1.15, 4).alias("ceiling"), F.round(F.min("len_mm") * 0.5, 4).alias("floor"), F.bool_or(F.col("l_linestatus") == "F").alias("dowel_only"))
 
 
 def median_consensus(spark, sf_dir):
@@ -231,7 +231,7 @@ ORACLES = {
     "first_20_distinct": "SELECT DISTINCT p_name AS text FROM part ORDER BY 1 LIMIT 20",
     "overflow_report": "SELECT c_nationkey, array_to_string(list_transform(k[1:5], lambda x: CAST(x AS VARCHAR)), ', ') || CASE WHEN len(k) > 5 THEN ' +' || (len(k) - 5) || ' more' ELSE '' END AS shown FROM (SELECT c_nationkey, list_sort(list(c_custkey)) AS k FROM customer GROUP BY 1)",
     "need_by_key": SCHED + "SELECT dia, ROUND(SUM(wt * qty), 0) AS need_kg, MAX(qty) AS max_qty FROM sched WHERE dia IS NOT NULL GROUP BY dia",
-    "fragment_limits": SCHED + "SELECT dia, ROUND(MAX(len_mm) FILTER (WHERE l_linenumber > 3) * 1.15::DOUBLE, 2) AS ceiling, ROUND(MIN(len_mm) * 0.5::DOUBLE, 2) AS floor, bool_or(l_linestatus = 'F') AS dowel_only FROM sched WHERE dia IS NOT NULL GROUP BY dia",
+    "fragment_limits": SCHED + "SELECT dia, ROUND(MAX(len_mm) FILTER (WHERE l_linenumber > 3) * 1.15::DOUBLE, 4) AS ceiling, ROUND(MIN(len_mm) * 0.5::DOUBLE, 4) AS floor, bool_or(l_linestatus = 'F') AS dowel_only FROM sched WHERE dia IS NOT NULL GROUP BY dia",
     "median_consensus": """WITH m AS (SELECT l_suppkey, quantile_cont(l_extendedprice, 0.5) AS m FROM lineitem GROUP BY 1), j AS (SELECT l.l_suppkey, l_extendedprice AS v, m, abs(l_extendedprice - m) <= 0.2::DOUBLE * abs(m) AS close FROM lineitem l JOIN m ON l.l_suppkey = m.l_suppkey)
         SELECT l_suppkey, ROUND(CASE WHEN COUNT(*) FILTER (WHERE close) >= 2 THEN quantile_cont(v, 0.5) FILTER (WHERE close) ELSE MAX(m) END, 4) AS consensus, COUNT(*) FILTER (WHERE close) AS n_agreeing FROM j GROUP BY 1""",
     "weighted_mean_dia": SCHED + "SELECT panel, ROUND(SUM(dia * len_mm) / SUM(len_mm), 6) AS mean_dia FROM sched WHERE dia IS NOT NULL GROUP BY panel",
