@@ -74,7 +74,7 @@ def totals(rows: DataFrame) -> DataFrame:
 
 def share_of_max(table: DataFrame, value: str = "total_ms") -> DataFrame:
     """With ``bar_width``: percent of the largest value (at least 1), not under 2."""
-    top = F.greatest(F.max(value).over(Window.partitionBy()), F.lit(1))
+    top = F.greatest(table.agg(F.max(value)).scalar(), F.lit(1))
     return table.withColumn("bar_width", F.greatest(F.lit(2.0), F.col(value) * 100.0 / top))
 
 

@@ -100,8 +100,9 @@ def label_evidence(spark, sf_dir):
 
 def companion_views(spark, sf_dir):
     views = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("ents"), F.sum("p_size").alias("width"), F.avg("p_retailprice").alias("height"))
-    main = views.agg(F.max_by("width", F.struct("ents", "p_brand")).alias("w"), F.max_by("height", F.struct("ents", "p_brand")).alias("h"), F.max("ents").alias("e"))
-    out = views.join(main).where((F.abs(F.col("height") - F.col("h")) <= 0.02 * F.col("h")) & F.col("width").between(F.col("w") * 0.25, F.col("w") * 1.5) & (F.col("ents") >= 0.3 * F.col("e")))
+    best = views.agg(F.max_by(F.struct("width", "height", "ents"), F.struct("ents", "p_brand")).alias("m"))
+    w, h, e = (best.select(f"m.{c}").scalar() for c in ("width", "height", "ents"))
+    out = views.where((F.abs(F.col("height") - h) <= 0.02 * h) & F.col("width").between(w * 0.25, w * 1.5) & (F.col("ents") >= 0.3 * e))
     return out.select("p_brand", "ents", "width")
 
 
