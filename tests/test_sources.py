@@ -208,5 +208,5 @@ def test_sheets_are_written_apart(spark, tmp_path):
 
 
 def test_gate_log(spark):
-    lines = spark.createDataFrame([("[sheets_sync] synced E-1 (in) at 09:00:01",), ("GET / 200",)], "value string")
+    lines = spark.createDataFrame([("[mirror] synced E-1 (in) at 09:00:01",), ("GET / 200",)], "value string")
     assert [tuple(r) for r in schedules.gate_log(lines).collect()] == [("E-1", "in", "09:00:01")]
