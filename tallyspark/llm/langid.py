@@ -139,12 +139,17 @@ class WordScores:
         return np.add.reduceat(self.rows[at].astype(np.float64), np.cumsum(sizes) - sizes, axis=0)
 
 
+def _lettered(words: list[str]) -> bool:
+    """Whether a letter is among them: fractions and raised digits make words too."""
+    return any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w)
+
+
 def predict_texts(words: WordScores, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and confidence of each text."""
     languages = words.model.languages
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     for a, b in slices([len(t or "") for t in texts], 1_000_000):
-        split = {i: found for i in range(a, b) if languages and (found := _WORD.findall((texts[i] or "").lower()))}
+        split = {i: found for i in range(a, b) if languages and _lettered(found := _WORD.findall((texts[i] or "").lower()))}
         if not split:
             continue
         sizes = np.array([len(w) for w in split.values()])

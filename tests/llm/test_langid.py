@@ -32,6 +32,7 @@ def test_unseen_words_back_off(docs):
     model = L.fit(docs)
     assert "schverichungterung" not in model.words
     assert L.predict_texts(L.WordScores(model), ["schverichungterung", "tretreoisqueeauois"])[0] == ["bb", "cc"]
+    assert L.predict_texts(L.WordScores(model), ["½ ² 12 _", "x²"])[0] == ["und", L.predict_texts(L.WordScores(model), ["x²"])[0][0]]
     # nothing known, not even a letter: no opinion, but a learned language is named
     assert L.predict_texts(L.WordScores(model), ["ж"])[0][0] in SOUNDS
 
