@@ -44,7 +44,7 @@ _WORDS = {
 }
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable stand-in of each byte: itself where printable in Latin-1, else from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spare = iter(range(256, 512))
@@ -68,7 +68,7 @@ class BpeTokenizer:
         self.tokens[:] = ""
         for token, i in chain(vocab.items(), self.special.items()):
             self.tokens[i] = token
-        letters = _byte_letters()
+        letters = byte_letters()
         self.byte_of = {c: b for b, c in enumerate(letters)}
         self.first = np.array([vocab[c] for c in letters], dtype=np.int64)
         self.last = np.array([vocab[c + self.suffix] for c in letters], dtype=np.int64)
@@ -78,7 +78,7 @@ class BpeTokenizer:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
         self.fast = _WORDS[self.lower]
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self._reset()
 
     def _reset(self) -> None:
@@ -87,6 +87,10 @@ class BpeTokenizer:
         self.start = np.arange(len(self.special), dtype=np.int64)
         self.length = np.ones(len(self.special), dtype=np.int64)
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def words(self, text: str) -> list[str]:
         if "<|" in text and self.split_special.search(text):
             parts = self.split_special.split(text)

@@ -15,6 +15,7 @@ descending powers of two, which need no padding, so nothing is padded at all.
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 
 import numpy as np
@@ -29,8 +30,8 @@ from tallyspark.llm.common import materialize, small_batches
 
 LENGTH = 1024
 WINDOW_SEQUENCES = 16
-SHARD_BYTES = 16_000_000
-POOL_TOKENS = 8_000_000
+SHARD_BYTES = 8_000_000
+POOL_TOKENS = 4_000_000
 MAX_SOURCES = 1_000
 SLACK = 0.05
 SEPARATOR = 0
@@ -42,10 +43,12 @@ PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens lon
 def fast_encoder(path: str) -> tiktoken.Encoding:
     """The byte-level vocabulary of a tokenizers file as an encoder of the same ids: in such a file
     a token's id is its rank."""
-    own = bpe.tokenizer(path)
-    special = set(own.special.values())
-    ranks = {bytes(own.byte_of[c] for c in t): i for i, t in enumerate(own.tokens) if t and i not in special}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=own.special)
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    byte_of = {c: b for b, c in enumerate(bpe.byte_letters())}
+    ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items()}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def encode(path: str, text: str | None) -> np.ndarray:

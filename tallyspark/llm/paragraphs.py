@@ -33,7 +33,7 @@ THRESHOLD = 0.8
 BANDS = 12
 ROWS = 4
 BLOCK = 256
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 _RNG = np.random.default_rng(11)
 _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _MULTIPLY = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -113,7 +113,7 @@ def paragraph_table(df: DataFrame, id_column: str, text_column: str, min_words:
                 yield out
 
     columns = {"th": F.xxhash64(text_column), "text": F.col(text_column)}
-    return map_rows(df, id_column, columns, run, "th long, pos int, start int, stop int, words int, ph long, bands array<long>")
+    return map_rows(df, id_column, columns, run, "th long, pos int, start int, stop int, words int, ph long, bands array<long>", rows=300)
 
 
 def _line(text: Column, pos: Column) -> Column:

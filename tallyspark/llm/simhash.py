@@ -60,7 +60,7 @@ def with_fingerprints(df: DataFrame, id_column: str, text_column: str) -> DataFr
             fps = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"id": b["id"], "fp": fps})
 
-    return map_rows(df, id_column, {"text": F.col(text_column)}, run, "fp long")
+    return map_rows(df, id_column, {"text": F.col(text_column)}, run, "fp long", rows=500)
 
 
 def _popcounts(fp: Column) -> Column:
