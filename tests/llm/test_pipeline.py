@@ -1,3 +1,5 @@
+import pytest
+
 import __spark_entry__
 import corpus_pipeline
 from tallyspark.llm import packing, paragraphs, queries, secrets, simhash, toxicity
@@ -72,3 +74,17 @@ def test_registered():
     assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11)) and len(names) == 10
     assert "pipeline" in __spark_entry__.queries()
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES, ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, sf_dir, odd_docs, no_docs, name, stage):
+    out, none = stage(spark, odd_docs, sf_dir), stage(spark, no_docs, sf_dir)
+    assert none.collect() == [] and none.columns == out.columns
+    if name != "packing":
+        assert out.columns == odd_docs.columns and dict(out.dtypes) == dict(odd_docs.dtypes)
+    rows = out.collect()
+    if name in ("toxicity", "substring_dedup", "secret_scan"):
+        assert len(rows) == odd_docs.count()
+    texts = [r.text for r in odd_docs.collect()]
+    if name in ("toxicity", "secret_scan"):
+        assert sorted(map(str, texts)) == sorted(str(r.text) for r in rows)
