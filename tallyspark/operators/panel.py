@@ -353,7 +353,7 @@ def cap_to_need(bars: DataFrame, marks: DataFrame, kind_in: Sequence[str], prove
     rows = bars.withColumn("__cand", candidate)
     other = rows.where("not __cand").groupBy("panel", "dia").agg(F.sum("kg").alias("__other"))
     joined = rows.join(need, ["panel", "dia"], "left").join(other, ["panel", "dia"], "left")
-    run = Window.partitionBy("panel", "dia", "__cand").orderBy("seq", "bar_id").rowsBetween(0, Window.unboundedFollowing)
+    run = Window.partitionBy("panel", "dia", "__cand").orderBy(F.desc("seq"), F.desc("bar_id")).rowsBetween(Window.unboundedPreceding, 0)
     kept = joined.withColumn("__rest", F.sum("kg").over(run)).where(~F.col("__cand") | F.col("__need").isNull() | (F.col("__rest") <= F.col("__need") - F.coalesce("__other", F.lit(0.0)) + 1e-9))
     return kept.select(*bars.columns)
 
