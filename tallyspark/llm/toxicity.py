@@ -270,13 +270,10 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     lexicon stays empty and every score is low."""
     rows = labelled.where("text is not null and label in (0, 1)")
     sample = bounded_sample(rows, F.col("id"), sample_rows)
-    # texts that begin or end alike are most likely copies, which are one piece of evidence: of each
-    # such group the smallest id teaches
-    sample = materialize(sample, "tox-rows")
-    edges = sample.select("id", F.xxhash64(F.left("text", F.lit(60))).alias("head"), F.xxhash64(F.right("text", F.lit(60))).alias("tail"))
-    heads = edges.groupBy("head").agg(F.min(F.struct("id", "tail")).alias("f")).select("f.*")
-    taught = heads.groupBy("tail").agg(F.min("id").alias("id")).select("id")
-    sample = materialize(sample.join(taught, "id", "left_semi"), "tox-sample")
+    # equal texts of one label are one piece of evidence: of each such group the smallest id teaches
+    sample = materialize(sample.withColumn("row", F.monotonically_increasing_id()), "tox-rows")
+    copies = sample.groupBy(F.xxhash64("text").alias("th"), "label").agg(F.min(F.struct("id", "row")).alias("f"))
+    sample = materialize(sample.join(copies.select("f.row"), "row", "left_semi"), "tox-sample")
     words, stems, clean = _terms(sample)
     model = ToxicityModel(words, stems, clean)
 

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import toxicity as T
 
@@ -90,6 +91,24 @@ def test_held_out_labels_teach_nothing(frames, spark):
     assert key(T.score_documents(docs, labels).collect()) == key(T.score_documents(docs, flipped).collect())
 
 
+def test_texts_that_share_their_ends_all_teach(spark):
+    # one banner before and one licence behind every text; of equal texts with one label one teaches
+    rows, labels = corpus(240)
+    banner, licence = "all rights to this page are reserved by its owners and printers " * 2, " to be used under the terms of the licence that comes with it " * 2
+    rows = [(i, banner + text + licence) for i, text in rows]
+    docs = spark.createDataFrame(rows + [(1000 + i, text) for i, text in rows if i % 6 == 0], "doc_id long, text string")
+    known = spark.createDataFrame(labels + [(1000 + i, 1, t) for i, _, t in labels if i % 6 == 0], "doc_id long, quality int, toxic int")
+    both, once = T.fit(T.labelled_rows(docs, known).withColumn("id", F.col("id") % 1000)), T.fit(T.labelled_rows(docs, known).dropDuplicates(["text"]))
+    assert set(TERMS) <= set(both.words) | {t for t in TERMS if any(t.startswith(s) for s in both.stems)}
+    assert both.words == once.words and both.stems == once.stems
+
+
+def test_equal_texts_of_either_label_teach(spark):
+    rows = spark.createDataFrame([(i, f"plain words {i}" if i % 2 else f"snarfle words {i // 4 * 4}", int(i % 4 == 0)) for i in range(200)], "id long, text string, label int")
+    words = T.fit(rows).words
+    assert "snarfle" not in words  # as many clean texts as toxic ones hold it
+
+
 def test_odd_rows(odd_docs, no_docs, frames, spark):
     none = frames[1].where("false")
     rows = T.score_documents(odd_docs, none).collect()
