@@ -53,14 +53,14 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS, seed: int = SEED)
 
 
 def with_fingerprints(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+    """(id, th, fp): th is the hash of the text, fp the fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": b["id"], "fp": fps})
+            yield pd.DataFrame({"id": b["id"], "th": b["th"], "fp": fps})
 
-    return map_rows(df, id_column, {"text": F.col(text_column)}, run, "fp long", rows=500)
+    return map_rows(df, id_column, {"th": F.xxhash64(text_column), "text": F.col(text_column)}, run, "th long, fp long", rows=500)
 
 
 def _popcounts(fp: Column) -> Column:
@@ -122,6 +122,11 @@ def simhash_components(df: DataFrame, id_column: str = "doc_id", text_column: st
     component, and a component of null ids only has a null one. Repeated rows stay rows of their
     own. Other input columns are ignored.
     """
+    return _grouped(df, id_column, text_column).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, th, fp, label, component_id) of every row; label tells components of one name apart."""
     prints = materialize(with_fingerprints(df, id_column, text_column), "prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "fps")
     edges = link_fingerprints(distinct.select("fp"))
@@ -130,17 +135,19 @@ def simhash_components(df: DataFrame, id_column: str = "doc_id", text_column: st
         "fp", "least", F.coalesce("component", "fp").alias("label")
     )
     named = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    names = materialize(labelled.join(named, "label").select("fp", "component_id"), "names")
+    names = materialize(labelled.join(named, "label").select("fp", "label", "component_id"), "names")
     discard(edges)
-    return prints.join(names, "fp").select(
-        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return prints.join(names, "fp").select("id", "th", "fp", "label", "component_id")
 
 
 def simhash_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The input rows whose id names their component: one document of each group. Rows with a null
-    id stay only if their whole component has null ids; rows that repeat an id and its component
-    stay together."""
-    groups = simhash_components(df, id_column, text_column)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return df.join(kept, df[id_column].eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each group: of the rows whose id names their component, those of the text with
+    the least hash. Rows that repeat an id and a text stay together. A component of null ids keeps
+    one row."""
+    groups = _grouped(df, id_column, text_column).where(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = materialize(groups.groupBy("label").agg(F.min(F.struct("id", "th")).alias("k")).select(F.col("k.id").alias("__kept"), F.col("k.th").alias("__kept_th")).distinct(), "kept")
+    th = F.xxhash64(text_column)
+    named = df.join(kept.where("__kept is not null"), (df[id_column] == F.col("__kept")) & (th == F.col("__kept_th")), "left_semi")
+    nameless = df.where(df[id_column].isNull()).join(kept.where("__kept is null"), th == F.col("__kept_th"), "left_semi")
+    one = nameless.groupBy(th.alias("__th")).agg(F.any_value(F.struct(*(nameless[c] for c in nameless.columns))).alias("__row")).select("__row.*")
+    return named.unionByName(one)

@@ -92,3 +92,11 @@ def test_dedup_keeps_one_of_each_group(odd_docs):
     assert kept.columns == odd_docs.columns
     # ids 1 (twice: the rows repeat), 3 (no words), 6 and the last one name their components
     assert sorted(r.doc_id for r in kept.collect()) == [1, 1, 3, 6, 2**60 + 1]
+
+
+def test_dedup_decides_by_row(spark):
+    a, b, c, d = ("one two three four five", "six seven eight nine ten", "red green blue black white", "north south east west up")
+    # id 5 stands with two texts, of which b is document 1's; id 7 with two forms of one text
+    rows = [(1, b), (5, a), (5, b), (6, a), (7, c), (7, c.upper()), (None, d), (None, d), (None, d.upper()), (None, a)]
+    kept = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in kept) == [(0, d), (1, b), (5, a), (7, c)]
