@@ -58,10 +58,18 @@ c AS (SELECT a AS vec_id, MIN(b) AS component_id FROM reach GROUP BY a),
 n AS (SELECT a AS vec_id, COUNT(*) AS n_links FROM links GROUP BY a)
 SELECT c.vec_id, COALESCE(n.n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.vec_id"""
 
-SUBSTRINGS = r"""WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
-placed AS (SELECT doc_id, pos, line, length(line) AS n, CAST(COALESCE(SUM(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM lines),
-worded AS (SELECT *, list_filter(string_split_regex(lower(line), '[\x09-\x0d\x1c-\x20\x{85}\x{a0}]+'), lambda w: w <> '') AS w FROM placed WHERE n >= 39),
-paras AS (SELECT doc_id, pos, start, start + n AS stop, array_to_string(w, ' ') AS p FROM worded WHERE len(w) >= 20),
+_SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}"
+SUBSTRINGS = rf"""WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(text, '[^{_SPACE}]+') AS w, regexp_split_to_array(text, '[^{_SPACE}]+') AS gaps FROM documents WHERE text IS NOT NULL),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(gaps[1:len(w)]) AS gap, unnest(range(1, len(w) + 1)) AS i FROM split),
+words AS (SELECT doc_id, i, lower(word) AS word, CAST(SUM(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop, length(word) AS n FROM placed),
+texts AS (SELECT doc_id, list(word ORDER BY i) AS w, list(stop - n ORDER BY i) AS starts, list(stop ORDER BY i) AS stops FROM words GROUP BY doc_id),
+firsts AS (SELECT *, unnest(range(1, len(w) - 49)) AS i FROM texts WHERE len(w) >= 51),
+runs AS (SELECT doc_id, starts[i] AS start, stops[i + 50] AS stop, sha256(array_to_string(w[i:i + 50], ' ')) AS p FROM firsts),
+cut_runs AS (SELECT * FROM (SELECT doc_id, start, stop, MIN(doc_id) OVER (PARTITION BY p) AS keeper FROM runs) WHERE doc_id <> keeper),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+line_at AS (SELECT doc_id, line, CAST(SUM(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS BIGINT) AS stop FROM lines),
+worded AS (SELECT doc_id, stop - length(line) AS start, stop, list_filter(string_split_regex(lower(line), '[{_SPACE}]+'), lambda w: w <> '') AS w FROM line_at),
+paras AS (SELECT doc_id, start, stop, array_to_string(w, ' ') AS p FROM worded WHERE len(w) >= 51),
 kinds AS (SELECT p, row_number() OVER (ORDER BY p) AS k, string_split(p, ' ') AS w FROM (SELECT DISTINCT p FROM paras)),
 shingles AS (SELECT DISTINCT k, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM kinds),
 sizes AS (SELECT k, COUNT(*) AS n FROM shingles GROUP BY k),
@@ -69,12 +77,16 @@ shared AS (SELECT a.k AS a, b.k AS b, COUNT(*) AS m FROM shingles a JOIN shingle
 links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.k JOIN sizes y ON b = y.k WHERE m / CAST(x.n + y.n - m AS DOUBLE) >= 0.8),
 reach AS (SELECT k AS a, k AS b FROM kinds UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 classes AS (SELECT a AS k, MIN(b) AS class FROM reach GROUP BY a),
-marked AS (SELECT paras.*, row_number() OVER (PARTITION BY class ORDER BY doc_id, pos) > 1 AS removed, first_value(doc_id) OVER (PARTITION BY class ORDER BY doc_id, pos) AS keeper FROM paras JOIN kinds USING (p) JOIN classes USING (k)),
-edges AS (SELECT DISTINCT doc_id AS a, keeper AS b FROM marked WHERE removed AND doc_id <> keeper UNION SELECT DISTINCT keeper, doc_id FROM marked WHERE removed AND doc_id <> keeper),
+cut_lines AS (SELECT * FROM (SELECT doc_id, start, stop, MIN(doc_id) OVER (PARTITION BY class) AS keeper FROM paras JOIN kinds USING (p) JOIN classes USING (k)) WHERE doc_id <> keeper),
+cut AS (SELECT * FROM cut_runs UNION ALL SELECT * FROM cut_lines),
+begun AS (SELECT *, CASE WHEN start <= MAX(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM cut),
+islands AS (SELECT *, SUM(new) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM begun),
+spans AS (SELECT doc_id, MIN(start) AS start, MAX(stop) AS stop FROM islands GROUP BY doc_id, island),
+facts AS (SELECT doc_id, COUNT(*) AS n_removed, CAST(SUM(stop - start) AS BIGINT) AS removed_chars, string_agg(start || ':' || stop, ',' ORDER BY start) AS removed FROM spans GROUP BY doc_id),
+edges AS (SELECT DISTINCT doc_id AS a, keeper AS b FROM cut UNION SELECT DISTINCT keeper, doc_id FROM cut),
 docreach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM docreach r JOIN edges e ON r.b = e.a),
-components AS (SELECT a AS doc_id, MIN(b) AS component_id FROM docreach GROUP BY a),
-facts AS (SELECT doc_id, COUNT(*) AS n_paragraphs, COUNT(*) FILTER (WHERE removed) AS n_removed, CAST(COALESCE(SUM(stop - start) FILTER (WHERE removed), 0) AS BIGINT) AS removed_chars, COALESCE(string_agg(start || ':' || stop, ',' ORDER BY start) FILTER (WHERE removed), '') AS removed FROM marked GROUP BY doc_id)
-SELECT d.doc_id, COALESCE(n_paragraphs, 0) AS n_paragraphs, COALESCE(n_removed, 0) AS n_removed, COALESCE(removed_chars, 0) AS removed_chars, COALESCE(removed, '') AS removed, component_id
+components AS (SELECT a AS doc_id, MIN(b) AS component_id FROM docreach GROUP BY a)
+SELECT d.doc_id, COALESCE(n_removed, 0) AS n_removed, COALESCE(removed_chars, 0) AS removed_chars, COALESCE(removed, '') AS removed, component_id
 FROM documents d LEFT JOIN facts f ON d.doc_id = f.doc_id JOIN components c ON c.doc_id = d.doc_id"""
 
 ORACLES = {

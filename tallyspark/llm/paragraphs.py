@@ -1,42 +1,62 @@
-"""Substring dedup: paragraph MinHash banding, exact Jaccard, removals clustered by components.
-
-A paragraph is a line of at least ``MIN_WORDS`` words. Its five-word shingles are min-hashed;
-``BANDS`` bands of ``ROWS`` rows find a pair of similarity 0.8 with a chance above 0.998. Paragraphs
-of equal words are one paragraph from the start, known by a 64-bit hash.
-
-Colliding paragraphs are verified by the exact Jaccard similarity of their shingles, in two rounds.
-First every paragraph of a bucket is compared with the bucket's least one, which settles nearly all
-of a large group in as many comparisons as it has members. Buckets that still hold paragraphs of
-several components are then compared in full, in blocks that emit a spanning forest rather than
-pairs; pairs already connected are skipped.
-
-Of each component of paragraphs the first by (doc_id, position) stays, the others are removed.
+"""Substring dedup: paragraph MinHash banding, exact verification, removals clustered by components.
+
+A passage of more than 50 words that also stands in another document is a repeat. Two kinds of
+paragraph find them, so that line ends do not matter:
+
+* every run of ``MIN_WORDS`` words, wherever it starts, also across lines. Such paragraphs overlap, and
+  the MinHash rows of neighbours are mostly the same, so a text has about one distinct band key for
+  every dozen words. Equal paragraphs always have equal keys: paragraphs whose key occurs in two texts
+  are candidates, and those that are equal word for word (128-bit hash) are repeats.
+* every line of ``MIN_WORDS`` words or more. ``BANDS`` bands of ``ROWS`` rows find a pair of similarity
+  0.8 with a chance above 0.996, and colliding lines are verified by the exact Jaccard similarity of
+  their five-word shingles, so edited paragraphs are found too.
+
+Lines are verified in two rounds. First every line of a bucket is compared with the bucket's least
+one, which settles nearly all of a large group in as many comparisons as it has members. Buckets that
+still hold lines of several components are then compared in full, in blocks that emit a spanning
+forest rather than pairs; pairs already connected are skipped.
+
+Each repeat (equal runs, or a component of lines) stays in the first document that has it, by id and
+then by hash of the text, as often as it occurs there; overlapping runs and lines of any other document are
+joined to spans, which are removed. Documents of equal text are worked on once: all but the first
+are repeats from their first word to their last. A repeat within one document alone is none.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import discard, map_rows, materialize, slices, small_batches
+from tallyspark.llm.common import discard, fresh, map_rows, materialize, slices, small_batches
 from tallyspark.llm.embeddings import _runs
 from tallyspark.operators.components import connected_components
 
-MIN_WORDS = 20
+MIN_WORDS = 51
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-BANDS = 12
-ROWS = 4
+BANDS = 8
+ROWS = 3
+RUN_ROWS = 2
 BLOCK = 256
 MEMO_WORDS = 150_000
+SLICE_WORDS = 500_000
 _RNG = np.random.default_rng(11)
 _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _MULTIPLY = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
+WORD = re.compile(r"\S+")
+
+
+def text_hash(column: str) -> Column:
+    """128 bits that tell texts apart; null for null."""
+    return F.unhex(F.md5(F.col(column).cast("binary")))
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -53,90 +73,186 @@ def jaccard(a: set, b: set) -> float:
     return shared / (len(a) + len(b) - shared) if a or b else 1.0
 
 
-def min_hashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(paragraphs, BANDS) bucket keys from word hashes of paragraphs that begin at ``starts``."""
-    h = np.zeros(len(hashes) - SHINGLE_WORDS + 1, dtype=np.uint64)
+class WordHashes:
+    """64-bit hashes of words, remembered between calls."""
+
+    def __init__(self):
+        self.memo: dict[str, int] = {}
+
+    def __call__(self, texts: list[list[str]]) -> np.ndarray:
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        memo, digest = self.memo, xxhash.xxh3_64_intdigest
+        memo.update((w, digest(w)) for w in set(chain.from_iterable(texts)).difference(memo))
+        return np.fromiter(map(memo.__getitem__, chain.from_iterable(texts)), dtype=np.uint64)
+
+
+def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
+    """32-bit hashes of the shingles that begin at each word, whatever text they run into."""
+    h = np.zeros(max(0, len(hashes) - SHINGLE_WORDS + 1), dtype=np.uint64)
     for i in range(SHINGLE_WORDS):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + len(h)]
+        h = h * _GOLDEN + hashes[i : i + len(h)]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    low = (h >> np.uint64(32)).astype(np.uint32)
-    # a window that runs into the next paragraph is none of its shingles
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def _folded(key: np.ndarray, least: np.ndarray) -> np.ndarray:
+    key = (key ^ least.astype(np.uint64)) * _GOLDEN
+    return key ^ (key >> np.uint64(31))
+
+
+def min_hashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(paragraphs, BANDS) bucket keys from word hashes of paragraphs that begin at ``starts``."""
+    low = shingle_hashes(hashes)
+    # a shingle that runs into the next paragraph is none of its own
     ends = np.r_[starts[1:], len(hashes)]
-    inside = np.ones(len(h), dtype=bool)
+    inside = np.ones(len(low), dtype=bool)
     for back in range(1, SHINGLE_WORDS):
         at = ends - back
-        inside[at[at < len(h)]] = False
+        inside[at[at < len(low)]] = False
     low = low[inside]
     begin = np.r_[0, np.cumsum(ends - starts - SHINGLE_WORDS + 1)[:-1]]
     out = np.zeros((len(starts), BANDS), dtype=np.uint64)
     for band in range(BANDS):
         key = np.full(len(starts), band + 1, dtype=np.uint64)
         for i in range(band * ROWS, band * ROWS + ROWS):
-            least = np.minimum.reduceat((low ^ _XOR[i]) * _MULTIPLY[i], begin)
-            key = (key ^ least.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(31)
+            key = _folded(key, np.minimum.reduceat((low ^ _XOR[i]) * _MULTIPLY[i], begin))
         out[:, band] = key
     return out.view(np.int64)
 
 
-def paragraph_table(df: DataFrame, id_column: str, text_column: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, pos, start, stop, words, ph, bands) of every paragraph: its line number, code point
-    span, the hash of its words and its bucket keys; th is the hash of the whole text."""
+def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` values in a row."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = np.minimum(x[: len(x) - step], x[step:])
+        done += step
+    return x
+
+
+def run_keys(hashes: np.ndarray) -> np.ndarray:
+    """The band key of the run of MIN_WORDS words that begins at each word."""
+    out = np.zeros(max(0, len(hashes) - MIN_WORDS + 1), dtype=np.uint64)
+    for at in range(0, len(out), SLICE_WORDS):  # bounds what a very long text takes
+        low = shingle_hashes(hashes[at : at + SLICE_WORDS + MIN_WORDS - 1])
+        key = out[at : at + SLICE_WORDS]
+        for i in range(RUN_ROWS):
+            key[:] = _folded(key, _sliding_min((low ^ _XOR[i]) * _MULTIPLY[i], MIN_WORDS - SHINGLE_WORDS + 1))
+    return out.view(np.int64)
+
+
+def run_hashes(hashes: np.ndarray, multiplier: np.uint64) -> np.ndarray:
+    """A 64-bit hash of the run of MIN_WORDS words that begins at each word."""
+    size = max(0, len(hashes) - MIN_WORDS + 1)
+    out, at, width, part, power = np.zeros(size, dtype=np.uint64), 0, 1, hashes * multiplier, int(multiplier)
+    while size and at < MIN_WORDS:  # parts of 1, 2, 4 ... words, those of MIN_WORDS' binary digits put together
+        if MIN_WORDS & width:
+            out = out * np.uint64(power) + part[at : at + size]
+            at += width
+        if MIN_WORDS >= 2 * width:
+            part = part[: len(part) - width] * np.uint64(power) + part[width:]
+            power = power * power % (1 << 64)
+        width *= 2
+    out ^= out >> np.uint64(32)
+    return (out * _GOLDEN).view(np.int64)
+
+
+def paragraph_table(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, th, pos, start, stop, ph, bands): one row with pos -1 for every text of MIN_WORDS words or more,
+    whose bands are the distinct keys of its runs, and one for every such line, with its line number and
+    bucket keys. start and stop are code points, of a text from its first word to its last; ph is the
+    hash of the words and th that of the whole text."""
 
     def run(batches):
-        memo: dict[str, int] = {}
-        word_hash = xxhash.xxh3_64_intdigest
+        word_hashes = WordHashes()
         for b in batches:
-            lines: list[tuple] = []
-            split: list[list[str]] = []
+            held: list[tuple] = []
             for key, th, text in zip(b["id"], b["th"], b["text"], strict=True):
-                at = 0
-                for pos, line in enumerate((text or "").split("\n")):
-                    if len(line) >= 2 * min_words - 1:
-                        words = words_of(line)
-                        if len(words) >= min_words:
-                            lines.append((key, th, pos, at, at + len(line), len(words)))
-                            split.append(words)
-                    at += len(line) + 1
-            for a, z in slices([len(w) for w in split], 500_000):
-                part = split[a:z]
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                memo.update((w, word_hash(w)) for w in set(chain.from_iterable(part)).difference(memo))
-                hashes = np.fromiter(map(memo.__getitem__, chain.from_iterable(part)), dtype=np.uint64)
-                sizes = np.array([len(w) for w in part])
-                keys = min_hashes(hashes, np.cumsum(sizes) - sizes)
-                out = pd.DataFrame(lines[a:z], columns=["id", "th", "pos", "start", "stop", "words"])
-                out["ph"] = np.array([word_hash(" ".join(w)) for w in part], dtype=np.uint64).view(np.int64)
-                out["bands"] = list(keys)
-                yield out
-
-    columns = {"th": F.xxhash64(text_column), "text": F.col(text_column)}
-    return map_rows(df, id_column, columns, run, "th long, pos int, start int, stop int, words int, ph long, bands array<long>", rows=300)
-
-
-def _line(text: Column, pos: Column) -> Column:
-    return F.element_at(F.split(text, "\n", -1), pos + 1)
-
-
-def link_paragraphs(df: DataFrame, paras: DataFrame, id_column: str, text_column: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, component) of the paragraph hashes that near-duplicate another."""
-    bands = paras.select("ph", F.explode("bands").alias("key"))
-    shared = materialize(
-        bands.groupBy("key").agg(F.min("ph").alias("hub"), F.max("ph").alias("top")).where("hub != top").select("key", "hub"), "buckets"
-    )
-    members = materialize(bands.join(shared, "key").select("key", "hub", "ph").distinct(), "members")
-    wanted = members.select("ph").distinct()
-    # one place where each wanted paragraph stands, then its words from the texts
-    place = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th", "pos")).alias("at")
-    places = materialize(paras.join(wanted, "ph", "left_semi").groupBy("ph").agg(place).select("ph", F.col("at.id").alias("at_id"), F.col("at.th").alias("at_th"), "at.pos"), "places")
-    by_doc = places.groupBy("at_id", "at_th").agg(F.collect_list(F.struct("ph", "pos")).alias("want"))
-    texts = df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("th"), F.col(text_column).alias("text"))
-    lines = F.split("text", "\n", -1)
-    found = texts.join(by_doc, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th")))
-    found = found.select(F.explode(F.transform("want", lambda w: F.struct(w["ph"].alias("ph"), F.element_at(lines, w["pos"] + 1).alias("line")))).alias("w")).select("w.ph", "w.line")
-    lines_of = materialize(found.groupBy("ph").agg(F.any_value("line").alias("line")), "lines")
+                if text is None or len(text) < 2 * MIN_WORDS - 1:
+                    continue
+                lines = text.split("\n")
+                words = [words_of(x) for x in lines]
+                if sum(map(len, words)) >= MIN_WORDS:
+                    held.append((key, th, text, lines, words))
+            for a, z in slices([len(h[2]) for h in held], 6 * SLICE_WORDS):
+                yield from table(held[a:z], word_hashes)
+
+    def table(part, word_hashes):
+        hashes = word_hashes([w for h in part for w in h[4]])
+        sizes = np.array([sum(map(len, h[4])) for h in part])
+        starts = np.cumsum(sizes) - sizes
+        keys = run_keys(hashes)
+        rows, bands, spans = [], [], []
+        at = 0
+        for (key, th, text, lines, words), first, size in zip(part, starts.tolist(), sizes.tolist(), strict=True):
+            body = text.lstrip()
+            begin = len(text) - len(body)
+            rows.append((key, th, -1, begin, begin + len(body.rstrip()), 0))
+            bands.append(np.unique(keys[first : first + size - MIN_WORDS + 1]))
+            char = 0
+            for pos, (line, own) in enumerate(zip(lines, words, strict=True)):
+                if len(own) >= MIN_WORDS:
+                    rows.append((key, th, pos, char, char + len(line), xxhash.xxh3_64_intdigest(" ".join(own))))
+                    bands.append(None)
+                    spans.append((len(rows) - 1, at, at + len(own)))
+                char += len(line) + 1
+                at += len(own)
+        if spans:
+            own = np.concatenate([hashes[a:z] for _, a, z in spans])
+            width = np.array([z - a for _, a, z in spans])
+            for (i, _, _), k in zip(spans, min_hashes(own, np.cumsum(width) - width), strict=True):
+                bands[i] = k
+        out = pd.DataFrame(rows, columns=["id", "th", "pos", "start", "stop", "ph"])
+        out["ph"] = out["ph"].to_numpy(dtype=np.uint64).view(np.int64)
+        out["bands"] = bands
+        yield out
+
+    columns = {"th": text_hash(text_column), "text": F.col(text_column)}
+    return map_rows(df, id_column, columns, run, "th binary, pos int, start int, stop int, ph long, bands array<long>", rows=300)
+
+
+def number_texts(paras: DataFrame) -> DataFrame:
+    """(th, id, t, start, stop): the first id of each text, its extent, and a number that orders texts by (id, th), null ids last."""
+    owner = F.min(F.struct(F.col("id").isNull().alias("no"), "id")).alias("o")
+    owners = paras.where("pos = -1").groupBy("th").agg(owner, F.any_value("start").alias("start"), F.any_value("stop").alias("stop"))
+    return owners.select("th", "o.no", "o.id", "start", "stop").orderBy("no", "id", "th").select("th", "id", F.monotonically_increasing_id().alias("t"), "start", "stop")
+
+
+def candidate_words(df: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Reads the texts of ``wanted`` (t, id, th, keys, lines) once more. Rows with a line have the hash of
+    its words in ``a``; the others are the runs whose key is among ``keys``: their 128-bit hash (a, b),
+    text and code point span."""
+    kind = dict(df.dtypes)[id_column]
+    texts = df.select(F.col(id_column).alias("id"), text_hash(text_column).alias("th"), F.col(text_column).alias("text"))
+    w = wanted.select("t", F.col("id").cast(kind).alias("w_id"), F.col("th").alias("w_th"), "keys", "lines")
+    found = texts.join(w, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("t", "text", "keys", "lines")
+
+    def run(batches):
+        word_hashes = WordHashes()
+        for b in batches:
+            for t, text, keys, lines in zip(b["t"], b["text"], b["keys"], b["lines"], strict=True):
+                if lines is not None and len(lines):
+                    of = text.split("\n")
+                    yield pd.DataFrame({"a": [x["ph"] for x in lines], "b": 0, "t": t, "start": 0, "stop": 0, "line": [of[x["pos"]] for x in lines]})
+                if keys is None or not len(keys):
+                    continue
+                at = np.array([m.span() for m in WORD.finditer(text)])
+                hashes = word_hashes([words_of(text)])
+                first = np.nonzero(np.isin(run_keys(hashes), np.asarray(keys, dtype=np.int64)))[0]
+                for i in range(0, len(first), 20_000):
+                    p = first[i : i + 20_000]
+                    a, z = p[0], p[-1] + MIN_WORDS
+                    part = hashes[a:z]
+                    yield pd.DataFrame({"a": run_hashes(part, _GOLDEN)[p - a], "b": run_hashes(part, _OTHER)[p - a], "t": t, "start": at[p, 0], "stop": at[p + MIN_WORDS - 1, 1], "line": None})
+
+    return small_batches(found, 300).mapInPandas(run, "a long, b long, t long, start int, stop int, line string")
+
+
+def link_lines(members: DataFrame, lines_of: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component) of the line hashes that near-duplicate another. ``members`` (key, hub, ph) holds
+    the buckets of several lines with the least of each, ``lines_of`` (ph, line) the lines."""
 
     def check(batches):
         for b in batches:
@@ -196,82 +312,146 @@ def link_paragraphs(df: DataFrame, paras: DataFrame, id_column: str, text_column
     more = materialize(units.repartition(*by).sortWithinPartitions(*by).mapInPandas(compare, "ph long, hub long"), "edges")
     every = first.unionByName(more).unionByName(labels.select(F.col("node").alias("ph"), F.col("component").alias("hub")))
     out = materialize(connected_components(every, "ph", "hub"), "cc-out")
-    for t in (shared, members, places, lines_of, labels, named, open_keys, first, more):
+    for t in (labels, named, open_keys, first, more):
         discard(t)
     return out
 
 
-def repeated_paragraphs(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(paragraphs, links): paragraphs (id, th, pos, start, stop, words, removed, keeper) of every
-    paragraph, and the (node, component) links of document ids that share one.
+def joined_spans(cut: DataFrame) -> DataFrame:
+    """(t, spans) of the possibly overlapping (t, start, stop): the disjoint spans they cover, in order."""
+    order = Window.partitionBy("t").orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = cut.select("t", "start", "stop", F.when(F.col("start") <= reach, 0).otherwise(1).alias("new"))
+    islands = begins.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = islands.groupBy("t", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return spans.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
-    Of paragraphs that are equal or near-duplicate, the first by (id, position) is kept; null ids
-    come last. Rows that repeat an id and a text are one document and fare alike.
+
+def repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per distinct text of MIN_WORDS words or more: th (its MD5), owner (its first id), start and stop
+    (from its first word to its last), spans to remove from the owner's text, and component_id, the least
+    owner reachable over shared passages. Any other row of that text is a repeat from start to stop.
+
+    Null ids come last. Rows that repeat an id and a text are one document and fare alike.
     """
-    paras = materialize(paragraph_table(df, id_column, text_column, min_words), "paras")
-    linked = link_paragraphs(df, paras, id_column, text_column, threshold)
-    slim = paras.select("id", "th", "pos", "start", "stop", "words", "ph")
-    classes = slim.groupBy("ph").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th", "pos")).alias("first"))
-    labelled = classes.join(linked, F.col("ph") == F.col("node"), "left").select("ph", "first", F.coalesce("component", "ph").alias("label"))
-    labelled = materialize(labelled, "classes")
-    firsts = labelled.groupBy("label").agg(F.min("first").alias("keep"))
-    keep = materialize(labelled.join(firsts, "label").select(F.col("ph").alias("keep_ph"), F.col("keep.id").alias("keeper"), F.col("keep.th").alias("keep_th"), F.col("keep.pos").alias("keep_pos")), "keep")
-    same = F.col("id").eqNullSafe(F.col("keeper")) & (F.col("th") == F.col("keep_th")) & (F.col("pos") == F.col("keep_pos"))
-    marked = slim.join(keep, F.col("ph") == F.col("keep_ph")).select("id", "th", "pos", "start", "stop", "words", (~same).alias("removed"), "keeper")
-    marked = materialize(marked, "marked")
-    for t in (linked, labelled, keep, paras):
+    paras = materialize(paragraph_table(df, id_column, text_column), "paras")
+    texts = materialize(number_texts(paras), "texts")
+    owner = texts.select(F.col("th").alias("o_th"), F.col("id").alias("o_id"), "t")
+    of_owners = paras.join(owner, (F.col("th") == F.col("o_th")) & F.col("id").eqNullSafe(F.col("o_id")))
+    numbered = materialize(of_owners.select("t", "pos", "start", "stop", "ph", "bands"), "numbered")
+    discard(paras)
+
+    lines = numbered.where("pos >= 0")
+    bands = lines.select("ph", F.explode("bands").alias("key"))
+    full = materialize(bands.groupBy("key").agg(F.min("ph").alias("hub"), F.max("ph").alias("top")).where("hub != top").select("key", "hub"), "buckets")
+    members = materialize(bands.join(full, "key").select("key", "hub", "ph").distinct(), "members")
+    # one place where each colliding line stands
+    place = lines.join(members.select("ph").distinct(), "ph", "left_semi").groupBy("ph").agg(F.min(F.struct("t", "pos")).alias("at"))
+    places = place.groupBy(F.col("at.t").alias("t")).agg(F.collect_list(F.struct("ph", F.col("at.pos").alias("pos"))).alias("lines"))
+
+    keys = numbered.where("pos = -1").select("t", F.explode("bands").alias("key"))
+    shared = materialize(keys.groupBy("key").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi").select("key"), "shared")
+    hot = keys.join(shared, "key").groupBy("t").agg(F.collect_set("key").alias("keys"))
+    wanted = materialize(texts.join(hot.join(places, "t", "full"), "t").select("t", "id", "th", "keys", "lines"), "wanted")
+    found = materialize(candidate_words(df, wanted, id_column, text_column), "found")
+    lines_of = materialize(found.where("line is not null").groupBy(F.col("a").alias("ph")).agg(F.any_value("line").alias("line")), "lines")
+    linked = link_lines(members, lines_of, threshold)
+
+    first = F.min("t").alias("lo"), F.max("t").alias("hi")
+    labelled = lines.join(linked, F.col("ph") == F.col("node"), "left").select("t", "start", "stop", F.coalesce("component", "ph").alias("label"))
+    labelled = materialize(labelled, "labelled")
+    classes = materialize(labelled.groupBy("label").agg(*first).where("lo != hi").select("label", "lo"), "classes")
+    runs = found.where("line is null").select("a", "b", "t", "start", "stop")
+    equal = materialize(runs.groupBy("a", "b").agg(*first).where("lo != hi").select("a", "b", "lo"), "equal")
+    columns = "t", "start", "stop", "lo"
+    cut = labelled.join(classes, "label").where("t != lo").select(*columns).unionByName(runs.join(equal, ["a", "b"]).where("t != lo").select(*columns))
+    cut = materialize(cut, "cut")
+    for t in (full, members, shared, wanted, found, lines_of, linked, labelled, classes, equal, numbered):
         discard(t)
-    docs = connected_components(marked.where("removed").select("id", "keeper").distinct(), "id", "keeper")
-    return marked, docs
+    linked = connected_components(cut.select("t", "lo").distinct(), "t", "lo")
+    linked = materialize(linked.join(texts.select(F.col("t").alias("component"), F.col("id").alias("component_id")), "component").select(F.col("node").alias("t"), "component_id"), "cc-out")
+    out = texts.join(joined_spans(cut), "t", "left").join(linked, "t", "left")
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    out = materialize(out.select("th", F.col("id").alias("owner"), "start", "stop", F.coalesce("spans", none).alias("spans"), F.coalesce("component_id", "id").alias("component_id")), "passages")
+    for t in (cut, linked, texts):
+        discard(t)
+    return out
+
+
+def _spans(own_id: Column, owner: Column, spans: Column, start: Column, stop: Column) -> Column:
+    return F.when(own_id.eqNullSafe(owner), spans).otherwise(F.array(F.struct(start.alias("start"), stop.alias("stop"))))
 
 
 def dedup_documents(df: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_paragraphs, n_removed, removed_chars, removed (``start:stop`` code
-    point spans, comma-joined) and component_id, the smallest doc_id reachable over shared
-    paragraphs, itself included. Null and short texts have no paragraphs."""
-    marked, links = repeated_paragraphs(df)
-    # rows that repeat an id and a text count once, so a list is no longer than its document
-    once = marked.select("id", "th", "pos", "start", "stop", "removed").distinct()
-    spans = F.array_sort(F.collect_list(F.when(F.col("removed"), F.struct("start", "stop"))))
-    facts = once.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n_paragraphs"), spans.alias("spans"))
-    facts = materialize(facts.select(F.col("id").alias("fact_id"), F.col("th").alias("fact_th"), "n_paragraphs", "spans"), "facts")
-    links = materialize(links, "doc-links")
-    docs = df.select("doc_id", F.xxhash64("text").alias("th"))
-    out = docs.join(facts, F.col("doc_id").eqNullSafe(F.col("fact_id")) & (F.col("th") == F.col("fact_th")), "left").join(links, F.col("doc_id") == F.col("node"), "left")
-    spans = F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>"))
+    """Per document: doc_id, n_removed, removed_chars, removed (``start:stop`` code point spans,
+    comma-joined) and component_id, the smallest doc_id reachable over shared passages, itself
+    included. Null texts and those of fewer than MIN_WORDS words have none. Other columns are ignored."""
+    facts = repeated_passages(df)
+    docs = df.select("doc_id", text_hash("text").alias("doc_th"))
+    out = docs.join(facts, F.col("doc_th") == F.col("th"), "left")
+    spans = F.when(F.col("th").isNull(), F.array().cast("array<struct<start:int,stop:int>>"))
+    spans = spans.otherwise(_spans(F.col("doc_id"), F.col("owner"), F.col("spans"), F.col("start"), F.col("stop")))
+    out = out.select("doc_id", spans.alias("spans"), F.when(F.col("th").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.select(
         "doc_id",
-        F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"),
-        F.size(spans).cast("long").alias("n_removed"),
-        F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]).alias("removed_chars"),
-        F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["stop"])), ",").alias("removed"),
-        F.coalesce("component", "doc_id").alias("component_id"),
+        F.size("spans").cast("long").alias("n_removed"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]).alias("removed_chars"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"])), ",").alias("removed"),
+        "component_id",
     )
 
 
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``df`` with the removed paragraphs, and their line ends, cut from its texts."""
-    marked, _ = repeated_paragraphs(df, id_column, text_column)
-    gone = marked.where("removed").groupBy("id", "th").agg(F.collect_set("pos").alias("__gone"))
-    gone = materialize(gone.withColumnsRenamed({"id": "__gone_id", "th": "__gone_th"}), "gone")
-    joined = df.join(gone, F.col(id_column).eqNullSafe(F.col("__gone_id")) & (F.xxhash64(text_column) == F.col("__gone_th")), "left")
-    kept = F.array_join(F.filter(F.split(text_column, "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.withColumn(text_column, F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col(text_column))).drop("__gone", "__gone_id", "__gone_th")
-
-
-def brute_force(texts: dict, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> set[tuple]:
-    """The removed (id, position) of a few documents, comparing all pairs; for tests."""
-    items = [(k, pos, shingles(w), " ".join(w)) for k, t in sorted(texts.items()) for pos, line in enumerate((t or "").split("\n")) if len(w := words_of(line)) >= min_words]
-    root = list(range(len(items)))
+    """``df`` with the removed spans, and one white space after each, cut from its texts. No row goes,
+    and all columns stay, whatever their names."""
+    names = {c: fresh(df, c) for c in ("th", "owner", "start", "stop", "spans", "component_id")}
+    facts = repeated_passages(df, id_column, text_column).withColumnsRenamed(names)
+    th, owner, start, stop, spans, _ = (F.col(n) for n in names.values())
+    joined = df.join(facts, text_hash(text_column) == th, "left")
+    text = F.col(text_column)
+    # the kept pieces lie between the end of one span and the start of the next
+    cuts = _spans(F.col(id_column), owner, spans, start, stop)
+    begins = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda s: s["stop"] + F.when(F.substring(text, s["stop"] + 1, F.lit(1)).rlike(r"^\s"), 1).otherwise(0)))
+    ends = F.concat(F.transform(cuts, lambda s: s["start"]), F.array(F.length(text)))
+    kept = F.array_join(F.zip_with(begins, ends, lambda a, z: F.substring(text, a + 1, F.greatest(z - a, F.lit(0)))), "")
+    changed = th.isNotNull() & (F.size(cuts) > 0)
+    return joined.withColumn(text_column, F.when(changed, kept).otherwise(text)).select(*df.columns)
+
+
+def brute_force(texts: dict, threshold: float = THRESHOLD) -> dict:
+    """{id: set of code point positions to remove} of a few documents, for tests: all runs of MIN_WORDS
+    words by their words, and all pairs of such lines, with neither bands nor hashes."""
+    gone: dict = {k: set() for k in texts}
+    runs: dict[str, list[tuple]] = {}
+    lines = []
+    for key in sorted(texts):
+        text = texts[key] or ""
+        at = [m.span() for m in re.finditer(r"\S+", text)]
+        words = words_of(text)
+        for i in range(len(words) - MIN_WORDS + 1):
+            runs.setdefault(" ".join(words[i : i + MIN_WORDS]), []).append((key, at[i][0], at[i + MIN_WORDS - 1][1]))
+        start = 0
+        for line in text.split("\n"):
+            if len(w := words_of(line)) >= MIN_WORDS:
+                lines.append((key, start, start + len(line), shingles(w), " ".join(w)))
+            start += len(line) + 1
+    root = list(range(len(lines)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in range(len(items)):
+    for a in range(len(lines)):
         for b in range(a):
-            if items[a][3] == items[b][3] or jaccard(items[a][2], items[b][2]) >= threshold:
+            if lines[a][4] == lines[b][4] or jaccard(lines[a][3], lines[b][3]) >= threshold:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    return {(items[i][0], items[i][1]) for i in range(len(items)) if find(i) != i}
+    groups = list(runs.values())
+    groups += [[lines[i][:3] for i in range(len(lines)) if find(i) == r] for r in {find(i) for i in range(len(lines))}]
+    for group in groups:
+        keeper = min(key for key, _, _ in group)
+        for key, start, stop in group:
+            if key != keeper:
+                gone[key].update(range(start, stop))
+    return gone

@@ -19,20 +19,10 @@ def edited(text, n):
     return " ".join(words)
 
 
-def removed(rows):
+def positions(row):
     out = set()
-    for r in rows:
-        for s in filter(None, r.removed.split(",")):
-            out.add((r.doc_id, tuple(map(int, s.split(":")))))
-    return out
-
-
-def expected(texts):
-    out = set()
-    for key, pos in P.brute_force(texts):
-        lines = texts[key].split("\n")
-        start = sum(len(x) + 1 for x in lines[:pos])
-        out.add((key, (start, start + len(lines[pos]))))
+    for s in filter(None, row.removed.split(",")):
+        out.update(range(*map(int, s.split(":"))))
     return out
 
 
@@ -40,7 +30,40 @@ def corpus(spark, texts):
     return spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
 
 
-def test_planted_repeats(spark):
+def wrapped(text, width):
+    words = text.split()
+    return "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def test_passages_inside_and_across_lines(spark):
+    # passages of 51 to 200 words inside longer lines, wrapped anew, at line ends and as lines of their own
+    shared = {i: passage(n) for i, n in enumerate((51, 52, 60, 75, 90, 120, 160, 200))}
+    texts = {}
+    for i in range(160):
+        before, after = passage(random.randint(1, 90)), passage(random.randint(1, 90))
+        s = shared[i % 8]
+        forms = (f"{before} {s} {after}", f"{before}\n{wrapped(s, 7)}\n{after}", f"{before} {wrapped(s, 13)} {after}", f"{before} {s}\n{after}", f"{before}\n{s.upper()}\n{after}")
+        texts[i] = forms[i // 8 % 5] if i % 3 else f"{before}\n{passage(40)}\n{after}"
+    short = passage(45)
+    texts |= {1000 + i: f"{passage(30)} {short} {passage(30)}" for i in range(20)}
+    want = P.brute_force(texts)
+    rows = {r.doc_id: r for r in P.dedup_documents(corpus(spark, texts)).collect()}
+    assert {k: positions(r) for k, r in rows.items()} == want
+    for k, s in shared.items():
+        holders = sorted(i for i in range(160) if i % 3 and i % 8 == k)
+        assert {rows[i].component_id for i in holders} == {holders[0]}
+        assert rows[holders[0]].n_removed == 0 and all(len(positions(rows[i])) >= len(s) - 20 for i in holders[1:])
+    assert all(r.n_removed == 0 and r.component_id == k for k, r in rows.items() if k >= 1000 or k % 3 == 0)
+    # what is left holds no passage twice
+    cut = {r.doc_id: r.text for r in P.remove_repeats(corpus(spark, texts)).collect()}
+    seen = {}
+    for k, text in cut.items():
+        words = P.words_of(text)
+        for i in range(len(words) - P.MIN_WORDS + 1):
+            assert seen.setdefault(" ".join(words[i : i + P.MIN_WORDS]), k) == k
+
+
+def test_planted_lines(spark):
     shared = [passage(n) for n in (51, 60, 90, 200, 25)]
     texts = {}
     for i in range(60):
@@ -52,7 +75,7 @@ def test_planted_repeats(spark):
             lines += ["Licensed under the Apache License, Version 2.0."]
         texts[i] = "\n".join(lines)
     rows = P.dedup_documents(corpus(spark, texts)).collect()
-    assert removed(rows) == expected(texts)
+    assert {r.doc_id: positions(r) for r in rows} == P.brute_force(texts)
     clean = [r for r in rows if r.doc_id % 2 == 0]
     assert all(r.n_removed == 0 and r.component_id == r.doc_id for r in clean)
 
@@ -64,7 +87,7 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     texts = {i: edited(base, random.choice((0, 1, 1, 2, 3, 4))) for i in range(80)}
     texts |= {1000 + i: passage(60) for i in range(20)}
     got = P.dedup_documents(corpus(spark, texts)).collect()
-    assert removed(got) == expected(texts)
+    assert {r.doc_id: positions(r) for r in got} == P.brute_force(texts)
 
 
 def test_recall_of_banding():
@@ -82,10 +105,29 @@ def test_recall_of_banding():
     assert trials > 300 and hit / trials > 0.98
 
 
+def test_runs_against_plain_hashes(monkeypatch):
+    monkeypatch.setattr(P, "SLICE_WORDS", 40)
+    words = [random.choice(WORDS) for _ in range(300)] + ["the"] * 100
+    hashes = P.WordHashes()([words])
+    low = P.shingle_hashes(hashes)
+    keys, pairs = P.run_keys(hashes), list(zip(P.run_hashes(hashes, P._GOLDEN), P.run_hashes(hashes, P._OTHER), strict=True))
+    size = len(words) - P.MIN_WORDS + 1
+    assert len(keys) == len(pairs) == size
+    for i in range(size):
+        key = np.zeros(1, dtype=np.uint64)
+        for r in range(P.RUN_ROWS):
+            key = P._folded(key, ((low[i : i + P.MIN_WORDS - P.SHINGLE_WORDS + 1] ^ P._XOR[r]) * P._MULTIPLY[r]).min(keepdims=True))
+        assert key.view(np.int64)[0] == keys[i]
+    runs = [tuple(words[i : i + P.MIN_WORDS]) for i in range(size)]
+    assert len(set(runs)) == len(set(pairs)) == len(set(zip(runs, pairs, strict=True)))
+    assert len(P.run_keys(hashes[: P.MIN_WORDS - 1])) == len(P.run_hashes(hashes[:3], P._OTHER)) == 0
+
+
 def test_driver_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    assert removed(P.dedup_documents(docs).collect()) == expected(texts)
+    rows = P.dedup_documents(docs).collect()
+    assert {r.doc_id: positions(r) for r in rows} == P.brute_force(texts)
 
 
 def test_odd_rows(odd_docs, no_docs, spark):
@@ -93,13 +135,28 @@ def test_odd_rows(odd_docs, no_docs, spark):
     assert len(rows) == odd_docs.count() and P.dedup_documents(no_docs).collect() == []
     same = passage(60)
     docs = spark.createDataFrame([(None, same), (3, same), (3, same), (2, f"{same}\n{same}"), (None, None)], "doc_id long, text string")
-    rows = sorted((r.doc_id or -1, r.n_paragraphs, r.n_removed) for r in P.dedup_documents(docs).collect())
-    assert rows == [(-1, 0, 0), (-1, 1, 1), (2, 2, 1), (3, 1, 1), (3, 1, 1)]
+    rows = sorted((r.doc_id or -1, r.component_id or -1, r.n_removed) for r in P.dedup_documents(docs).collect())
+    assert rows == [(-1, -1, 0), (-1, 2, 1), (2, 2, 0), (3, 2, 1), (3, 2, 1)]
+    nameless = spark.createDataFrame([(None, f"{same} a"), (None, f"b {same}")], "doc_id long, text string")
+    assert sorted(r.n_removed for r in P.dedup_documents(nameless).collect()) == [0, 1]
 
 
-def test_removal_cuts_lines(spark):
-    same = passage(60)
-    docs = spark.createDataFrame([(1, f"a\n{same}\nb", "x"), (2, f"c\n{same}\nd\n", "x"), (3, same, "x"), (4, None, "x")], "doc_id long, text string, th string")
-    rows = {r.doc_id: r.text for r in P.remove_repeats(docs).collect()}
-    assert rows == {1: f"a\n{same}\nb", 2: "c\nd\n", 3: "", 4: None}
-    assert P.remove_repeats(docs).columns == docs.columns
+def test_long_text_and_periodic_words(spark):
+    long = passage(120_000)
+    some = " ".join(long.split()[70_000:70_300])
+    texts = {1: "the " * 5000, 2: "of the " * 400 + passage(80), 3: passage(70) + " the" * 90, 4: long, 5: f"{passage(20)} {some}"}
+    rows = P.dedup_documents(corpus(spark, texts)).collect()
+    assert {r.doc_id: positions(r) for r in rows} == P.brute_force(texts)
+
+
+NAMES = "th owner start stop spans component_id id t a b text_ th_ doc_th key keys lines line lo".split()
+
+
+def test_removal_cuts_spans(spark):
+    same, other = passage(60), passage(40)
+    data = [(1, f"a\n{same}\nb"), (2, f"c\n{same}\nd\n"), (3, f" {same} "), (4, None), (5, f"{other} {same} y"), (6, "z")]
+    docs = spark.createDataFrame([(*r, *NAMES) for r in data], f"doc_id long, text string, {', '.join(f'{n} string' for n in NAMES)}")
+    out = P.remove_repeats(docs)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: f"a\n{same}\nb", 2: "c\nd\n", 3: "", 4: None, 5: f"{other} y", 6: "z"}
+    assert out.columns == docs.columns and all(r.th == "th" and r.spans == "spans" for r in out.collect())
+    assert P.remove_repeats(docs.where("false")).collect() == []
