@@ -1,7 +1,9 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Documents are dealt to shards by a hash of id, text and input partition, so every shard holds every source about as
-the corpus does, however large a source is. Within a shard each source is a queue of tokens. A
+the corpus does, however large a source is. Within a shard each source is a queue of tokens, whatever the
+number of sources. A source that fills whole windows in a shard has its share of the corpus; smaller ones
+are dealt round-robin inside the share that is left to them, each by its tokens in the shard. A
 window of ``WINDOW_SEQUENCES`` sequences is filled by giving each source its share of the window
 plus the deficit it carries; a source whose queue runs short keeps the difference as its deficit for
 the next window, and the others fill its place. When a shard can no longer fill windows to their
@@ -32,10 +34,8 @@ LENGTH = 1024
 WINDOW_SEQUENCES = 16
 SHARD_BYTES = 8_000_000
 POOL_TOKENS = 4_000_000
-MAX_SOURCES = 1_000
 SLACK = 0.05
 SEPARATOR = 0
-OTHER = "\0other"
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -181,21 +181,28 @@ class Queues:
         return out
 
 
-def _shares(df: DataFrame, targets: dict[str, float] | None) -> tuple[dict[str, float], int]:
-    """(source -> share of a window, bytes of all texts). Without ``targets`` a source's share is its
-    part of the corpus' UTF-8 bytes. Beyond the largest ``MAX_SOURCES`` sources one queue holds the rest."""
-    sums = materialize(df.groupBy("source").agg(F.sum(F.octet_length("text") + 1).alias("n")), "pack-sources")
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    top = {r["source"]: float(r["n"]) for r in sums.orderBy(F.col("n").desc(), "source").limit(MAX_SOURCES).collect()}
-    if targets is not None:
-        top = {s: float(w) for s, w in targets.items()}
-    whole = sum(top.values()) or 1.0
+def window_shares(tokens: np.ndarray, weight: np.ndarray, window: int, fixed: bool) -> np.ndarray:
+    """Each queue's share of a window, from its tokens here and its part of the corpus. With ``fixed``, that
+    of a stated mixture, the parts stand as they are; what absent sources miss is not given to others."""
+    if fixed:
+        return weight
+    large = weight * tokens.sum() >= window
+    share = np.where(large, weight, 0.0)
+    small = np.where(large, 0.0, tokens)
+    if small.sum():
+        return share + max(0.0, 1.0 - share.sum()) * small / small.sum()
+    return share / share.sum() if share.sum() else share
+
+
+def _weights(docs: DataFrame, targets: dict[str, float] | None) -> tuple[DataFrame, int]:
+    """((of, weight) rows of sources, bytes of all texts). Without ``targets`` a source's weight is its part of
+    the corpus' UTF-8 bytes."""
+    sums = materialize(docs.groupBy("source").agg(F.sum(F.octet_length("text") + 1).alias("n")), "pack-sources")
+    total = int(sums.agg(F.sum("n")).first()[0] or 0)
     if targets is None:
-        top[OTHER] = max(0.0, float(total) - whole)
-        whole = max(float(total), 1.0)
-    else:
-        top.setdefault(OTHER, 0.0)
-    return {s: w / whole for s, w in top.items()}, int(total)
+        return sums.select(F.col("source").alias("of"), (F.col("n") / max(total, 1)).alias("weight")), total
+    whole = float(sum(targets.values())) or 1.0
+    return docs.sparkSession.createDataFrame([(s, float(w) / whole) for s, w in targets.items()], "of string, weight double"), total
 
 
 def pack(
@@ -210,32 +217,38 @@ def pack(
 
     A document is its ids by the vocabulary at ``path``, then id 0; null and empty texts are the
     separator alone. Every id lies in exactly one piece. A null source is a source of its own; with
-    ``targets`` (source -> weight), sources it does not name share one queue of weight 0, packed as
-    filling. Null ids and repeated rows are packed like any other; an empty table gives no row.
+    ``targets`` (source -> weight), sources it does not name have weight 0 and are packed as filling.
+    Each pool's last windows hold what is left, in whatever proportions. Null ids and repeated rows are packed like any other; an empty table gives no row.
     """
     path = path or public_tokenizers.path(bpe.BYTE_VOCABULARY)
     docs = df.select(F.col(id_column).cast("string").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.coalesce(F.col(source_column).cast("string"), F.lit("\0null")).alias("source"))
-    shares, total = _shares(docs, targets)
-    names = sorted(shares)
-    place = {s: i for i, s in enumerate(names)}
-    share = np.array([shares[s] for s in names])
+    weights, total = _weights(docs, targets)
+    named = {} if targets is None else {s: w / (sum(targets.values()) or 1.0) for s, w in targets.items()}
     shards = max(1, -(-total // SHARD_BYTES))
     window = LENGTH * WINDOW_SEQUENCES
 
+    def queued(sources: pd.Series, weight: pd.Series, ids: list[np.ndarray], owed: dict[str, float]) -> tuple[Queues, np.ndarray, np.ndarray]:
+        """The queues with their shares of a window and what they are owed at the start."""
+        parts = dict(zip(sources, weight, strict=True))
+        queues = Queues(sorted({*parts, *named, *owed}), sources.tolist(), ids)
+        part = np.array([named[s] if s in named else parts.get(s, 0.0) for s in queues.sources])
+        start = np.array([owed.get(s, 0.0) for s in queues.sources])
+        return queues, window_shares(queues.totals, part, window, bool(named)), start
+
     def first_round(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "text"], na_position="first", kind="stable").reset_index(drop=True)
         ids = [encode(path, t) for t in group["text"]]
-        queues = Queues(names, [s if s in shares else OTHER for s in group["source"]], ids)
-        slices, taken, owed = plan(queues.totals, share, np.zeros(len(names)), window, to_the_end=False)
+        queues, share, start = queued(group["source"], group["weight"], ids, {})
+        slices, taken, owed = plan(queues.totals, share, start, window, to_the_end=False)
         shard = int(group["shard"].iloc[0])
         done = queues.cut(slices)
         sizes = np.array([len(x) for x in ids])
-        doc, owner = group["doc_id"], group["source"].to_numpy()
+        doc, owner, weight = group["doc_id"], group["source"].to_numpy(), group["weight"].to_numpy()
         out = pd.DataFrame(
             {
                 "doc_id": doc.take(done["row"]).reset_index(drop=True), "start": done["skip"], "length": done["length"], "ids_crc32": done["ids_crc32"],
                 "doc_tokens": sizes[done["row"]], "sequence_id": (np.int64(shard) << 32) + done["sequence"], "offset": done["offset"],
-                "kind": 0, "shard": shard, "source": None, "ids": None, "owed": 0.0,
+                "kind": 0, "shard": shard, "source": None, "ids": None, "owed": 0.0, "weight": 0.0,
             }
         )
         left = queues.rest(taken)
@@ -244,16 +257,17 @@ def pack(
             {
                 "doc_id": doc.take(rows).reset_index(drop=True), "start": [s for _, s, _ in left], "length": [len(x) // 4 for _, _, x in left], "ids_crc32": 0,
                 "doc_tokens": sizes[rows] if rows else np.zeros(0, np.int64), "sequence_id": 0, "offset": 0,
-                "kind": 1, "shard": shard, "source": [owner[r] for r in rows], "ids": [x for _, _, x in left], "owed": 0.0,
+                "kind": 1, "shard": shard, "source": [owner[r] for r in rows], "ids": [x for _, _, x in left], "owed": 0.0, "weight": weight[rows] if rows else np.zeros(0),
             }
         )
-        debt = pd.DataFrame({"doc_id": [None] * len(names), "start": 0, "length": 0, "ids_crc32": 0, "doc_tokens": 0, "sequence_id": 0, "offset": 0, "kind": 2, "shard": shard, "source": names, "ids": None, "owed": owed})
+        debt = pd.DataFrame({"doc_id": [None] * len(owed), "start": 0, "length": 0, "ids_crc32": 0, "doc_tokens": 0, "sequence_id": 0, "offset": 0, "kind": 2, "shard": shard, "source": queues.sources, "ids": None, "owed": owed, "weight": 0.0})
         return pd.concat([out, rest, debt[debt["owed"] != 0]], ignore_index=True)[columns]
 
-    schema = PIECES + ", kind int, shard long, source string, ids binary, owed double"
+    schema = PIECES + ", kind int, shard long, source string, ids binary, owed double, weight double"
     columns = [c.split()[0] for c in schema.split(", ")]
     # the input partition spreads rows that repeat an id and a text
     dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(shards)))
+    dealt = dealt.join(weights, F.col("source") == F.col("of"), "left").select("doc_id", "text", "source", "shard", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     one = materialize(dealt.groupBy("shard").applyInPandas(first_round, schema), "pack-one")
 
     tokens = one.where("kind = 1").agg(F.sum("length")).first()[0] or 0
@@ -261,12 +275,11 @@ def pack(
 
     def second_round(group: pd.DataFrame) -> pd.DataFrame:
         owed_rows, group = group[group["kind"] == 2], group[group["kind"] == 1]
-        owed = np.zeros(len(names))
-        np.add.at(owed, [place[s] for s in owed_rows["source"]], owed_rows["owed"].to_numpy())
+        owed = owed_rows.groupby("source")["owed"].sum().to_dict()
         group = group.sort_values(["shard", "doc_id", "start", "ids"], na_position="first", kind="stable").reset_index(drop=True)
         ids = [np.frombuffer(x, "<u4") for x in group["ids"]]
-        queues = Queues(names, [s if s in shares else OTHER for s in group["source"]], ids)
-        slices, _, _ = plan(queues.totals, share, owed, window, to_the_end=True)
+        queues, share, start = queued(group["source"], group["weight"], ids, owed)
+        slices, _, _ = plan(queues.totals, share, start, window, to_the_end=True)
         done = queues.cut(slices)
         row = done["row"].to_numpy()
         pool = int(owed_rows["pool"].iloc[0]) if len(owed_rows) else int(group["pool"].iloc[0])

@@ -114,3 +114,32 @@ def test_plans_take_everything_once(totals, seed):
     for i, a, b in slices:
         assert a == at[i] and b > a
         at[i] = b
+
+
+def test_shares_of_a_window():
+    tokens, part = np.array([800, 150, 50, 0]), np.array([0.7, 0.01, 0.02, 0.27])
+    assert packing.window_shares(tokens, part, 500, fixed=True) is part
+    assert np.allclose(packing.window_shares(tokens, part, 500, fixed=False), [0.7, 0.225, 0.075, 0])
+    assert np.allclose(packing.window_shares(tokens, part, 100, fixed=False), [0.7, 0.0225, 0.0075, 0.27])
+    assert np.allclose(packing.window_shares(np.zeros(2), np.zeros(2), 100, fixed=False), 0)
+
+
+def test_many_sources_keep_their_proportions(spark, monkeypatch):
+    # two large sources and 1,200 small ones, which together hold most of the tokens
+    monkeypatch.setattr(packing, "SHARD_BYTES", 2_000_000)
+    large = [(i, "word " * 1000, "a" if i % 5 > 1 else "b", 1.0) for i in range(400)]
+    small = [(1000 + i, "word " * 800, f"s{i % 1200}", 1.0) for i in range(1250)]
+    docs = spark.createDataFrame([*large, *small], "doc_id long, text string, source string, weight double").repartition(4)
+    rows = packing.pack(docs).collect()
+    check(rows, [(r.doc_id, r.text) for r in docs.collect()])
+    of = {r.doc_id: min(r.source, "s") for r in docs.collect()}
+    windows = {}
+    for r in rows:
+        if r.sequence_id < 1 << 62:
+            w = windows.setdefault(r.sequence_id // packing.WINDOW_SEQUENCES, {"a": 0, "b": 0, "s": 0})
+            w[of[r.doc_id]] += r.length
+    total = 400 * 1001 + 1250 * 801
+    assert len(windows) > 20
+    for w in windows.values():
+        whole = sum(w.values())
+        assert abs(w["a"] / whole - 240 * 1001 / total) < 0.01 and abs(w["b"] / whole - 160 * 1001 / total) < 0.01
