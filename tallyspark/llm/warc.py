@@ -6,7 +6,8 @@ the closing blank lines together. Both the address and the header's own SHA-1 ar
 the stored bytes when they are read.
 
 All of it is DataFrame expressions: digests, header text and base32 stay in the JVM. Payload bytes
-are shuffled once, to store them once; everything else that is shuffled is digests and ids.
+are shuffled once, to store them once, and once more to meet their headers; a payload that very many
+records share is joined from plain exchanges, so its headers are split over tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import discard, materialize
+from tallyspark.llm.common import materialize
 
 CRLF = "\r\n"
 # Fixed values of the WARC 1.1 standard.
@@ -137,28 +138,38 @@ def parse_header(header: Column, name: str) -> Column:
     return F.when(header.rlike(rf"(?im)^{name}:"), value)
 
 
-def archive_digests(headers: DataFrame, payloads: DataFrame) -> DataFrame:
-    """(id, record_type, refers_to, payload_bytes, payload_digest) of every record, computed from
-    the stored bytes; fails where a header's digest differs. Payload bytes stay where they are:
-    only their digests meet the headers."""
-    facts = verified(payloads).select("address", F.octet_length("payload").cast("long").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("payload_digest"))
-    facts = materialize(facts, "warc-facts")
-    said = parse_header(F.col("header"), "WARC-Payload-Digest")
-    same = said == F.concat(F.lit("sha1:"), F.col("payload_digest"))
-    return headers.join(facts, "address").select(
+def record_facts(records: DataFrame) -> DataFrame:
+    """(id, record_type, refers_to, payload_bytes, payload_digest) as parsed from :func:`reconstruct`
+    records: the record is cut at its first blank line, its block must have the length its header states
+    and close with two line ends, and the payload must have the digest its header states. A record that
+    does not agree with itself fails the job."""
+    # field values are ASCII but for urls, and a blank line ends the header whatever the url holds
+    head = F.substring_index(F.decode("record", "ISO-8859-1"), CRLF + CRLF, 1)
+    cut = records.withColumn("head", head).withColumn("at", F.length("head") + len(CRLF + CRLF))
+    size = parse_header(F.col("head"), "Content-Length").cast("long")
+    block = F.col("record").substr(F.col("at") + 1, size.cast("int"))
+    whole = (F.octet_length("record") == F.col("at") + size + len(CRLF + CRLF)) & (F.col("record").substr(F.length("record") - 3, F.lit(4)) == F.lit(CRLF + CRLF).cast("binary"))
+    kind = parse_header(F.col("head"), "WARC-Type")
+    payload = F.when(kind == "revisit", F.col("payload")).otherwise(block)
+    digest = sha1_base32(payload)
+    said = parse_header(F.col("head"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), digest)
+    named = F.coalesce(parse_header(F.col("head"), "WARC-Refers-To") == _record_id(F.col("refers_to")), kind != "revisit")
+    agrees = F.coalesce(whole & said & named & (kind == F.col("record_type")), F.lit(False))
+    return cut.select(
         "id",
-        "record_type",
-        "refers_to",
-        "payload_bytes",
-        F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("digest differs from header: "), said)).cast("string")).alias("payload_digest"),
+        F.when(agrees, kind).otherwise(F.raise_error(F.concat(F.lit("record does not agree with itself: "), F.col("head"))).cast("string")).alias("record_type"),
+        F.when(kind == "revisit", F.col("refers_to")).alias("refers_to"),
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        digest.alias("payload_digest"),
     )
 
 
 def archive_pages(df: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Write ``page_id``, ``url``, ``html`` rows to an archive, read it back and describe each
-    record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write ``page_id``, ``url``, ``html`` rows to an archive, read it back, rebuild every record by
+    the join of headers and payloads, and describe it: page_id, payload_bytes, payload_digest,
+    record_type, refers_to. Null html is an empty payload, a null id is never referred to unless all ids
+    of its payload are null; repeated rows are records of their own; other columns are ignored."""
     rows = addressed(df, "page_id", "url", "html")
     headers, payloads = write_archive(rows, min_revisit_bytes=min_revisit_bytes)
-    out = archive_digests(headers, payloads)
-    discard(payloads)
+    out = record_facts(reconstruct(headers, payloads))
     return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -53,7 +53,17 @@ def test_damage_is_noticed(pages):
     headers, payloads = warc.write_archive(warc.addressed(pages, "page_id", "url", "html"))
     damaged = payloads.withColumn("payload", F.concat("payload", F.lit("!").cast("binary")))
     with pytest.raises(Exception, match="does not match its address"):
-        warc.archive_digests(headers, damaged).collect()
+        warc.record_facts(warc.reconstruct(headers, damaged)).collect()
+
+
+@pytest.mark.parametrize("old, new", [("Content-Length: ", "Content-Length: 1"), ("WARC-Payload-Digest: sha1:", "WARC-Payload-Digest: sha1:A"), ("WARC-Type: response", "WARC-Type: revisit"), ("\r\n\r\n", "\r\n")])
+def test_false_headers_are_noticed(pages, old, new):
+    from pyspark.sql import functions as F
+
+    headers, payloads = warc.write_archive(warc.addressed(pages, "page_id", "url", "html"))
+    false = headers.withColumn("header", F.replace("header", F.lit(old), F.lit(new)))
+    with pytest.raises(Exception, match="does not agree with itself"):
+        warc.record_facts(warc.reconstruct(false, payloads)).collect()
 
 
 def test_no_pages(pages):
