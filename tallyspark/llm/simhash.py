@@ -141,13 +141,19 @@ def _grouped(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def simhash_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of each group: of the rows whose id names their component, those of the text with
-    the least hash. Rows that repeat an id and a text stay together. A component of null ids keeps
-    one row."""
-    groups = _grouped(df, id_column, text_column).where(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = materialize(groups.groupBy("label").agg(F.min(F.struct("id", "th")).alias("k")).select(F.col("k.id").alias("__kept"), F.col("k.th").alias("__kept_th")).distinct(), "kept")
+    """One row of each group: that of the least id, of several with that id the one whose text has the
+    least hash, and of rows that repeat both any one. All columns stay, whatever their names."""
+    groups = _grouped(df, id_column, text_column)
+    least = groups.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th")).alias("k"))
+    chosen = groups.select("label", "id", "th").join(least.select(F.col("label").alias("of"), "k"), F.col("label") == F.col("of"))
+    same = F.col("id").eqNullSafe(F.col("k.id")) & (F.col("th") == F.col("k.th"))
+    kept = materialize(chosen.where(same).groupBy("label", "id", "th").agg(F.count(F.lit(1)).alias("n")), "kept")
     th = F.xxhash64(text_column)
-    named = df.join(kept.where("__kept is not null"), (df[id_column] == F.col("__kept")) & (th == F.col("__kept_th")), "left_semi")
-    nameless = df.where(df[id_column].isNull()).join(kept.where("__kept is null"), th == F.col("__kept_th"), "left_semi")
-    one = nameless.groupBy(th.alias("__th")).agg(F.any_value(F.struct(*(nameless[c] for c in nameless.columns))).alias("__row")).select("__row.*")
-    return named.unionByName(one)
+
+    def among(keys: DataFrame) -> DataFrame:
+        return df.join(keys, df[id_column].eqNullSafe(keys["id"]) & (th == keys["th"]), "left_semi")
+
+    repeated = among(kept.where("n > 1"))
+    row = F.any_value(F.struct(*(repeated[c] for c in repeated.columns))).alias("row")
+    once = repeated.groupBy(repeated[id_column], th).agg(row).select("row.*")
+    return among(kept.where("n = 1")).unionByName(once)

@@ -90,8 +90,8 @@ def test_odd_rows(odd_docs, no_docs):
 def test_dedup_keeps_one_of_each_group(odd_docs):
     kept = simhash.simhash_dedup(odd_docs)
     assert kept.columns == odd_docs.columns
-    # ids 1 (twice: the rows repeat), 3 (no words), 6 and the last one name their components
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 1, 3, 6, 2**60 + 1]
+    # ids 1 (whose row stands twice), 3 (no words), 6 and the last one name their components
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 6, 2**60 + 1]
 
 
 def test_dedup_decides_by_row(spark):
@@ -100,3 +100,9 @@ def test_dedup_decides_by_row(spark):
     rows = [(1, b), (5, a), (5, b), (6, a), (7, c), (7, c.upper()), (None, d), (None, d), (None, d.upper()), (None, a)]
     kept = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text.lower()) for r in kept) == [(0, d), (1, b), (5, a), (7, c)]
+
+
+def test_dedup_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "a b c d e", "x", "y")] * 5 + [(2, "f g h i j", "x", "y"), (None, "k l m n o", "x", "y"), (None, "k l m n o", "x", "y")]
+    kept = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string, id string, th string").repartition(3))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, {spark.createDataFrame([r], kept.schema).first() for r in rows}))
