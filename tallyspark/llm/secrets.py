@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import discard, materialize
+from tallyspark.llm.common import discard, fresh, materialize
 
 
 @dataclass(frozen=True)
@@ -168,29 +168,33 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(zipped, begin, step, lambda acc: acc["out"])
 
 
-def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns of ``df`` plus ``secret_spans``, array<struct<start, order, end, kind>> sorted by
-    start, then by the rules' order; end is exclusive and both count code points.
+def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES, spans_column: str = "secret_spans") -> DataFrame:
+    """All columns of ``df`` plus ``spans_column``, array<struct<start, order, end, kind>> sorted by
+    start, then by the rules' order; end is exclusive and both count code points. The index holds the
+    trigrams that the rules ask for; a column of that name in ``df`` is an error.
 
     A null text is empty and has no spans; ids may be null or repeated; no row is lost or doubled.
     Matches are leftmost and do not overlap within a rule; those of several rules may.
     """
     indexed = [r for r in rules if trigram_query(r.pattern) != ("any",)]
     trigrams = sorted(set().union(*(_leaves(trigram_query(r.pattern)) for r in indexed), set()))
+    if spans_column.lower() in map(str.lower, df.columns):
+        raise ValueError(f"the table has a column {spans_column} already")
     text = F.coalesce(F.col(text_column), F.lit(""))
+    key, wanted, row_key = (fresh(df, n) for n in ("secret_key", "secret_wanted", "secret_row"))
     if trigrams:
         postings = materialize(build_postings(df, trigrams, id_column, text_column), "postings")
-        cands = materialize(candidates(postings, rules).withColumnsRenamed({"key": "__key", "wanted": "__wanted"}), "candidates")
+        cands = materialize(candidates(postings, rules).withColumnsRenamed({"key": key, "wanted": wanted}), "candidates")
         discard(postings)
-        joined = df.withColumn("__row_key", _row_key(id_column, text)).join(cands, F.col("__row_key") == F.col("__key"), "left")
+        joined = df.withColumn(row_key, _row_key(id_column, text)).join(cands, F.col(row_key) == F.col(key), "left")
     else:
-        joined = df.withColumn("__wanted", F.array().cast("array<string>"))
+        joined = df.withColumn(wanted, F.array().cast("array<string>"))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     parts = []
     for i, rule in enumerate(rules):
         spans = _spans(text, rule, i)
-        parts.append(F.when(F.array_contains(F.coalesce("__wanted", F.array().cast("array<string>")), rule.kind), spans).otherwise(none) if rule in indexed else F.when(text.rlike(rule.pattern), spans).otherwise(none))
-    return joined.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop("__row_key", "__key", "__wanted")
+        parts.append(F.when(F.array_contains(F.coalesce(wanted, F.array().cast("array<string>")), rule.kind), spans).otherwise(none) if rule in indexed else F.when(text.rlike(rule.pattern), spans).otherwise(none))
+    return joined.withColumn(spans_column, F.array_sort(F.concat(*parts))).select(*df.columns, spans_column)
 
 
 def listed(spans: Column) -> Column:
@@ -217,17 +221,23 @@ def scan_documents(df: DataFrame) -> DataFrame:
 def redact(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every span of its texts replaced by ``mark``; spans that overlap or touch become
     one mark. Null texts stay null."""
-    found = scan(df, id_column, text_column)
+    spans = fresh(df, "secret_spans")
+    found = scan(df, id_column, text_column, spans_column=spans)
     text = F.col(text_column)
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    begin = F.struct(F.lit(-1).alias("to"), F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"))
 
     def step(acc, s):
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        more = F.when((s["start"] > acc["at"]) | (acc["at"] == 0), F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
-
-    clean = F.aggregate("secret_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_column, F.when(F.size("secret_spans") > 0, clean).otherwise(text)).drop("secret_spans")
+        # a span beyond all before it opens a mark, and so ends the one before
+        opens = s["start"] > acc["to"]
+        starts = F.when(opens, F.concat(acc["starts"], F.array(s["start"]))).otherwise(acc["starts"])
+        ends = F.when(opens & (acc["to"] >= 0), F.concat(acc["ends"], F.array(acc["to"]))).otherwise(acc["ends"])
+        return F.struct(F.greatest(acc["to"], s["end"]).alias("to"), starts.alias("starts"), ends.alias("ends"))
+
+    name = fresh(df, "secret_marks")
+    found, marks = found.withColumn(name, F.aggregate(spans, begin, step)), F.col(name)
+    from_, to = F.concat(F.array(F.lit(0)), marks["ends"], F.array(marks["to"])), F.concat(marks["starts"], F.array(F.length(text)))
+    clean = F.array_join(F.zip_with(from_, to, lambda a, z: F.substring(text, a + 1, z - a)), mark)
+    return found.withColumn(text_column, F.when(F.size(spans) > 0, clean).otherwise(text)).select(*df.columns)
 
 
 def brute_force(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int]]:
