@@ -163,12 +163,13 @@ def link_vectors(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 keys = np.sort(hashers[size].keys(_units(list(part["vec"]))), axis=1)
                 new = np.c_[np.ones(len(keys), bool), keys[:, 1:] != keys[:, :-1]]
                 at, _ = np.nonzero(new)
-                yield pd.DataFrame({"size": size, "key": keys[new], "node": part["node"].to_numpy()[at], "n": part["n"].to_numpy()[at], "vec": part["vec"].to_numpy()[at]})
+                yield pd.DataFrame({"size": size, "key": keys[new], "node": part["node"].to_numpy()[at]})
 
-    placed = small_batches(nodes, 2000).mapInPandas(place, "size int, key long, node long, n long, vec binary")
+    # vectors stay behind: only what shares a bucket with another gets its vector again
+    placed = small_batches(nodes, 2000).mapInPandas(place, "size int, key long, node long")
     placed = materialize(placed, "buckets")
     full = materialize(placed.groupBy("size", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "full-buckets")
-    met = placed.join(full, ["size", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = placed.join(full, ["size", "key"]).join(nodes, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     units = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "size", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "vec"
     )
