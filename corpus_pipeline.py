@@ -15,26 +15,32 @@ from tallyspark.llm import packing, paragraphs, secrets, simhash, toxicity
 from tallyspark.llm.common import discard, materialize, table
 
 
+def recounted(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars``, where there is such a column, brought in line with the texts."""
+    if "n_chars" not in docs.columns:
+        return docs
+    size = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(size))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; the others stay as they are."""
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their SimHash, the one with the smallest doc_id stays."""
+    """Of documents linked by their SimHash, one row of the smallest doc_id stays."""
     return simhash.simhash_dedup(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Paragraphs that repeat elsewhere are cut from every document but the first; no document goes."""
-    cut = paragraphs.remove_repeats(docs)
-    return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    """Passages that also stand in another document are cut from every document but the first; no document goes."""
+    return recounted(paragraphs.remove_repeats(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark in the texts; no document goes."""
-    masked = secrets.redact(docs)
-    return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return recounted(secrets.redact(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
