@@ -78,7 +78,13 @@ def allocate(left: np.ndarray, share: np.ndarray, owed: np.ndarray, window: int,
         return None
     if missing > rest.sum():
         return None
-    for i in np.argsort(-(want - take) * (rest > 0) - 1e-9 * rest, kind="stable"):
+    order = np.argsort(-(want - take) * (rest > 0) - 1e-9 * rest, kind="stable")
+    # what rounding down left over goes out one by one, the rest to those furthest behind
+    rounded = order[(rest[order] > 0) & (want[order] > take[order])][:missing]
+    take[rounded] += 1
+    rest[rounded] -= 1
+    missing -= len(rounded)
+    for i in order if missing else ():
         more = min(int(rest[i]), missing)
         take[i] += more
         missing -= more
