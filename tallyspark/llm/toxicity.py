@@ -28,7 +28,6 @@ from tallyspark.llm.common import discard, fold, map_rows, materialize, small_ba
 from tallyspark.llm.langid import bounded_sample
 
 SAMPLE_ROWS = 20_000
-MAX_TERMS = 2_000
 MIN_STEM = 3
 MAX_STEM = 12
 FUZZY_LEAST = 5
@@ -218,9 +217,7 @@ def _terms(sample: DataFrame) -> tuple[dict, dict, frozenset]:
             table.where((F.col("texts") > 2) & (share > base))
             .select("word", odds.alias("odds"), (F.col("texts") * kl).alias("evidence"))
             .where((F.col("odds") > 2.0) & (F.col("evidence") > math.log(max(tried, 2))))
-            .orderBy(F.col("evidence").desc(), "word")
-            .limit(MAX_TERMS)
-            .toPandas()
+            .toPandas()  # words of the sample, so bounded by it
         )
         return dict(zip(rows["word"], rows["odds"].clip(upper=9.0), strict=True))
 
@@ -244,7 +241,7 @@ def _terms(sample: DataFrame) -> tuple[dict, dict, frozenset]:
 
         # look-alikes that clean texts use about as often as chance would have it
         seen = words.where(F.col("texts") - F.col("toxic") >= F.greatest(F.lit(1), F.col("toxic") / 2)).select("word")
-        clean = set(seen.mapInPandas(near, "word string").orderBy("word").limit(50_000).toPandas()["word"])
+        clean = set(seen.mapInPandas(near, "word string").toPandas()["word"])  # again words of the sample
     discard(words)
     discard(starts)
     return term, stem, frozenset(clean)
