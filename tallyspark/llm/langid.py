@@ -6,7 +6,8 @@ a text's words add up; the language with the largest sum wins and a softmax of t
 gives the confidence.
 
 Counts are gathered in the JVM from a bounded sample of labelled rows and reach the executors as
-tables of bounded size: at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams a language and order.
+tables of bounded size: the ``MAX_WORDS`` most frequent words and ``MAX_GRAMS`` most frequent n-grams a
+language and order, with all that tie with the last of them.
 """
 
 from __future__ import annotations
@@ -88,9 +89,9 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, id_column: str = "d
     counts = materialize(sample.select("lang", tokens.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "lang-words")
 
     def top(table: DataFrame, by: list[str], most: int) -> pd.DataFrame:
-        """The most frequent entries of each group, whole counts only, ``most`` of them or fewer."""
+        """The ``most`` most frequent entries of each group, and all others that tie with the last of them."""
         sizes = table.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("m")).toPandas().sort_values([*by, "n"], ascending=[True] * len(by) + [False])
-        fits = sizes[sizes.groupby(by)["m"].cumsum() <= most]
+        fits = sizes[sizes.groupby(by)["m"].cumsum() - sizes["m"] < most]
         least = fits.groupby(by)["n"].min()
         if least.empty:
             return pd.DataFrame(columns=["lang", "word", "n"], dtype=object)
