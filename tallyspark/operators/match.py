@@ -43,17 +43,24 @@ def radius_count(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id
     return pairs.groupBy(*left.columns).agg(F.count_distinct("__id").alias("found"), F.min("__dist").alias("nearest"))
 
 
-def nearest_within(queries: DataFrame, gallery: DataFrame, query_id: str, gallery_id: str, distance: Column, limit: float) -> DataFrame:
+def nearest_within(queries: DataFrame, gallery: DataFrame, query_id: str, gallery_id: str, distance: Column, limit: float, where: Column | None = None, blocks: tuple[int, int] = (64, 4)) -> DataFrame:
     """Per query: the gallery row of least distance, the smallest id of equally near ones; null and
-    no distance unless it is below ``limit``. ``distance`` is over the columns of both sides.
+    no distance unless it is below ``limit``, also where no row is left to compare. ``distance`` is over the
+    columns of both sides, as is ``where``, which rows may be compared.
 
-    Every query meets the whole gallery: the gallery is a registry, and a stated query set runs
-    against it. The best match is kept by a combining aggregate, so no query's candidates pile up.
+    Every query meets the whole gallery, in blocks: gallery rows are dealt to the first number of
+    blocks and queries to the second, each side goes to every block of the other, and an equi-join
+    on the pair of blocks compares them. A block's best match per query is kept by a combining aggregate.
     """
-    pairs = queries.join(gallery).withColumn("__d", distance)
+    many, few = blocks
+    left = queries.withColumn("__qb", F.pmod(F.xxhash64(query_id), F.lit(few))).withColumn("__gb", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    right = gallery.withColumn("__gb2", F.pmod(F.xxhash64(gallery_id), F.lit(many))).withColumn("__qb2", F.explode(F.sequence(F.lit(0), F.lit(few - 1))))
+    met = (F.col("__qb") == F.col("__qb2")) & (F.col("__gb") == F.col("__gb2"))
+    pairs = left.join(right, met if where is None else met & where).withColumn("__d", distance)
     best = pairs.groupBy(query_id).agg(F.min(F.struct(F.col("__d").alias("d"), F.col(gallery_id).alias("id"))).alias("b"))
     hit = F.col("b.d") < limit
-    return best.select(query_id, F.when(hit, F.col("b.id")).alias("match_id"), F.when(hit, F.col("b.d")).alias("distance"))
+    matched = best.select(F.col(query_id).alias("__q"), F.when(hit, F.col("b.id")).alias("match_id"), F.when(hit, F.col("b.d")).alias("distance"))
+    return queries.select(query_id).join(matched, F.col(query_id).eqNullSafe(F.col("__q")), "left").drop("__q")
 
 
 def first_box(points: DataFrame, boxes: DataFrame, point_id: str, x: str, y: str, margin: float = 0.0) -> DataFrame:

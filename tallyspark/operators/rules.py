@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,21 @@ def quarantine(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
 
 def overflow_list(values: Column, most: int) -> Column:
     """The first ``most`` entries joined with commas, then how many more there are."""
-    more = F.size(values) - most
-    shown = F.concat_ws(", ", F.slice(values, 1, most))
+    return overflow_text(F.slice(values, 1, most), F.size(values), most)
+
+
+def overflow_text(first: Column, count: Column, most: int) -> Column:
+    """``first``, the first ``most`` of ``count`` entries, joined with commas, then how many more there are."""
+    more, shown = count - most, F.concat_ws(", ", first)
     return F.when(more > 0, F.concat(shown, F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(shown)
+
+
+def first_and_more(df: DataFrame, key: str, value: str, most: int) -> DataFrame:
+    """(key, shown): the ``most`` least values of each key as a list, with the number of the others. A
+    key's rows are ranked, not gathered: Spark keeps the first ranks of each task before it shuffles."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    first = df.where(F.col(value).isNotNull()).select(key, value).withColumn("__rank", rank).where(F.col("__rank") <= most)
+    lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__rank", F.col(value).cast("string").alias("v")))).alias("__first"))
+    counts = df.groupBy(F.col(key).alias("__key")).agg(F.count(value).alias("__n"))
+    shown = overflow_text(F.coalesce(F.col("__first")["v"], F.array().cast("array<string>")), F.col("__n"), most)
+    return counts.join(lists, F.col("__key").eqNullSafe(F.col(key)), "left").select(F.col("__key").alias(key), shown.alias("shown"))

@@ -32,11 +32,11 @@ def sibling_gap_fill(spark, sf_dir):
 
 
 def nearest_with_threshold(spark, sf_dir):
-    """Every twentieth vector against the gallery of all others."""
+    """Every twentieth vector against all vectors but itself."""
     e = table(spark, sf_dir, "embeddings")
     queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
-    gallery = e.where("vec_id % 20 <> 0").select(F.col("vec_id").alias("g"), F.col("embedding").alias("gv"))
-    out = M.nearest_within(queries, gallery, "q", "g", C.vector_distance(F.col("qv"), F.col("gv")), 1.2)
+    gallery = e.select(F.col("vec_id").alias("g"), F.col("embedding").alias("gv"))
+    out = M.nearest_within(queries, gallery, "q", "g", C.vector_distance(F.col("qv"), F.col("gv")), 1.2, F.col("q") != F.col("g"))
     return out.select("q", "match_id", F.round("distance", 6).alias("distance"))
 
 
@@ -70,23 +70,25 @@ def nearest_column(spark, sf_dir):
 
 
 def probe_lookup(spark, sf_dir):
+    """Sizes looked up in a table that has values at every fourth size only."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").alias("bucket"))
-    depth = table(spark, sf_dir, "part").where("p_partkey % 9 = 0").select("p_brand", F.col("p_size").alias("bucket"), F.col("p_partkey").alias("z"))
+    depth = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") * 4).alias("bucket"), F.col("p_partkey").alias("z"))
     return M.probe_lookup(rows, depth, ["p_brand"], "bucket", "z", "p_partkey").select("p_partkey", "z")
 
 
 def near_dup_pairs(spark, sf_dir):
-    """Vectors of one label whose first coordinate lies in a band and whose distance is below 1.3, as counts."""
+    """Pairs of vectors of one label whose distance is below 1.3, as counts. First coordinates of such a pair are
+    less than 1.3 apart, so the band loses none."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("c"), "embedding")
     other = e.select("label", F.col("vec_id").alias("v2"), F.col("c").alias("c2"), F.col("embedding").alias("e2"))
-    pairs = M.band_join(e, other, ["label"], "c", "c2", 0.05).where("vec_id < v2")
+    pairs = M.band_join(e, other, ["label"], "c", "c2", 1.3).where("vec_id < v2")
     close = pairs.where(C.vector_distance(F.col("embedding"), F.col("e2")) < 1.3)
     return close.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def registry_lookup(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf_dir, "nation").where("n_nationkey % 4 <> 0")
+    n = table(spark, sf_dir, "nation")
     return c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").select("c_custkey", F.coalesce("n_name", F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string"))).alias("name"), F.col("n_name").isNull().alias("auto_registered"))
 
 
@@ -117,8 +119,9 @@ def set_bag_union(spark, sf_dir):
 
 
 def set_except(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    return a.exceptAll(table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("k")).distinct())
+    """Documents without a label."""
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"))
+    return a.subtract(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("k")))
 
 
 def set_intersect(spark, sf_dir):
@@ -170,23 +173,23 @@ ORACLES = {
     "phantom_anti": SCHED + "SELECT dia, COUNT(*) AS n FROM sched WHERE l_returnflag IN ('A','N') AND dia IS NOT NULL AND dia NOT IN (SELECT dia FROM sched WHERE l_linenumber = 1 AND dia > 10) GROUP BY 1",
     "sibling_gap_fill": SCHED + """, r AS (SELECT * FROM sched WHERE dia IS NOT NULL), c AS (SELECT panel, l_suppkey, COUNT(*) AS n FROM r GROUP BY 1, 2), b AS (SELECT panel, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY panel ORDER BY n DESC, l_suppkey) AS rn FROM c) WHERE rn = 1)
         SELECT r.panel, r.dia, COUNT(*) AS n FROM r JOIN b ON r.panel = b.panel AND r.l_suppkey = b.l_suppkey WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.l_suppkey = 5 AND o.panel = r.panel AND o.dia = r.dia) GROUP BY 1, 2""",
-    "nearest_with_threshold": f"""WITH p AS (SELECT q.vec_id AS q, g.vec_id AS g, {_DIST.format(a='q.embedding', b='g.embedding')} AS d FROM embeddings q, embeddings g WHERE q.vec_id % 20 = 0 AND g.vec_id % 20 <> 0),
+    "nearest_with_threshold": f"""WITH p AS (SELECT q.vec_id AS q, g.vec_id AS g, {_DIST.format(a='q.embedding', b='g.embedding')} AS d FROM embeddings q, embeddings g WHERE q.vec_id % 20 = 0 AND g.vec_id <> q.vec_id),
         b AS (SELECT q, g, d FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, g) AS rn FROM p) WHERE rn = 1) SELECT q, CASE WHEN d < 1.2 THEN g END AS match_id, CASE WHEN d < 1.2 THEN ROUND(d, 6) END AS distance FROM b""",
     "radius_count": f"""WITH e AS ({_XY}), t AS (SELECT event_id, event_type FROM events), l AS (SELECT e.* FROM e JOIN t USING (event_id) WHERE event_type = 'signup'), r AS (SELECT e.* FROM e JOIN t USING (event_id) WHERE event_type <> 'signup')
         SELECT l.event_id AS call, COUNT(DISTINCT r.event_id) AS found, ROUND(MIN(sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y))), 6) AS nearest FROM l LEFT JOIN r ON l.k = r.k AND sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y)) <= 20 GROUP BY 1""",
     "band_join_counts": "WITH e AS (SELECT user_id, event_type, floor(epoch_us(ts) / 1000000.0) AS s FROM events) SELECT a.user_id, COUNT(*) AS n FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'view' AND abs(a.s - b.s) <= 3600 GROUP BY 1",
     "first_box_lookup": "SELECT event_id, COALESCE(MIN(b.i), -1) AS box_idx FROM events e LEFT JOIN (SELECT CAST(i AS INT) AS i FROM range(8) t(i)) b ON CAST(user_id % 50 AS DOUBLE) BETWEEN i * 6 - 0.5 AND i * 6 + 9.5 AND value BETWEEN i * 5 - 0.5 AND i * 5 + 25.5 GROUP BY 1",
     "nearest_column": "WITH c AS (SELECT p_partkey, x.i, abs(p_size - x.v) AS d FROM part, (VALUES (0, 2.0), (1, 11.0), (2, 19.0), (3, 33.0), (4, 47.0)) x(i, v)) SELECT p_partkey, CASE WHEN MIN(d) <= 5 THEN arg_min(i, d + i * 1e-6) END AS \"column\" FROM c GROUP BY 1",
-    "probe_lookup": """WITH d AS (SELECT p_brand, p_size, MIN(p_partkey) AS z FROM part WHERE p_partkey % 9 = 0 GROUP BY 1, 2), t AS (SELECT p.p_partkey, z, o.r FROM part p, (VALUES (0, 0), (1, -1), (2, 1), (3, -2), (4, 2)) o(r, off) JOIN d ON d.p_brand = p.p_brand AND d.p_size = p.p_size + o.off)
+    "probe_lookup": """WITH d AS (SELECT p_brand, p_size * 4 AS p_size, MIN(p_partkey) AS z FROM part GROUP BY 1, 2), t AS (SELECT p.p_partkey, z, o.r FROM part p, (VALUES (0, 0), (1, -1), (2, 1), (3, -2), (4, 2)) o(r, off) JOIN d ON d.p_brand = p.p_brand AND d.p_size = p.p_size + o.off)
         SELECT p.p_partkey, b.z FROM part p LEFT JOIN (SELECT p_partkey, arg_min(z, r) AS z FROM t GROUP BY 1) b ON p.p_partkey = b.p_partkey""",
-    "near_dup_pairs": f"SELECT a.label, COUNT(*) AS n FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND abs(CAST(a.embedding[1] AS DOUBLE) - CAST(b.embedding[1] AS DOUBLE)) <= 0.05 WHERE {_DIST.format(a='a.embedding', b='b.embedding')} < 1.3 GROUP BY 1",
-    "registry_lookup": "SELECT c_custkey, COALESCE(n_name, 'nation-' || c_nationkey) AS name, n_name IS NULL AS auto_registered FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 0) ON c_nationkey = n_nationkey",
+    "near_dup_pairs": f"SELECT a.label, COUNT(*) AS n FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_DIST.format(a='a.embedding', b='b.embedding')} < 1.3 GROUP BY 1",
+    "registry_lookup": "SELECT c_custkey, COALESCE(n_name, 'nation-' || c_nationkey) AS name, n_name IS NULL AS auto_registered FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
     "label_evidence": "SELECT a.p_partkey AS label_id, COUNT(DISTINCT b.p_partkey) AS n FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey % 11 = 0 AND b.p_partkey % 11 <> 0 AND abs(a.p_size - b.p_size) <= 1 GROUP BY 1 HAVING COUNT(DISTINCT b.p_partkey) >= 3",
     "companion_views": """WITH v AS (SELECT p_brand, COUNT(*) AS ents, CAST(SUM(p_size) AS BIGINT) AS width, AVG(p_retailprice) AS height FROM part GROUP BY 1), m AS (SELECT width AS w, height AS h, ents AS e FROM v ORDER BY ents DESC, p_brand DESC LIMIT 1)
         SELECT p_brand, ents, width FROM v, m WHERE abs(height - h) <= 0.02::DOUBLE * h AND width BETWEEN w * 0.25 AND w * 1.5 AND ents >= 0.3 * e""",
     "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "set_bag_union": "SELECT k, COUNT(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1",
-    "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_custkey % 3 = 0",
+    "set_except": "SELECT doc_id AS k FROM documents EXCEPT SELECT doc_id FROM labels",
     "set_intersect": "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders",
     "subset_test": "SELECT l_suppkey, COUNT(DISTINCT l_linenumber) FILTER (WHERE l_linenumber BETWEEN 1 AND 7) = 7 AS has_all FROM lineitem GROUP BY 1",
 }

@@ -200,3 +200,26 @@ def test_shortfall_and_distribution(spark):
         budget.expand_shortfall(df, "want", "have", most=1).collect()
     units = [r.u for r in spark.range(4).select(budget.distribute(F.lit(10), F.lit(4), F.col("id")).alias("u")).collect()]
     assert units == [3, 3, 2, 2]
+
+
+def test_one_sided_keys(spark):
+    a, b = (spark.createDataFrame(r, "k long, v double") for r in ([(1, 5.0), (1, 5.0), (2, 1.0)], [(1, 10.0), (3, 4.0)]))
+    both = tally.full_outer(tally.tally(a, "k", {"x": F.col("v")}), tally.tally(b, "k", {"y": F.col("v")}), "k")
+    assert sorted(map(tuple, both.collect())) == [(1, 10.0, 10.0), (2, 1.0, 0.0), (3, 0.0, 4.0)]
+    assert {r.k: r.status for r in tally.compare(both, "x", "y", 0.1).collect()} == {1: "OK", 2: "OVER", 3: "SHORT"}
+
+
+def test_nearest_in_blocks(spark):
+    points = spark.createDataFrame([(i, float(i * i)) for i in range(30)], "g long, x double")
+    queries = points.where("g % 10 = 0").select(F.col("g").alias("q"), F.col("x").alias("qx"))
+    for blocks in ((1, 1), (7, 3)):
+        got = match.nearest_within(queries, points, "q", "g", F.abs(F.col("qx") - F.col("x")), 30.0, F.col("q") != F.col("g"), blocks).collect()
+        assert sorted(map(tuple, got)) == [(0, 1, 1.0), (10, 9, 19.0), (20, None, None)]
+    lone = match.nearest_within(queries.where("q = 0"), points.where("g = 0"), "q", "g", F.abs(F.col("qx") - F.col("x")), 30.0, F.col("q") != F.col("g")).collect()
+    assert list(map(tuple, lone)) == [(0, None, None)]
+
+
+def test_first_and_more(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(12, 0, -1)] + [("b", 3), ("b", None), ("c", None), (None, 1)], "k string, v long")
+    got = {r.k: r.shown for r in rules.first_and_more(rows, "k", "v", 5).collect()}
+    assert got == {"a": "1, 2, 3, 4, 5 +7 more", "b": "3", "c": "", None: "1"}
