@@ -5,18 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Category rules in order, block kinds in order, and units in mm.
+# Category rules in order; block kinds of panel drawings and of cast-in parts, in order;
+# units in mm; location words; callout grammar, and the pitch callouts of single bar kinds.
 CATEGORY_RULES = (
-    ("count", r"\d+\)?\s*-\s*\(?T\d+"),
-    ("pitch", r"T\d+\s*@\s*\d+"),
-    ("u-bar", r"(?i)u-?\s*bar"),
-    ("tie", r"(?i)\btie"),
-    ("number", r"^\s*\d+(\.\d+)?\s*$"),
-    ("Nn", r"^\s*N\d+\s*$"),
+    ("count", r"\d+\s*-\s*T\d+"),
+    ("pitch", r"(?i)T\d+\s*[A-Z ]*@\s*\d+"),
+    ("pitch", r"(?is)^(?=.*@)(?=.*T\d+)"),
+    ("u-bar", r"(?i)UBAR|U-BAR|U BAR"),
+    ("tie", r"(?i)TIE"),
+    ("number", r"^[\d.]+$"),
+    ("Nn", r"(?i)\bN\d+\b"),
 )
-BLOCK_KINDS = (("sleeve", "sleeve"), ("loop", "loop"), ("lifter", "lifter"), ("anchor", "lifter"), ("socket", "socket"), ("plate", "plate"), ("box", "box"))
+BLOCK_KINDS = (("corbel", "corbel"), ("wire loop", "loop"), ("loopbox", "loop"), ("spread anchor", "anchor"), ("rr-sa", "anchor"), ("stiffener", "embed"), ("channel", "embed"))
+CAST_IN_KINDS = (("corbel", "corbel"), ("anchor", "anchor"), ("loopbox", "anchor"), ("stiffener", "channel"), ("channel", "channel"), ("", "other"))
 UNIT_MM = (("mm", 1.0), ("cm", 10.0), ("m", 1000.0), ("ft", 304.8), ("'", 304.8))
-LOCATION_WORDS = "WALL|CORBEL|SLAB|BEAM|COLUMN|OPENING|LOOP"
+LOCATION_WORDS = "WALL|CORBEL|MOULD|FACE|SLAB|BEAM|COLUMN"
+COUNT_CALLOUT = r"(?is)^-?\s*(\d+)\s*-\s*T(\d+)\s*(.*)$"
+PITCH_CALLOUT = r"(?is)^T(\d+)\s*(UBAR|U\s*BAR|TIES?|HOOK)?\s*@\s*(\d+)\s*mm\s*(.*)$"
+BARE_CALLOUT = r"(?i)^T(\d+)$"
+MARK_CALLOUT = r"^[A-Z]{1,2}\d{0,2}$"
+BAR_PITCHES = (
+    ("tie", r"(?i)T(\d+)\s*Ties?\s*@\s*(\d+)\s*mm"),
+    ("u-bar", r"(?i)T(\d+)\s*UBAR\s*@\s*(\d+)\s*mm"),
+    ("hook", r"(?i)T(\d+)\s*Hook\s*@\s*(\d+)\s*mm"),
+    ("plain", r"(?i)T(\d+)\s*@\s*(\d+)\s*mm"),
+)
+CRACK_BAR = r"(?i)(\d+)\s*-\s*T(\d+)[^\d]*CRACK\s*BAR"
 
 
 def parse_number(text: Column) -> Column:
@@ -33,30 +47,52 @@ def canonical_space(text: Column) -> Column:
 
 
 def callout(text: Column) -> Column:
-    """struct(kind, dia, count, pitch, mark) of a drawing callout.
+    """struct(kind, dia, count, pitch, mark, note) of a drawing callout.
 
     The first rule that fits decides: count and diameter (on text without parentheses), diameter at
-    pitch, bare diameter (count 1), mark reference, unparsed. What a rule lacks is null.
+    pitch, with or without the kind of bar, bare diameter (count 1), mark reference, unparsed. Case
+    does not matter but in marks; the note is what follows. What a rule lacks is null; a null text has no callout.
     """
-    flat = canonical_space(text)
-    bare = canonical_space(F.regexp_replace(text, r"[()]", ""))
-    counted, pitched, plain, mark = r"(\d+)\s*-\s*T(\d+)", r"T(\d+)\s*@\s*(\d+)", r"^T(\d+)$", r"^([A-Z]\d{0,2})$"
+    flat = F.trim(F.replace(text, F.lit("\n"), F.lit(" ")))
+    bare = canonical_space(F.regexp_replace(flat, r"[()]", ""))
+
+    def part(source: Column, pattern: str, group: int) -> Column:
+        return F.trim(F.regexp_extract(source, pattern, group))
 
     def whole(source: Column, pattern: str, group: int) -> Column:
-        return F.regexp_extract(source, pattern, group).try_cast("int")
+        return part(source, pattern, group).try_cast("int")
 
-    none = F.lit(None).cast("int")
+    none, nothing = F.lit(None).cast("int"), F.lit(None).cast("string")
+    note = F.trim(F.concat(part(flat, PITCH_CALLOUT, 2), F.lit(" "), part(flat, PITCH_CALLOUT, 4)))
     rules = (
-        (bare.rlike(counted), "count", whole(bare, counted, 2), whole(bare, counted, 1), none, F.lit(None)),
-        (flat.rlike(pitched), "pitch", whole(flat, pitched, 1), none, whole(flat, pitched, 2), F.lit(None)),
-        (flat.rlike(plain), "dia", whole(flat, plain, 1), F.lit(1), none, F.lit(None)),
-        (flat.rlike(mark), "mark", none, none, none, F.regexp_extract(flat, mark, 1)),
+        (bare.rlike(COUNT_CALLOUT), "count", whole(bare, COUNT_CALLOUT, 2), whole(bare, COUNT_CALLOUT, 1), none, nothing, part(bare, COUNT_CALLOUT, 3)),
+        (flat.rlike(PITCH_CALLOUT), "pitch", whole(flat, PITCH_CALLOUT, 1), none, whole(flat, PITCH_CALLOUT, 3), nothing, note),
+        (flat.rlike(BARE_CALLOUT), "dia", whole(flat, BARE_CALLOUT, 1), F.lit(1), none, nothing, F.lit("")),
+        (flat.rlike(MARK_CALLOUT), "mark", none, none, none, flat, nothing),
+        (text.isNotNull(), "unparsed", none, none, none, nothing, nothing),
     )
-    out = F.struct(F.lit("unparsed").alias("kind"), none.alias("dia"), none.alias("count"), none.alias("pitch"), F.lit(None).cast("string").alias("mark"))
-    for fits, kind, dia, count, pitch, name in reversed(rules):
-        made = F.struct(F.lit(kind).alias("kind"), dia.alias("dia"), count.alias("count"), pitch.alias("pitch"), name.cast("string").alias("mark"))
+    out = F.lit(None)
+    for fits, *values in reversed(rules):
+        names = "kind", "dia", "count", "pitch", "mark", "note"
+        made = F.struct(F.lit(values[0]).alias("kind"), *(v.alias(n) for v, n in zip(values[1:], names[1:], strict=True)))
         out = F.when(fits, made).otherwise(out)
-    return F.when(text.isNotNull(), out)
+    return out
+
+
+def bar_pitch(text: Column) -> Column:
+    """struct(kind, dia, pitch) of the first pitch callout of ties, u-bars, hooks or plain bars, tried in
+    that order anywhere in the text; null without one."""
+    out = F.lit(None)
+    for kind, pattern in reversed(BAR_PITCHES):
+        made = F.struct(F.lit(kind).alias("kind"), *(F.regexp_extract(text, pattern, i).try_cast("int").alias(n) for i, n in ((1, "dia"), (2, "pitch"))))
+        out = F.when(text.rlike(pattern), made).otherwise(out)
+    return out
+
+
+def crack_bars(text: Column) -> Column:
+    """struct(count, dia) of a callout of crack bars; null without one."""
+    made = F.struct(*(F.regexp_extract(text, CRACK_BAR, i).try_cast("int").alias(n) for i, n in ((1, "count"), (2, "dia"))))
+    return F.when(text.rlike(CRACK_BAR), made)
 
 
 def count_callout(text: Column) -> Column:
@@ -148,7 +184,7 @@ def data_url_bytes(text: Column) -> Column:
 
 def locations(cells: Column) -> Column:
     """The cells that name a location or a cover, joined with spaces."""
-    return F.concat_ws(" ", F.filter(cells, lambda c: c.rlike(rf"(?i)\b({LOCATION_WORDS})\b|^-?\s*\d+\s*mm$")))
+    return F.concat_ws(" ", F.filter(cells, lambda c: F.trim(c).rlike(rf"(?i)^({LOCATION_WORDS})$|^-?\s*\d+\s*mm$")))
 
 
 def diameter_label(dia: Column) -> Column:

@@ -392,7 +392,7 @@ def sanity_rules(low: float = 20.0, high: float = 400.0) -> list[Rule]:
 
 def panel_facts(panels: DataFrame, bars: DataFrame) -> DataFrame:
     """What :func:`sanity_rules` look at, in one pass over bars (panel, length, kg, z_low, z_high)."""
-    diagonal = F.sqrt(F.col("width") ** 2 + F.col("height") ** 2)
+    diagonal = F.sqrt(F.col("width") ** 2 + F.col("height") ** 2 + F.col("thickness") ** 2)
     joined = panels.join(bars, panels["name"] == bars["panel"], "left")
     return joined.groupBy("name", "width", "height", "thickness", "volume").agg(
         F.coalesce(F.sum("kg"), F.lit(0.0)).alias("kg"), F.count("panel").alias("n_bars"), F.min("z_low").alias("z_low"), F.max("z_high").alias("z_high"), F.count_if(F.col("length") > 1.5 * diagonal).alias("n_long")

@@ -81,11 +81,38 @@ def test_numbers(spark, text, number, integer):
     assert one(spark, T.parse_number(F.lit(text))) == number and one(spark, T.parse_integer(F.lit(text))) == integer
 
 
-@pytest.mark.parametrize("text, want", [("-(26) -(T8)", ("count", 8, 26, None, None)), ("T12 @ 150", ("pitch", 12, None, 150, None)), (" T16 ", ("dia", 16, 1, None, None)), ("A1", ("mark", None, None, None, "A1")), ("see note", ("unparsed", None, None, None, None))])
+CALLS = [
+    ("-(26) -(T8)", ("count", 8, 26, None, None, "")),
+    ("2 -t12 Crack Bar", ("count", 12, 2, None, None, "Crack Bar")),
+    ("-(61) -(T8 U Bar)", ("count", 8, 61, None, None, "U Bar")),
+    ("T12 @ 150mm", ("pitch", 12, None, 150, None, "")),
+    ("T10 TIES @ 150mm", ("pitch", 10, None, 150, None, "TIES")),
+    ("T10 UBAR @ 200 mm B1", ("pitch", 10, None, 200, None, "UBAR B1")),
+    ("T12 @ 150", ("unparsed", None, None, None, None, None)),
+    (" T16 ", ("dia", 16, 1, None, None, "")),
+    ("t12", ("dia", 12, 1, None, None, "")),
+    ("A1", ("mark", None, None, None, "A1", None)),
+    ("AB1", ("mark", None, None, None, "AB1", None)),
+    ("see 2-T8", ("unparsed", None, None, None, None, None)),
+]
+
+
+@pytest.mark.parametrize("text, want", CALLS)
 def test_callouts(spark, text, want):
     assert tuple(one(spark, T.callout(F.lit(text)))) == want
 
 
+def test_bar_pitches(spark):
+    texts = ("x T8 Ties @ 75 mm", "T10UBAR@200mm", "T10 hook @ 5 mm", "T6@100mm", "T6 Hoop @ 100 mm", None)
+    assert [one(spark, T.bar_pitch(F.lit(t))) for t in texts] == [("tie", 8, 75), ("u-bar", 10, 200), ("hook", 10, 5), ("plain", 6, 100), None, None]
+    assert one(spark, T.crack_bars(F.lit("2 - T16 long Crack Bar"))) == (2, 16) and one(spark, T.crack_bars(F.lit("2 - T16 8 crack bar"))) is None
+
+
+def test_categories(spark):
+    texts = ("T10 UBAR @ 200", "U-Bar T8", "PARTIES", "1.2", "a n12", "2 - T8", "x")
+    assert [one(spark, T.category(F.lit(t))) for t in texts] == ["pitch", "u-bar", "tie", "number", "Nn", "count", "other"]
+
+
 def test_labels(spark):
     assert [one(spark, T.format_duration(F.lit(ms))) for ms in (-5000, 59_999, 3_600_000, 5_430_000)] == ["0m", "0m", "1h 0m", "1h 30m"]
     assert [one(spark, T.format_clock(F.lit(c))) for c in ("00:05:00", "12:00:00", "23:59:59", "")] == ["12:05 AM", "12:00 PM", "11:59 PM", "—"]
@@ -95,7 +122,8 @@ def test_labels(spark):
     assert one(spark, T.data_url_bytes(F.lit("data:image/png;base64,aGk="))) == bytearray(b"hi")
     assert one(spark, T.data_url_bytes(F.lit("aGk="))) is None
     assert one(spark, T.ragged_row(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(2))) == ["a", "b"]
-    assert one(spark, T.locations(F.array(F.lit("WALL A"), F.lit("x"), F.lit("- 30 mm")))) == "WALL A - 30 mm"
+    assert one(spark, T.locations(F.array(F.lit("wall"), F.lit("WALL A"), F.lit("MOULD"), F.lit("x"), F.lit("- 30 mm")))) == "wall MOULD - 30 mm"
     assert one(spark, T.revision(F.lit("PW-01(R2)"))) == 2 and one(spark, T.base_name(F.lit("PW-01 (S)"))) == "PW-01"
-    assert one(spark, T.block_kind(F.lit("Lifting Anchor M16"))) == "lifter"
+    assert one(spark, T.block_kind(F.lit("Spread Anchor M16"))) == "anchor" and one(spark, T.block_kind(F.lit("Lifting Anchor"))) is None
+    assert one(spark, T.block_kind(F.lit("Lifting Anchor"), T.CAST_IN_KINDS)) == "anchor" and one(spark, T.block_kind(F.lit("x"), T.CAST_IN_KINDS)) == "other"
     assert one(spark, T.sheet_name(F.lit("a/b:[c]" * 9))) == ("abc" * 9)[:27]
