@@ -24,12 +24,11 @@ are repeats from their first word to their last. A repeat within one document al
 
 from __future__ import annotations
 
+import functools
 import re
-from itertools import chain
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,14 +43,15 @@ BANDS = 8
 ROWS = 3
 RUN_ROWS = 2
 BLOCK = 256
-MEMO_WORDS = 150_000
 SLICE_WORDS = 500_000
+SLICE_CHARS = 1_000_000
 _RNG = np.random.default_rng(11)
 _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _MULTIPLY = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
-WORD = re.compile(r"\S+")
+# whether a code point is white space; the last entry stands for all beyond
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 
 
 def text_hash(column: str) -> Column:
@@ -73,18 +73,51 @@ def jaccard(a: set, b: set) -> float:
     return shared / (len(a) + len(b) - shared) if a or b else 1.0
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered between calls."""
-
-    def __init__(self):
-        self.memo: dict[str, int] = {}
-
-    def __call__(self, texts: list[list[str]]) -> np.ndarray:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo, digest = self.memo, xxhash.xxh3_64_intdigest
-        memo.update((w, digest(w)) for w in set(chain.from_iterable(texts)).difference(memo))
-        return np.fromiter(map(memo.__getitem__, chain.from_iterable(texts)), dtype=np.uint64)
+@functools.lru_cache(maxsize=4)
+def _powers(multiplier: int, count: int) -> np.ndarray:
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(count - 1, multiplier, dtype=np.uint64)])
+
+
+class Words:
+    """The words of some texts in a row: their code point spans in the texts joined by line ends, and in
+    ``first`` and ``sizes`` where the words of each text begin and how many they are."""
+
+    def __init__(self, texts: list[str]):
+        joined = "\n".join(texts)
+        lengths = np.array([len(t) for t in texts])
+        self.begin = np.cumsum(lengths + 1) - lengths - 1
+        self.codes = self._codes(joined)
+        self.starts, self.stops = self._bounds(self.codes)
+        low = joined.lower()
+        # a few characters become two in lower case; words stay words
+        self.low = self.codes if low == joined else self._codes(low)
+        self.low_bounds = (self.starts, self.stops) if len(low) == len(joined) else self._bounds(self.low)
+        self.first = np.searchsorted(self.starts, self.begin)
+        self.sizes = np.diff(np.r_[self.first, len(self.starts)])
+
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+    @staticmethod
+    def _bounds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inside = ~_SPACE[np.minimum(codes, len(_SPACE) - 1)]
+        edge = np.diff(np.r_[np.int8(0), inside.view(np.int8), np.int8(0)])
+        return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+    def hashes(self, multiplier: np.uint64) -> np.ndarray:
+        """64-bit hashes of the words in lower case."""
+        starts, stops = self.low_bounds
+        sizes = stops - starts
+        if not len(sizes):
+            return np.zeros(0, dtype=np.uint64)
+        chars = self.low[~_SPACE[np.minimum(self.low, len(_SPACE) - 1)]].astype(np.uint64)
+        at = np.cumsum(sizes) - sizes
+        power = _powers(int(multiplier), 1 << int(sizes.max()).bit_length())
+        h = np.add.reduceat((chars + np.uint64(1)) * power[np.arange(len(chars)) - np.repeat(at, sizes)], at)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
 
 
 def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -166,48 +199,40 @@ def paragraph_table(df: DataFrame, id_column: str, text_column: str) -> DataFram
     hash of the words and th that of the whole text."""
 
     def run(batches):
-        word_hashes = WordHashes()
         for b in batches:
-            held: list[tuple] = []
-            for key, th, text in zip(b["id"], b["th"], b["text"], strict=True):
-                if text is None or len(text) < 2 * MIN_WORDS - 1:
-                    continue
-                lines = text.split("\n")
-                words = [words_of(x) for x in lines]
-                if sum(map(len, words)) >= MIN_WORDS:
-                    held.append((key, th, text, lines, words))
-            for a, z in slices([len(h[2]) for h in held], 6 * SLICE_WORDS):
-                yield from table(held[a:z], word_hashes)
-
-    def table(part, word_hashes):
-        hashes = word_hashes([w for h in part for w in h[4]])
-        sizes = np.array([sum(map(len, h[4])) for h in part])
-        starts = np.cumsum(sizes) - sizes
+            long = b[b["text"].str.len() >= 2 * MIN_WORDS - 1]
+            for a, z in slices(long["text"].str.len().tolist(), SLICE_CHARS):
+                yield table(long.iloc[a:z])
+
+    def table(part: pd.DataFrame) -> pd.DataFrame:
+        words = Words(part["text"].tolist())
+        hashes = words.hashes(_GOLDEN)
         keys = run_keys(hashes)
-        rows, bands, spans = [], [], []
-        at = 0
-        for (key, th, text, lines, words), first, size in zip(part, starts.tolist(), sizes.tolist(), strict=True):
-            body = text.lstrip()
-            begin = len(text) - len(body)
-            rows.append((key, th, -1, begin, begin + len(body.rstrip()), 0))
-            bands.append(np.unique(keys[first : first + size - MIN_WORDS + 1]))
-            char = 0
-            for pos, (line, own) in enumerate(zip(lines, words, strict=True)):
-                if len(own) >= MIN_WORDS:
-                    rows.append((key, th, pos, char, char + len(line), xxhash.xxh3_64_intdigest(" ".join(own))))
-                    bands.append(None)
-                    spans.append((len(rows) - 1, at, at + len(own)))
-                char += len(line) + 1
-                at += len(own)
-        if spans:
-            own = np.concatenate([hashes[a:z] for _, a, z in spans])
-            width = np.array([z - a for _, a, z in spans])
-            for (i, _, _), k in zip(spans, min_hashes(own, np.cumsum(width) - width), strict=True):
-                bands[i] = k
-        out = pd.DataFrame(rows, columns=["id", "th", "pos", "start", "stop", "ph"])
-        out["ph"] = out["ph"].to_numpy(dtype=np.uint64).view(np.int64)
-        out["bands"] = bands
-        yield out
+        own = np.flatnonzero(words.sizes >= MIN_WORDS)
+        begin, first, size = words.begin[own], words.first[own], words.sizes[own]
+        whole = pd.DataFrame({"at": own, "pos": -1, "start": words.starts[first] - begin, "stop": words.stops[first + size - 1] - begin, "ph": 0})
+        whole["bands"] = [np.unique(keys[a:z]) for a, z in zip(first.tolist(), (first + size - MIN_WORDS + 1).tolist(), strict=True)]
+
+        ends = np.r_[np.flatnonzero(words.codes == 10), len(words.codes)]
+        starts = np.r_[0, ends[:-1] + 1]
+        a, z = np.searchsorted(words.starts, starts), np.searchsorted(words.starts, ends)
+        many = np.flatnonzero(z - a >= MIN_WORDS)
+        at = np.searchsorted(words.begin, starts[many], side="right") - 1
+        begin = words.begin[at]
+        lines = pd.DataFrame({"at": at, "pos": many - np.searchsorted(starts, begin), "start": starts[many] - begin, "stop": ends[many] - begin})
+        a, size = a[many], (z - a)[many]
+        place = np.cumsum(size) - size
+        taken = hashes[np.arange(size.sum()) - np.repeat(place - a, size)]
+        if len(many):
+            # of one line: the sum of its word hashes by powers of a multiplier
+            power = _powers(int(_OTHER), 1 << int(size.max()).bit_length())
+            ph = np.add.reduceat(taken * power[np.arange(len(taken)) - np.repeat(place, size)], place)
+            lines["ph"] = ((ph ^ (ph >> np.uint64(32))) * _GOLDEN).view(np.int64)
+            lines["bands"] = list(min_hashes(taken, place))
+        out = pd.concat([whole, lines], ignore_index=True) if len(many) else whole
+        for c in ("id", "th"):
+            out[c] = part[c].take(out["at"]).to_numpy()
+        return out[["id", "th", "pos", "start", "stop", "ph", "bands"]]
 
     columns = {"th": text_hash(text_column), "text": F.col(text_column)}
     return map_rows(df, id_column, columns, run, "th binary, pos int, start int, stop int, ph long, bands array<long>", rows=300)
@@ -230,22 +255,25 @@ def candidate_words(df: DataFrame, wanted: DataFrame, id_column: str, text_colum
     found = texts.join(w, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).select("t", "text", "keys", "lines")
 
     def run(batches):
-        word_hashes = WordHashes()
         for b in batches:
-            for t, text, keys, lines in zip(b["t"], b["text"], b["keys"], b["lines"], strict=True):
-                if lines is not None and len(lines):
-                    of = text.split("\n")
-                    yield pd.DataFrame({"a": [x["ph"] for x in lines], "b": 0, "t": t, "start": 0, "stop": 0, "line": [of[x["pos"]] for x in lines]})
-                if keys is None or not len(keys):
-                    continue
-                at = np.array([m.span() for m in WORD.finditer(text)])
-                hashes = word_hashes([words_of(text)])
-                first = np.nonzero(np.isin(run_keys(hashes), np.asarray(keys, dtype=np.int64)))[0]
-                for i in range(0, len(first), 20_000):
-                    p = first[i : i + 20_000]
-                    a, z = p[0], p[-1] + MIN_WORDS
-                    part = hashes[a:z]
-                    yield pd.DataFrame({"a": run_hashes(part, _GOLDEN)[p - a], "b": run_hashes(part, _OTHER)[p - a], "t": t, "start": at[p, 0], "stop": at[p + MIN_WORDS - 1, 1], "line": None})
+            said = [(t, x["ph"], text.split("\n")[x["pos"]]) for t, text, lines in zip(b["t"], b["text"], b["lines"], strict=True) if lines is not None for x in lines]
+            if said:
+                t, ph, line = zip(*said, strict=True)
+                yield pd.DataFrame({"a": ph, "b": 0, "t": t, "start": 0, "stop": 0, "line": line})
+            hot = b[b["keys"].notna()]
+            for i, j in slices(hot["text"].str.len().tolist(), SLICE_CHARS):
+                yield runs(hot.iloc[i:j])
+
+    def runs(part: pd.DataFrame) -> pd.DataFrame:
+        words = Words(part["text"].tolist())
+        hashes = words.hashes(_GOLDEN)
+        keys = run_keys(hashes)
+        places = [a + np.flatnonzero(np.isin(keys[a : a + n - MIN_WORDS + 1], own)) for a, n, own in zip(words.first.tolist(), words.sizes.tolist(), part["keys"], strict=True)]
+        of = np.repeat(np.arange(len(part)), [len(p) for p in places])
+        p = np.concatenate(places).astype(np.int64)
+        begin = words.begin[of]
+        a, b = run_hashes(hashes, _GOLDEN)[p], run_hashes(words.hashes(_OTHER), _OTHER)[p]
+        return pd.DataFrame({"a": a, "b": b, "t": part["t"].to_numpy()[of], "start": words.starts[p] - begin, "stop": words.stops[p + MIN_WORDS - 1] - begin, "line": None})
 
     return small_batches(found, 300).mapInPandas(run, "a long, b long, t long, start int, stop int, line string")
 

@@ -105,10 +105,24 @@ def test_recall_of_banding():
     assert trials > 300 and hit / trials > 0.98
 
 
+def test_words_of_texts():
+    texts = ["", " a  Bc\u00a0d\u3000e\x1cf \n", "İI ΑΣ\u2003Σ\t x", "\n\n", "😀 a", "one"]
+    words = P.Words(texts)
+    hashes = words.hashes(P._GOLDEN)
+    joined = "\n".join(texts)
+    assert [joined[a:z] for a, z in zip(words.starts, words.stops, strict=True)] == joined.split()
+    assert words.sizes.tolist() == [len(t.split()) for t in texts]
+    assert [joined[b : b + len(t)] for b, t in zip(words.begin, texts, strict=True)] == texts
+    low = [w for t in texts for w in P.words_of(t)]
+    seen = {}
+    assert len(low) == len(hashes) and all(seen.setdefault(w, h) == h for w, h in zip(low, hashes.tolist(), strict=True))
+    assert len(set(seen.values())) == len(seen) and len(P.Words(["", " "]).hashes(P._OTHER)) == 0
+
+
 def test_runs_against_plain_hashes(monkeypatch):
     monkeypatch.setattr(P, "SLICE_WORDS", 40)
     words = [random.choice(WORDS) for _ in range(300)] + ["the"] * 100
-    hashes = P.WordHashes()([words])
+    hashes = P.Words([" ".join(words)]).hashes(P._GOLDEN)
     low = P.shingle_hashes(hashes)
     keys, pairs = P.run_keys(hashes), list(zip(P.run_hashes(hashes, P._GOLDEN), P.run_hashes(hashes, P._OTHER), strict=True))
     size = len(words) - P.MIN_WORDS + 1

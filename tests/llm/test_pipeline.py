@@ -89,3 +89,10 @@ def test_stages_take_odd_rows(spark, sf_dir, odd_docs, no_docs, name, stage):
     texts = [r.text for r in odd_docs.collect()]
     if name in ("toxicity", "secret_scan"):
         assert sorted(map(str, texts)) == sorted(str(r.text) for r in rows)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES, ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_need_no_n_chars(spark, sf_dir, name, stage):
+    docs = spark.createDataFrame([(i, f"some words {i} and password = abcdefghijkl0 " * 9, "a") for i in range(6)], "doc_id long, text string, source string")
+    out = stage(spark, docs, sf_dir)
+    assert out.collect() and (name == "packing" or out.columns == docs.columns)
