@@ -1,12 +1,14 @@
 """Joins by tolerance, distance and greedy assignment.
 
 Range joins go through buckets of the tolerance's width, so they are equi-joins on a bucket and its
-neighbours. Greedy matching depends on order; it runs per key, one group at a time, on input sorted
-by an explicit sequence.
+neighbours. Greedy matching depends on order; a key is cut into runs that cannot meet, and each run is
+matched as one group, on input sorted by an explicit sequence.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Sequence
 
 import pandas as pd
@@ -91,9 +93,30 @@ def claims_schema(row_id: str, item_id: str) -> str:
     return f"{row_id} long, {item_id} long"
 
 
-def _apart(df: DataFrame) -> DataFrame:
-    """The same rows under columns of their own, so both sides may come from one table."""
-    return df.select(*(F.col(c).alias(c) for c in df.columns))
+def _runs(rows: DataFrame, items: DataFrame, keys: Sequence[str], low: Column, high: Column, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``__run``: a row may take items whose ``at`` lies from ``low`` to ``high``, and rows and
+    items of different runs cannot meet, so a key's runs are matched apart. Along a key the ranges are
+    merged as they come in order, without comparing any two."""
+    mine, theirs = ([c for c in df.columns if c not in keys] for df in (rows, items))
+    none = F.lit(None).cast(rows.select(F.struct(*mine)).schema[0].dataType)
+    a = rows.select(*keys, low.cast("double").alias("__lo"), high.cast("double").alias("__hi"), F.lit(0).alias("__side"), F.struct(*mine).alias("__row"))
+    b = items.select(*keys, at.cast("double").alias("__lo"), at.cast("double").alias("__hi"), F.lit(1).alias("__side"), F.struct(*theirs).alias("__item"))
+    both = a.withColumn("__item", F.lit(None).cast(b.schema["__item"].dataType)).unionByName(b.withColumn("__row", none))
+    order = Window.partitionBy(*keys).orderBy("__lo", "__side")
+    fresh = F.when(F.col("__lo") <= F.max("__hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    marked = both.withColumn("__fresh", fresh).withColumn("__run", F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def side(i: int, name: str, columns: list[str]) -> DataFrame:
+        # under columns of its own, as both sides come from one table
+        own = marked.where(F.col("__side") == i)
+        return own.select(*(F.col(c).alias(c) for c in (*keys, "__run")), *(F.col(f"{name}.{c}").alias(c) for c in columns))
+
+    return side(0, "__row", mine), side(1, "__item", theirs)
+
+
+def _matched(rows: DataFrame, items: DataFrame, keys: Sequence[str], run, schema: str) -> DataFrame:
+    by = [*keys, "__run"]
+    return rows.groupBy(*by).cogroup(items.groupBy(*by)).applyInPandas(run, schema)
 
 
 def first_fit(rows: DataFrame, items: DataFrame, keys: Sequence[str], row_id: str, item_id: str, absolute: float = 30.0, relative: float = 0.08) -> DataFrame:
@@ -106,16 +129,28 @@ def first_fit(rows: DataFrame, items: DataFrame, keys: Sequence[str], row_id: st
         used, out = [False] * len(ids), []
         for r in left.sort_values(["seq", row_id], kind="stable").itertuples():
             room, tolerance = int(r.qty), max(absolute, relative * r.length)
-            for i, n in enumerate(lengths):
-                if not room or n > r.length + tolerance:
+            for i in _reach(lengths, r.length, tolerance):
+                if not room:
                     break
-                if not used[i] and abs(n - r.length) <= tolerance:
+                if not used[i] and abs(lengths[i] - r.length) <= tolerance:
                     used[i] = True
                     room -= 1
                     out.append((getattr(r, row_id), ids[i]))
         return pd.DataFrame(out, columns=[row_id, item_id])
 
-    return rows.groupBy(*keys).cogroup(_apart(items).groupBy(*keys)).applyInPandas(run, claims_schema(row_id, item_id))
+    slack = F.greatest(F.lit(absolute), relative * F.col("length"))
+    left, right = _runs(rows, items, keys, *_around("length", slack), F.col("length"))
+    return _matched(left, right, keys, run, claims_schema(row_id, item_id))
+
+
+def _around(column: str, slack: Column) -> tuple[Column, Column]:
+    """A range that surely holds what lies within ``slack``; a thousandth more, for rounding."""
+    return F.col(column) - 1.001 * slack, F.col(column) + 1.001 * slack
+
+
+def _reach(values: list[float], middle: float, slack: float) -> range:
+    """Where a sorted list may hold values within ``slack`` of ``middle``."""
+    return range(bisect.bisect_left(values, middle - 1.001 * slack), bisect.bisect_right(values, middle + 1.001 * slack))
 
 
 def nearest_fill(rows: DataFrame, items: DataFrame, keys: Sequence[str], row_id: str, item_id: str, absolute: float = 80.0, relative: float = 0.15) -> DataFrame:
@@ -123,17 +158,20 @@ def nearest_fill(rows: DataFrame, items: DataFrame, keys: Sequence[str], row_id:
     max(absolute, relative * length)."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = dict(zip(right[item_id], right["length"], strict=True))
-        out = []
+        right = right.sort_values(["length", item_id], kind="stable")
+        ids, lengths = right[item_id].tolist(), right["length"].tolist()
+        used, out = [False] * len(ids), []
         for r in left.sort_values(["length", row_id], ascending=[False, True], kind="stable").itertuples():
             tolerance = max(absolute, relative * r.length)
-            order = sorted((abs(n - r.length), i) for i, n in free.items() if abs(n - r.length) <= tolerance)
-            for _, i in order[: int(r.qty)]:
-                del free[i]
-                out.append((getattr(r, row_id), i))
+            fits = ((abs(lengths[i] - r.length), ids[i], i) for i in _reach(lengths, r.length, tolerance) if not used[i])
+            for _, _, i in heapq.nsmallest(int(r.qty), (f for f in fits if f[0] <= tolerance)):
+                used[i] = True
+                out.append((getattr(r, row_id), ids[i]))
         return pd.DataFrame(out, columns=[row_id, item_id])
 
-    return rows.groupBy(*keys).cogroup(_apart(items).groupBy(*keys)).applyInPandas(run, claims_schema(row_id, item_id))
+    slack = F.greatest(F.lit(absolute), relative * F.col("length"))
+    left, right = _runs(rows, items, keys, *_around("length", slack), F.col("length"))
+    return _matched(left, right, keys, run, claims_schema(row_id, item_id))
 
 
 def best_fit(rows: DataFrame, items: DataFrame, keys: Sequence[str], row_id: str, item_id: str, passes: Sequence[tuple[int, float, float]] = ((1, 0.75, 1.30), (2, 1.75, 2.45))) -> DataFrame:
@@ -143,12 +181,15 @@ def best_fit(rows: DataFrame, items: DataFrame, keys: Sequence[str], row_id: str
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(["seq", row_id], kind="stable")
         ids, lengths, room = left[row_id].tolist(), left["length"].tolist(), left["qty"].astype(int).tolist()
+        by_length = sorted((m, k) for k, m in enumerate(lengths) if m > 0)
+        sizes = [m for m, _ in by_length]
         waiting = [(n, i) for i, n in sorted(zip(right[item_id], right["length"], strict=True), key=lambda x: (-x[1], x[0]))]
         out = []
         for units, low, high in passes:
             rest = []
             for n, i in waiting:
-                fits = [(abs(n / (units * m) - 1), k) for k, m in enumerate(lengths) if m > 0 and room[k] >= units and low <= n / m <= high]
+                near = by_length[bisect.bisect_left(sizes, n / high * 0.999) : bisect.bisect_right(sizes, n / low * 1.001)]
+                fits = [(abs(n / (units * m) - 1), k) for m, k in near if room[k] >= units and low <= n / m <= high]
                 if fits:
                     k = min(fits)[1]
                     room[k] -= units
@@ -158,7 +199,9 @@ def best_fit(rows: DataFrame, items: DataFrame, keys: Sequence[str], row_id: str
             waiting = rest
         return pd.DataFrame(out, columns=[row_id, item_id, "units"])
 
-    return rows.groupBy(*keys).cogroup(_apart(items).groupBy(*keys)).applyInPandas(run, claims_schema(row_id, item_id) + ", units long")
+    length = F.col("length")
+    left, right = _runs(rows, items, keys, length * min(p[1] for p in passes) * 0.999, length * max(p[2] for p in passes) * 1.001, length)
+    return _matched(left, right, keys, run, claims_schema(row_id, item_id) + ", units long")
 
 
 def nearest_claim(labels: DataFrame, points: DataFrame, keys: Sequence[str], label_id: str, point_id: str, within: float = 250.0) -> DataFrame:
@@ -166,20 +209,19 @@ def nearest_claim(labels: DataFrame, points: DataFrame, keys: Sequence[str], lab
     (point_id, x, y) within ``within``; of equally near ones the first by id."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = {r[0]: (r[1], r[2]) for r in right.sort_values(point_id)[[point_id, "x", "y"]].itertuples(index=False)}
-        out = []
+        right = right.sort_values("x", kind="stable")
+        ids, xs, ys = right[point_id].tolist(), right["x"].tolist(), right["y"].tolist()
+        used, out = [False] * len(ids), []
         for r in left.sort_values(["seq", label_id], kind="stable").itertuples():
-            best, at = within, None
-            for i, (x, y) in free.items():
-                d = ((x - r.x) ** 2 + (y - r.y) ** 2) ** 0.5
-                if d < best or (at is None and d <= within):
-                    best, at = d, i
-            if at is not None:
-                del free[at]
-                out.append((getattr(r, label_id), at))
+            fits = ((((xs[i] - r.x) ** 2 + (ys[i] - r.y) ** 2) ** 0.5, ids[i], i) for i in _reach(xs, r.x, within) if not used[i])
+            best = min((f for f in fits if f[0] <= within), default=None)
+            if best:
+                used[best[2]] = True
+                out.append((getattr(r, label_id), best[1]))
         return pd.DataFrame(out, columns=[label_id, point_id])
 
-    return labels.groupBy(*keys).cogroup(_apart(points).groupBy(*keys)).applyInPandas(run, claims_schema(label_id, point_id))
+    left, right = _runs(labels, points, keys, *_around("x", F.lit(within)), F.col("x"))
+    return _matched(left, right, keys, run, claims_schema(label_id, point_id))
 
 
 def priority_pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

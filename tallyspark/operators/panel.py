@@ -55,6 +55,28 @@ def elevation_candidates(views: DataFrame, keys: Sequence[str], share: float = 0
     return views.withColumn("__most", most).where((F.col("n") >= share * F.col("__most")) & F.col("has_outline") & (size >= least)).drop("__most")
 
 
+def inside(point: Column, x0: float, y0: float, x1: float, y1: float, margin: float = 0.0) -> Column:
+    return point["x"].between(x0 - margin, x1 + margin) & point["y"].between(y0 - margin, y1 + margin)
+
+
+def any_inside(points: Column, x0: float, y0: float, x1: float, y1: float, margin: float = 250.0) -> Column:
+    """Whether a path has a vertex in the box grown by ``margin``; a path without vertices has none."""
+    return F.coalesce(F.exists(points, lambda p: inside(p, x0, y0, x1, y1, margin)), F.lit(False))
+
+
+def all_inside(points: Column, x0: float, y0: float, x1: float, y1: float, margin: float = 0.0) -> Column:
+    """Whether all vertices of a path lie in the box; a null path does not."""
+    return F.coalesce(F.forall(points, lambda p: inside(p, x0, y0, x1, y1, margin)), F.lit(False))
+
+
+def on_layers(layer: Column, names: Sequence[str] = (), prefixes: Sequence[str] = ()) -> Column:
+    """Whether a layer is one of ``names`` or begins with one of ``prefixes``; scans take both as filters."""
+    out = layer.isin(*names)
+    for p in prefixes:
+        out = out | layer.startswith(p)
+    return F.coalesce(out, F.lit(False))
+
+
 # --- rails, arcs and chains ---------------------------------------------------------------------
 
 

@@ -168,7 +168,32 @@ QUERIES = {f.__name__: f for f in (whitelist_semi, phantom_anti, sibling_gap_fil
 
 _XY = "SELECT event_id, user_id AS k, floor(epoch_us(ts) / 1000000.0) / 3600.0::DOUBLE AS x, value AS y FROM events"
 _DIST = "sqrt(list_sum(list_transform(list_zip(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
+# Greedy matching as recursion: one step a row (or an item), which carries what is still free.
+_ROWS = "s AS (SELECT p_brand AS panel, p_partkey AS row_id, p_retailprice AS len, p_size % 5 + 1 AS qty, row_number() OVER (PARTITION BY p_brand ORDER BY {}) AS i FROM part WHERE p_partkey % 7 = 0)"
+_ITEMS = "items AS (SELECT p_brand AS panel, list({{'len': p_retailprice, 'id': p_partkey}} ORDER BY {}) AS items FROM part WHERE p_partkey % 7 <> 0 GROUP BY 1)"
+_TAKING = """, f AS (SELECT panel, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS row_id, items AS free, CAST([] AS BIGINT[]) AS took FROM items
+        UNION ALL SELECT panel, i, row_id, list_filter(free, lambda x: NOT list_contains(took, x.id)), took FROM (SELECT f.panel, s.i, s.row_id, f.free, {} AS took FROM f JOIN s ON s.panel = f.panel AND s.i = f.i + 1))
+        SELECT row_id, unnest(took) AS item_id FROM f WHERE i > 0"""
 ORACLES = {
+    "greedy_first_fit": f"WITH RECURSIVE {_ROWS.format('p_partkey')}, {_ITEMS.format('p_retailprice, p_partkey')}" + _TAKING.format("list_transform(list_filter(f.free, lambda x: abs(x.len - s.len) <= GREATEST(30.0::DOUBLE, 0.08::DOUBLE * s.len))[1:s.qty], lambda x: x.id)"),
+    "greedy_nearest_fill": f"WITH RECURSIVE {_ROWS.format('p_retailprice DESC, p_partkey')}, {_ITEMS.format('p_partkey')}"
+    + _TAKING.format("list_transform(list_sort(list_transform(list_filter(f.free, lambda x: abs(x.len - s.len) <= GREATEST(80.0::DOUBLE, 0.15::DOUBLE * s.len)), lambda x: {{'d': abs(x.len - s.len), 'id': x.id}}))[1:s.qty], lambda x: x.id)").replace("{{", "{").replace("}}", "}"),
+    "greedy_best_fit": f"""WITH RECURSIVE {_ROWS.format('p_partkey')}, rows_ AS (SELECT panel, list({{'id': row_id, 'len': len}} ORDER BY i) AS rows_, list(CAST(qty AS BIGINT) ORDER BY i) AS room FROM s GROUP BY 1),
+        it AS (SELECT p_brand AS panel, p_partkey AS id, p_retailprice AS len, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS i, COUNT(*) OVER (PARTITION BY p_brand) AS n FROM part WHERE p_partkey % 7 <> 0),
+        steps AS (SELECT panel, id, len, i, 1 AS units, 0.75::DOUBLE AS low, 1.30::DOUBLE AS high FROM it UNION ALL SELECT panel, id, len, i + n, 2, 1.75::DOUBLE, 2.45::DOUBLE FROM it),
+        f AS (SELECT panel, CAST(0 AS BIGINT) AS i, room, CAST([] AS BIGINT[]) AS done, CAST(NULL AS BIGINT) AS item_id, CAST(NULL AS BIGINT) AS k, 0 AS units FROM rows_
+        UNION ALL SELECT panel, i, CASE WHEN k IS NULL THEN room ELSE list_transform(room, lambda r, j: CASE WHEN j = k THEN r - units ELSE r END) END, CASE WHEN k IS NULL THEN done ELSE list_append(done, id) END, id, k, units
+            FROM (SELECT f.panel, t.i, f.room, f.done, t.id, t.units, CASE WHEN NOT list_contains(f.done, t.id) THEN list_min(list_filter(list_transform(r.rows_, lambda x, j: CASE WHEN x.len > 0 AND f.room[j] >= t.units AND t.len / x.len BETWEEN t.low AND t.high THEN {{'e': abs(t.len / (t.units * x.len) - 1), 'k': CAST(j AS BIGINT)}} END), lambda x: x IS NOT NULL)).k END AS k
+            FROM f JOIN steps t ON t.panel = f.panel AND t.i = f.i + 1 JOIN rows_ r ON r.panel = f.panel))
+        SELECT r.rows_[f.k].id AS row_id, item_id, CAST(units AS BIGINT) AS units FROM f JOIN rows_ r ON r.panel = f.panel WHERE k IS NOT NULL""",
+    "greedy_nearest_claim": SCHED.replace("WITH", "WITH RECURSIVE", 1) + """, once AS (SELECT panel, l_orderkey * 8 + l_linenumber AS i, MIN(len_mm) AS x, MIN(qty * 1000) AS y, MIN(l_returnflag) AS flag FROM sched GROUP BY 1, 2),
+        s AS (SELECT panel, i AS label_id, x, y, row_number() OVER (PARTITION BY panel ORDER BY i) AS n FROM once WHERE flag = 'A'),
+        near AS (SELECT s.panel, s.n, s.label_id, list({'d': sqrt((o.x - s.x) * (o.x - s.x) + (o.y - s.y) * (o.y - s.y)), 'id': o.i} ORDER BY sqrt((o.x - s.x) * (o.x - s.x) + (o.y - s.y) * (o.y - s.y)), o.i) AS fits
+            FROM s JOIN once o ON o.panel = s.panel AND o.flag = 'N' AND sqrt((o.x - s.x) * (o.x - s.x) + (o.y - s.y) * (o.y - s.y)) <= 250 GROUP BY 1, 2, 3),
+        ordered AS (SELECT *, row_number() OVER (PARTITION BY panel ORDER BY n) AS step FROM near),
+        f AS (SELECT panel, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS label_id, CAST(NULL AS BIGINT) AS point_id, CAST([] AS BIGINT[]) AS used FROM (SELECT DISTINCT panel FROM near)
+        UNION ALL SELECT panel, step, label_id, p, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END FROM (SELECT f.panel, o.step, o.label_id, f.used, list_filter(o.fits, lambda x: NOT list_contains(f.used, x.id))[1].id AS p FROM f JOIN ordered o ON o.panel = f.panel AND o.step = f.step + 1))
+        SELECT label_id, point_id FROM f WHERE point_id IS NOT NULL""",
     "whitelist_semi": SCHED + f", a AS (SELECT DISTINCT {SCHED.split('SELECT ')[1].split(' AS dia')[0]} AS dia FROM part WHERE p_size BETWEEN 24 AND 34) SELECT dia, COUNT(*) AS n FROM sched WHERE dia IN (SELECT dia FROM a WHERE dia IS NOT NULL) GROUP BY 1",
     "phantom_anti": SCHED + "SELECT dia, COUNT(*) AS n FROM sched WHERE l_returnflag IN ('A','N') AND dia IS NOT NULL AND dia NOT IN (SELECT dia FROM sched WHERE l_linenumber = 1 AND dia > 10) GROUP BY 1",
     "sibling_gap_fill": SCHED + """, r AS (SELECT * FROM sched WHERE dia IS NOT NULL), c AS (SELECT panel, l_suppkey, COUNT(*) AS n FROM r GROUP BY 1, 2), b AS (SELECT panel, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY panel ORDER BY n DESC, l_suppkey) AS rn FROM c) WHERE rn = 1)

@@ -130,10 +130,25 @@ def test_greedy_matches(spark, seed):
             used.add(x)
             want.add((i, x))
     assert {tuple(r) for r in match.nearest_fill(left, right, ["panel"], "row_id", "item_id").collect()} == want
-    claims = match.best_fit(left, right, ["panel"], "row_id", "item_id").collect()
-    assert len({r.item_id for r in claims}) == len(claims)
-    for i, q in ((r[1], r[4]) for r in rows):
-        assert sum(r.units for r in claims if r.row_id == i) <= q
+    room, want, taken = {r[1]: r[4] for r in rows}, set(), set()
+    for units, low, high in ((1, 0.75, 1.30), (2, 1.75, 2.45)):
+        for p, x, m in sorted(items, key=lambda t: (-t[2], t[1])):
+            fits = [(abs(m / (units * n) - 1), i) for o, i, _, n, _ in rows if o == p and room[i] >= units and low <= m / n <= high]
+            if x not in taken and fits:
+                i = min(fits)[1]
+                room[i] -= units
+                taken.add(x)
+                want.add((i, x, units))
+    assert {tuple(r) for r in match.best_fit(left, right, ["panel"], "row_id", "item_id").collect()} == want
+
+
+def test_one_key_is_matched_in_many_runs(spark):
+    rows = spark.createDataFrame([("p", i, i, 1000.0 * i, 2) for i in range(1, 40)], "panel string, row_id long, seq long, length double, qty long")
+    items = spark.createDataFrame([("p", i, 1000.0 * (i // 3) + i % 3) for i in range(120)], "panel string, item_id long, length double")
+    left, right = match._runs(rows, items, ["panel"], F.col("length") - 30, F.col("length") + 30, F.col("length"))
+    assert left.select("__run").distinct().count() == 39 and right.columns == ["panel", "__run", "item_id", "length"]
+    claims = match.first_fit(rows, items, ["panel"], "row_id", "item_id", 30.0, 0.0).collect()
+    assert {tuple(r) for r in claims} == {(i, 3 * i + k) for i in range(1, 40) for k in (0, 1)}
 
 
 def test_nearest_claim(spark):
