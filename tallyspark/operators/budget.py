@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.running import running_sum
+
 
 def suffix_cap(df: DataFrame, keys: Sequence[str], seq: Sequence[str], weight: str, budget: str) -> DataFrame:
     """Rows that stay when rows are dropped from the front while the rest weighs over ``budget``: those
     whose own and later weights add up to no more. Weights must not be negative; ``seq`` is an order."""
-    # the suffix sum as a running sum from the back: Spark adds up a frame that shrinks anew for each row
-    run = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in seq)).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("__rest", F.sum(weight).over(run)).where(F.col("__rest") <= F.col(budget) + 1e-9).drop("__rest")
+    # the suffix sum is a running sum from the back
+    summed = running_sum(df, keys, [F.desc(c) for c in seq], F.col(weight), "__rest")
+    return summed.where(F.col("__rest") <= F.col(budget) + 1e-9).select(*df.columns)
 
 
 def keep_outermost(df: DataFrame, keys: Sequence[str], score: Column, most: Column, tie: Sequence[str]) -> DataFrame:

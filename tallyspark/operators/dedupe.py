@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -27,23 +28,23 @@ def line_signature(x0: str, y0: str, x1: str, y1: str, digits: int = 1) -> list[
 
 def near_duplicates(df: DataFrame, keys: Sequence[str], seq: str, ends: Sequence[str] = ("x0", "y0", "x1", "y1"), length: str = "length", within: float = 6.0, relative: float = 0.05) -> DataFrame:
     """Rows that stay when each row goes that lies within ``within`` of a kept one at both ends, in
-    either order, with a length within ``relative``. Sequential per key: nearness is not transitive."""
+    either order, with a length within ``relative``. Sequential per key: nearness is not transitive. Kept
+    rows are looked up by the cells of their ends, so a row is compared with its neighbours only."""
     out = df.schema
 
     def keep(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
+        cells: dict[tuple, list[tuple]] = {}
         good = []
-        for row in group.sort_values(seq, kind="stable")[[*ends, length]].itertuples(index=True):
-            i, x0, y0, x1, y1, n = row
-
-            def close(o):
-                same = ((x0 - o[0]) ** 2 + (y0 - o[1]) ** 2) ** 0.5 < within and ((x1 - o[2]) ** 2 + (y1 - o[3]) ** 2) ** 0.5 < within  # noqa: B023
-                swapped = ((x0 - o[2]) ** 2 + (y0 - o[3]) ** 2) ** 0.5 < within and ((x1 - o[0]) ** 2 + (y1 - o[1]) ** 2) ** 0.5 < within  # noqa: B023
-                return (same or swapped) and abs(n - o[4]) <= relative * max(n, o[4])  # noqa: B023
-
-            if not any(map(close, kept)):
-                kept.append((x0, y0, x1, y1, n))
-                good.append(i)
+        at = lambda x, y: (math.floor(x / within), math.floor(y / within))
+        for i, x0, y0, x1, y1, n in group.sort_values(seq, kind="stable")[[*ends, length]].itertuples(index=True):
+            cx, cy = at(x0, y0)
+            near = (o for a in (cx - 1, cx, cx + 1) for b in (cy - 1, cy, cy + 1) for o in cells.get((a, b), ()))
+            if any(math.hypot(x0 - a, y0 - b) < within and math.hypot(x1 - c, y1 - d) < within and abs(n - m) <= relative * max(n, m) for a, b, c, d, m in near):
+                continue
+            # by either end first, as the order of ends does not matter
+            cells.setdefault(at(x0, y0), []).append((x0, y0, x1, y1, n))
+            cells.setdefault(at(x1, y1), []).append((x1, y1, x0, y0, n))
+            good.append(i)
         return group.loc[good]
 
     return df.groupBy(*keys).applyInPandas(keep, out)

@@ -1,16 +1,18 @@
 """Interval merging and one-dimensional clustering.
 
 Neighbour rules (gap to the previous element, running end of intervals) are window functions over a
-partition. Anchor rules, which compare with the first element of the open cluster, are not: they are
-a fold over the sorted elements of an adjacency cluster. A key's elements meet in one place in either case, so keys
-must be chosen so that one of them fits a task.
+partition. Anchor rules, which compare with the first element of the open cluster, are not: they are found
+by jumps over the sorted elements of an adjacency cluster. A key's elements are sorted in one place in
+either case, so keys must be chosen so that one of them fits a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,9 +31,17 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], low: str = "lo", high: s
 
 
 def intersect_intervals(a: DataFrame, b: DataFrame, keys: Sequence[str], low: str = "lo", high: str = "hi", least: float = 0.0) -> DataFrame:
-    """(keys, lo, hi) where an interval of ``a`` and one of ``b`` share more than ``least``."""
-    other = b.select(*keys, F.col(low).alias("__lo"), F.col(high).alias("__hi"))
-    both = a.join(other, list(keys)).where((F.col("__lo") < F.col(high)) & (F.col(low) < F.col("__hi")))
+    """(keys, lo, hi) where an interval of ``a`` and one of ``b`` share more than ``least``.
+
+    Intervals meet in cells as wide as they are on average, so only those that share a cell are compared;
+    a pair counts in the first cell that both reach.
+    """
+    sizes = a.unionByName(b, allowMissingColumns=True).agg(F.avg(F.col(high) - F.col(low))).first()[0]
+    cell = float(sizes) if sizes and sizes > 0 else 1.0
+    at = lambda c: F.floor(F.col(c) / cell)
+    left = a.select(*keys, F.col(low), F.col(high), F.explode(F.sequence(at(low), at(high))).alias("__cell")).where(F.col(low) < F.col(high))
+    other = b.where(F.col(low) < F.col(high)).select(*keys, F.col(low).alias("__lo"), F.col(high).alias("__hi"), F.explode(F.sequence(at(low), at(high))).alias("__cell"))
+    both = left.join(other, [*keys, "__cell"]).where((F.col("__lo") < F.col(high)) & (F.col(low) < F.col("__hi")) & (F.col("__cell") == F.greatest(at(low), at("__lo"))))
     out = both.select(*keys, F.greatest(low, "__lo").alias(low), F.least(high, "__hi").alias(high))
     return out.where(F.col(high) - F.col(low) > least)
 
@@ -58,28 +68,30 @@ def adjacency_clusters(df: DataFrame, keys: Sequence[str], value: str, gap: floa
     return df.withColumn("__fresh", fresh).withColumn(name, F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__fresh")
 
 
-def anchor_fold(values: Column, gap: float) -> Column:
-    """Anchors of a sorted array of doubles: the first, then each over ``gap`` from the last anchor."""
-    start = F.array().cast("array<double>")
-    return F.aggregate(values, start, lambda kept, v: F.when((F.size(kept) == 0) | (v - F.try_element_at(kept, F.lit(-1)) > gap), F.concat(kept, F.array(v))).otherwise(kept))
-
-
 def anchor_clusters(df: DataFrame, keys: Sequence[str], value: str, gap: float) -> DataFrame:
     """(keys, anchor, n): clusters whose members lie within ``gap`` of the cluster's first value."""
-    # a value over ``gap`` from the one before it opens a cluster under either rule, so the fold only
-    # has to run within adjacency clusters
-    runs = adjacency_clusters(df.where(F.col(value).isNotNull()), keys, value, gap, name="__run")
-    sets = runs.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("__v"))
-    empty = F.array().cast("array<struct<anchor:double,n:bigint>>")
-
-    def step(done, v):
-        last = F.try_element_at(done, F.lit(-1))
-        opened = F.concat(done, F.array(F.struct(v.alias("anchor"), F.lit(1).cast("long").alias("n"))))
-        keep = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        grown = F.concat(keep, F.array(F.struct(last["anchor"].alias("anchor"), (last["n"] + 1).alias("n"))))
-        return F.when(last.isNull() | (v - last["anchor"] > gap), opened).otherwise(grown)
-
-    return sets.select(*keys, F.inline(F.aggregate("__v", empty, step)))
+    # a value over ``gap`` from the one before it opens a cluster under either rule, so the anchors of an
+    # adjacency cluster are found apart, by jumps over its sorted values
+    runs = adjacency_clusters(df.where(F.col(value).isNotNull()), keys, value, gap, name="__run").select(*keys, "__run", F.col(value).cast("double").alias("anchor"))
+    kinds = dict(runs.dtypes)
+
+    def jump(group: pd.DataFrame) -> pd.DataFrame:
+        v, at, out = np.sort(group["anchor"].to_numpy()), 0, []
+        while at < len(v):
+            to = int(np.searchsorted(v, v[at] + gap, side="right"))
+            while to < len(v) and v[to] - v[at] <= gap:  # the sum may be rounded down, or up
+                to += 1
+            while v[to - 1] - v[at] > gap:
+                to -= 1
+            out.append((v[at], to - at))
+            at = to
+        made = pd.DataFrame(out, columns=["anchor", "n"])
+        for k in reversed(keys):
+            made.insert(0, k, group[k].iloc[0])
+        return made
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "anchor double", "n long"])
+    return runs.groupBy(*keys, "__run").applyInPandas(jump, schema)
 
 
 def mode_with_ties(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -188,8 +188,7 @@ def chain_pieces(pieces: DataFrame, keys: Sequence[str], reach: float = 4.0, dia
 def anchor_groups(df: DataFrame, keys: Sequence[str], value: str, gap: float, name: str) -> DataFrame:
     """``df`` with the anchor of each row's cluster: the first value of a run within ``gap`` of it."""
     anchors = anchor_clusters(df, keys, value, gap).withColumnRenamed("anchor", name).drop("n")
-    pairs = df.join(anchors, list(keys)).where((F.col(value) >= F.col(name)) & (F.col(value) - F.col(name) <= gap))
-    return pairs
+    return band_join(df, anchors, keys, value, name, gap).where(F.col(value) >= F.col(name))
 
 
 def mesh_families(bars: DataFrame, z_gap: float = 8.0, step: int = 5) -> DataFrame:
@@ -274,10 +273,13 @@ def detail_evidence(labels: DataFrame, bars: DataFrame, details: DataFrame, keys
     return labels.join(taken, "label_id", "left_anti").join(shown, "label_id", "left_semi")
 
 
-def clashes(links: DataFrame, mesh: DataFrame, keys: Sequence[str]) -> DataFrame:
+def clashes(links: DataFrame, mesh: DataFrame, keys: Sequence[str], cell: float = 200.0) -> DataFrame:
     """(link_id, offset): links (link_id, x0, x1, z) whose box meets bars (bar_id, pos, bz, dia); the
-    offset moves them clear of all of them to the nearer side, null where both sides are as near."""
-    pairs = links.join(mesh, list(keys)).where(F.col("pos").between(F.col("x0"), F.col("x1")) & (F.abs(F.col("z") - F.col("bz")) < F.col("dia")))
+    offset moves them clear of all of them to the nearer side, null where both sides are as near. Links
+    meet bars in cells of their extent."""
+    at = lambda c: F.floor(F.col(c) / cell)
+    left = links.where("x0 <= x1").withColumn("__cell", F.explode(F.sequence(at("x0"), at("x1"))))
+    pairs = left.join(mesh.withColumn("__cell", at("pos")), [*keys, "__cell"]).where(F.col("pos").between(F.col("x0"), F.col("x1")) & (F.abs(F.col("z") - F.col("bz")) < F.col("dia")))
     up = F.max(F.col("bz") + F.col("dia") - F.col("z"))
     down = F.max(F.col("z") - F.col("bz") + F.col("dia"))
     sums = pairs.groupBy("link_id").agg(up.alias("up"), down.alias("down"))

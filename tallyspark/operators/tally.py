@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.calc import near, percent
+from tallyspark.operators.running import exact_medians
+from tallyspark.session import materialize
 
 
 def tally(df: DataFrame, key: str, sums: dict[str, Column], count: str | None = None) -> DataFrame:
@@ -79,13 +81,11 @@ def suspicious_matches(split: DataFrame, official: str, least: float = 96.0, mos
 def consensus_median(df: DataFrame, keys: Sequence[str], value: str, agree: float = 0.2) -> DataFrame:
     """(keys, consensus, n_agreeing): the exact median of the values within ``agree`` of the median,
     if at least two agree, else the median."""
-    middle = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("__m"))
-    joined = df.select(*keys, value).join(middle, list(keys))
-    close = F.abs(F.col(value) - F.col("__m")) <= agree * F.abs(F.col("__m"))
-    out = joined.groupBy(*keys).agg(
-        F.percentile(F.when(close, F.col(value)), F.lit(0.5)).alias("__c"), F.count(F.when(close, 1)).alias("n_agreeing"), F.max("__m").alias("__m")
-    )
-    return out.select(*keys, F.when(F.col("n_agreeing") >= 2, F.col("__c")).otherwise(F.col("__m")).alias("consensus"), "n_agreeing")
+    middle = materialize(exact_medians(df, keys, value, "__m").drop("n"), "medians")
+    close = df.select(*keys, value).join(middle, list(keys)).where(F.abs(F.col(value) - F.col("__m")) <= agree * F.abs(F.col("__m")))
+    agreed = exact_medians(close, keys, value, "__c").withColumnRenamed("n", "n_agreeing")
+    out = middle.join(agreed, list(keys), "left").withColumn("n_agreeing", F.coalesce("n_agreeing", F.lit(0)))
+    return out.select(*keys, F.when(F.col("n_agreeing") >= 2, F.col("__c")).otherwise(F.col("__m")).alias("consensus"), F.col("n_agreeing").cast("long").alias("n_agreeing"))
 
 
 def census(df: DataFrame, sets: Sequence[Sequence[str]], columns: Sequence[str]) -> DataFrame:

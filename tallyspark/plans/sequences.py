@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import budget as B
 from tallyspark.operators import dedupe as D
 from tallyspark.operators import islands as I
+from tallyspark.operators.running import exact_medians
 from tallyspark.plans.tallies import SCHED, sched
 from tallyspark.sources.tables import table
 
@@ -109,8 +110,8 @@ def undersized_drop(spark, sf_dir):
 def default_depth(spark, sf_dir):
     """A missing value filled from its family's median if the family has three, else the plane's, else the centre."""
     rows = sched(spark, sf_dir).where("dia is not null").select("panel", "dia", "l_orderkey", "l_linenumber", F.when(F.col("l_linestatus") == "F", F.col("len_mm")).alias("z"))
-    family = rows.where("z is not null").groupBy("panel", "dia").agg(F.percentile("z", F.lit(0.5)).alias("fam"), F.count(F.lit(1)).alias("m")).where("m >= 30")
-    plane = rows.where("z is not null").groupBy("panel").agg(F.percentile("z", F.lit(0.5)).alias("plane"))
+    family = exact_medians(rows, ["panel", "dia"], "z", "fam").where("n >= 30").drop("n")
+    plane = exact_medians(rows, ["panel"], "z", "plane").drop("n")
     out = rows.join(family, ["panel", "dia"], "left").join(plane, "panel", "left")
     filled = out.withColumns({"z2": F.coalesce("z", "fam", "plane", F.lit(0.0)), "z_src": F.when(F.col("z").isNotNull(), "section").when(F.col("fam").isNotNull(), "family").when(F.col("plane").isNotNull(), "plane-snap").otherwise("default")})
     return filled.groupBy("z_src").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("z2"), 1).alias("z_sum"))

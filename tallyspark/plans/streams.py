@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyspark.plans.attendance import ATT
+from tallyspark.session import shared_dir
+from tallyspark.sources.tables import table
 from tallyspark.streaming import gate as G
 
 
@@ -37,8 +41,60 @@ def stream_debounce(spark, sf_dir):
     return out.groupBy("employee_id").agg(F.count(F.lit(1)).alias("accepted"), F.sum("seq").alias("seq_sum"))
 
 
-QUERIES = {f.__name__: f for f in (stream_daily_upsert, stream_window_counts, stream_sliding_counts, stream_session_counts, stream_debounce)}
+def _appended(spark, sf_dir, label, make):
+    """Run a query whose sink appends below a scratch folder until its input is used up; the folder."""
+    folder = f"{shared_dir(spark)}/tallyspark/{label}-{uuid.uuid4().hex}"
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = make(_events(spark, sf_dir), write, folder)
+    query.processAllAvailable()
+    query.stop()
+    return folder
+
+
+def stream_polled(spark, sf_dir):
+    """Events that a query finds when it looks for new input at intervals."""
+    folder = _appended(spark, sf_dir, "polled", lambda events, write, folder: G.poll(events, write, folder, 0.5))
+    return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("value"))
+
+
+def stream_book(spark, sf_dir):
+    """The daily book that batches are merged into."""
+    folder = _appended(spark, sf_dir, "book", lambda events, write, folder: G.poll(events, G.merge_into_book(f"{folder}/book"), folder, 0.5))
+    return G.read_book(spark, f"{folder}/book").select("employee_id", F.col("day").cast("string").alias("day"), "in_time", "out_time")
+
+
+def stream_two_sinks(spark, sf_dir):
+    """A stream with a second sink that always fails: the first gets every event, and the failure is noted."""
+    failures = []
+
+    def broken(batch, number):
+        raise OSError("no mirror")
+
+    folder = _appended(spark, sf_dir, "sinks", lambda events, write, folder: G.poll(events, G.best_effort([write, broken], failures), folder, 0.5))
+    rows = spark.read.parquet(f"{folder}/out").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("mirrored", F.lit(not failures))
+
+
+def stream_registry(spark, sf_dir):
+    """Events joined with the registry as it is when their batch comes."""
+    registry = lambda: table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("employee_id"), F.col("c_nationkey").alias("team"))
+
+    def start(events, write, folder):
+        return G.stream_static(events, registry, write).option("checkpointLocation", f"{folder}/state").start()
+
+    folder = _appended(spark, sf_dir, "registry", start)
+    return spark.read.parquet(f"{folder}/out").groupBy("team").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (stream_polled, stream_book, stream_two_sinks, stream_registry, stream_daily_upsert, stream_window_counts, stream_sliding_counts, stream_session_counts, stream_debounce)}
 ORACLES = {
+    "stream_polled": "SELECT event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS value FROM events GROUP BY 1",
+    "stream_book": ATT + "SELECT employee_id, CAST(day AS VARCHAR) AS day, in_time, out_time FROM att",
+    "stream_two_sinks": "SELECT user_id, COUNT(*) AS n, FALSE AS mirrored FROM events GROUP BY 1",
+    "stream_registry": "SELECT c_nationkey AS team, COUNT(*) AS n FROM events LEFT JOIN customer ON user_id = c_custkey GROUP BY 1",
     "stream_daily_upsert": ATT + "SELECT employee_id, CAST(day AS VARCHAR) AS day, in_time, out_time FROM att",
     "stream_window_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS value FROM events GROUP BY 1, 2",
     "stream_sliding_counts": "SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, COUNT(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 12 HOURS, ts), time_bucket(INTERVAL 12 HOURS, ts) - INTERVAL 12 HOURS]) AS s FROM events) GROUP BY 1",

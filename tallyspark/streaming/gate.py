@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyspark.functions.calc import BUSINESS_MINUTES
@@ -95,10 +96,26 @@ def merge_into_book(path: str, minutes: int = BUSINESS_MINUTES) -> Callable[[Dat
             old = spark.read.parquet(f"{path}/v{number - 1}")
         book = upsert_rows(old, rows).drop("changed") if old is not None else rows
         book.write.mode("overwrite").parquet(f"{path}/v{number}")
+        # the last version may be needed if this batch is repeated; those before it are not
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return sink
 
 
+def read_book(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of the book at ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    return spark.read.parquet(f"{path}/v{max(int(n[1:]) for n in names if n[0] == 'v')}")
+
+
+def poll(stream: DataFrame, sink: Callable[[DataFrame, int], None], folder: str, seconds: float = 45.0) -> StreamingQuery:
+    """A running query that looks for new input every ``seconds`` and hands each batch to ``sink``; its
+    state is below ``folder``, so a query started again goes on where the last one ended."""
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(processingTime=f"{seconds} seconds").start()
+
+
 def best_effort(sinks: list[Callable[[DataFrame, int], None]], failures: list[str]) -> Callable[[DataFrame, int], None]:
     """One ``foreachBatch`` function of several sinks: the first must succeed, an error of any other
     is noted in ``failures`` and does not stop the stream."""

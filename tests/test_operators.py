@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -238,3 +239,40 @@ def test_first_and_more(spark):
     rows = spark.createDataFrame([("a", i) for i in range(12, 0, -1)] + [("b", 3), ("b", None), ("c", None), (None, 1)], "k string, v long")
     got = {r.k: r.shown for r in rules.first_and_more(rows, "k", "v", 5).collect()}
     assert got == {"a": "1, 2, 3, 4, 5 +7 more", "b": "3", "c": "", None: "1"}
+
+
+def test_running_sums_spread_a_key(spark, monkeypatch):
+    from tallyspark.operators import running
+
+    dealt, plain = [], running.materialize
+    monkeypatch.setattr(running, "materialize", lambda df, label: dealt.append(plain(df, label)) or dealt[-1])
+    rng = random.Random(5)
+    rows = [("hot", i, rng.randint(0, 9)) for i in range(3000)] + [("b", 1, 4), ("b", 2, None), (None, 1, 3), (None, 2, 5)]
+    rng.shuffle(rows)
+    got = running.running_sum(spark.createDataFrame(rows, "k string, i long, w long"), ["k"], [F.desc("i")], F.col("w"), "s", 8).collect()
+    sums, want = {}, {}
+    for k, i, w in sorted(rows, key=lambda r: -r[1]):
+        sums[k] = want[k, i] = sums.get(k, 0) + (w or 0)
+    assert {(r.k, r.i): r.s for r in got} == want and {r.k: r.s_all for r in got} == sums
+    assert dealt[0].where("k = 'hot'").select("__part").distinct().count() > 4
+
+
+def test_exact_medians(spark):
+    from tallyspark.operators.running import exact_medians
+
+    rows = [("a", float(v)) for v in (5, 1, 9, 2)] + [("b", 3.0), ("b", None), ("c", None)] + [("d", 7.0)] * 5
+    got = {r.k: (r.m, r.n) for r in exact_medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", "m", 3).collect()}
+    assert got == {"a": (3.5, 4), "b": (3.0, 1), "d": (7.0, 5)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_are_the_loop(spark, seed):
+    rng = random.Random(seed)
+    rows = [(1, i, *(float(rng.randint(0, 25)) for _ in range(4)), float(rng.randint(95, 105))) for i in range(150)]
+    kept = []
+    for _, i, x0, y0, x1, y1, n in rows:
+        far = lambda a, b, c, d: math.hypot(a - c, b - d) >= 6
+        if all((far(x0, y0, a, b) or far(x1, y1, c, d)) and (far(x0, y0, c, d) or far(x1, y1, a, b)) or abs(n - m) > 0.05 * max(n, m) for _, a, b, c, d, m in kept):
+            kept.append((i, x0, y0, x1, y1, n))
+    df = spark.createDataFrame(rows, "k long, i long, x0 double, y0 double, x1 double, y1 double, length double")
+    assert sorted(r.i for r in dedupe.near_duplicates(df, ["k"], "i").collect()) == [r[0] for r in kept]
