@@ -20,6 +20,7 @@ from tallyspark.operators.components import connected_components
 from tallyspark.operators.islands import anchor_clusters, mode_with_ties
 from tallyspark.operators.match import band_join
 from tallyspark.operators.rules import Rule
+from tallyspark.session import materialize
 
 WEAK_SOURCES = ("plane-snap", "default", "section-weak", "synthesized")
 
@@ -382,6 +383,31 @@ def cap_to_need(bars: DataFrame, marks: DataFrame, kind_in: Sequence[str], prove
     return kept.select(*bars.columns)
 
 
+def reconcile(bars: DataFrame, marks: DataFrame, official: DataFrame, panels: DataFrame) -> DataFrame:
+    """All passes against a schedule, in order, over the bars of all panels: phantoms, dowels, fragments and
+    unclaimed ties go; shapes are calibrated by count; unproven mesh is capped to what is needed; what the
+    schedule asks for beyond the bars that are left is synthesized.
+
+    ``bars`` (panel, bar_id, dia, kind, z_src, seq, length, chord, kg, full_span), ``marks`` (panel, mark,
+    dia, qty, shape, length, segments), ``official`` (panel, dia), ``panels`` (panel, width, height,
+    thickness). Gives (panel, bar_id, mark, dia, kind, z_src, length, kg); a synthesized bar has a mark and
+    no bar_id. Bars that are left count for the marks of their diameter in the order of marks.
+    """
+    kept = drop_unscheduled(bars, official)
+    kept = drop_unscheduled_dowels(kept, marks)
+    kept = drop_fragments(kept, marks)
+    kept = materialize(drop_unclaimed_ties(kept, marks, panels), "kept-bars")
+    kept = calibrate_by_count(kept, marks, "shape")
+    kept = materialize(cap_to_need(kept, marks, ("v-mesh", "h-mesh")), "capped-bars")
+    have = kept.groupBy("panel", "dia").agg(F.count(F.lit(1)).alias("__have"))
+    order = Window.partitionBy("panel", "dia").orderBy("mark").rowsBetween(Window.unboundedPreceding, -1)
+    before = marks.withColumn("__before", F.coalesce(F.sum("qty").over(order), F.lit(0))).join(have, ["panel", "dia"])
+    found = before.select("panel", "mark", "dia", F.greatest(F.lit(0), F.least("qty", F.col("__have") - F.col("__before"))).alias("n"))
+    columns = "panel", "bar_id", "mark", "dia", "kind", "z_src", "length", "kg"
+    made = synthesize_missing(marks, found).withColumn("bar_id", F.lit(None).cast(dict(bars.dtypes)["bar_id"]))
+    return kept.withColumn("mark", F.lit(None).cast("string")).select(*columns).unionByName(made.select(*columns))
+
+
 def drop_uncovered_positions(origins: DataFrame, kept: DataFrame, keys: Sequence[str], within: float = 40.0) -> DataFrame:
     """Positions (pos) seen in two or more sections and planes that no kept bar (kpos) covers."""
     strong = origins.where("sections >= 2 and planes >= 2")

@@ -69,6 +69,22 @@ def rail_pairs(spark, sf_dir):
     return P.rail_candidates(segments, ["panel"])
 
 
+def claimed_rails(spark, sf_dir):
+    """Rail pairs in order of length, each with the ranges that no longer pair has claimed."""
+    return P.claim_rails(rail_pairs(spark, sf_dir), ["panel", "angle_bin"])
+
+
+def reconciled_bars(spark, sf_dir):
+    """Bars after all passes against the schedule."""
+    marks = _marks(spark, sf_dir).select("panel", "dia", "mark", "qty", "length", F.when(F.col("qty") % 2 == 0, "17A").otherwise("00").alias("shape"), F.array(F.col("length") / 2, F.col("most").cast("double")).alias("segments"))
+    bars = _bars(spark, sf_dir).withColumns({"chord": F.col("kg") * 20, "seq": F.col("bar_id"), "length": F.col("length") + F.col("bar_id") % 3})
+    counts = parts(spark, sf_dir).groupBy("panel").agg(F.count(F.lit(1)).alias("n"))
+    panels = counts.select("panel", (F.col("n") % 3 * 200 + 100).alias("width"), F.lit(100).alias("thickness"), F.lit(1300).alias("height"))
+    official = marks.where("mark <> 'ECONOMY'").select("panel", "dia")
+    out = P.reconcile(bars, marks, official, panels)
+    return out.select("panel", "bar_id", "mark", "dia", "kind", "z_src", F.round("length", 6).alias("length"), F.round("kg", 6).alias("kg"))
+
+
 def section_depths(spark, sf_dir):
     """Depths of bars from circles of sections."""
     role = F.when(key() % 2 == 0, "horizontal").otherwise("vertical")
@@ -334,7 +350,7 @@ def deficit_report(spark, sf_dir):
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("deficit"), "panel"))).orderBy("place")
 
 
-QUERIES = {f.__name__: f for f in (view_members, largest_views, elevation_views, box_components, box_extents, rail_pairs, section_depths, detail_labels, link_clashes, sleeves, mesh_family_rows, dowels_dropped, ties_dropped, counted_calibration, uniform_calibration, synthesized_bars, missing_on_grid, mirror_gaps, hairpins, leg_fits, even_runs, text_rows, predicted_counts, section_roles, folded_places, insert_families, panel_sanity, quarantined, path_functions, rounding_modes, wall_clock_instants, label_texts, corner_filters, near_duplicate_segments, arc_partners, bridged_stubs, attached_legs, folded_copies, two_leg_marks, mark_counts, sorted_bar_list, deficit_report)}
+QUERIES = {f.__name__: f for f in (view_members, largest_views, elevation_views, box_components, box_extents, rail_pairs, claimed_rails, reconciled_bars, section_depths, detail_labels, link_clashes, sleeves, mesh_family_rows, dowels_dropped, ties_dropped, counted_calibration, uniform_calibration, synthesized_bars, missing_on_grid, mirror_gaps, hairpins, leg_fits, even_runs, text_rows, predicted_counts, section_roles, folded_places, insert_families, panel_sanity, quarantined, path_functions, rounding_modes, wall_clock_instants, label_texts, corner_filters, near_duplicate_segments, arc_partners, bridged_stubs, attached_legs, folded_copies, two_leg_marks, mark_counts, sorted_bar_list, deficit_report)}
 
 _BOXES = "boxes AS (SELECT p_brand AS panel, p_partkey AS id, CAST(p_partkey * 7 % 900 AS DOUBLE) AS x0, CAST(p_partkey * 13 % 700 AS DOUBLE) AS y0, CAST(p_partkey * 7 % 900 + p_size AS DOUBLE) AS x1, CAST(p_partkey * 13 % 700 + p_partkey % 11 + 5 AS DOUBLE) AS y1, p_size AS size FROM part)"
 _MEMBERS = f"""WITH RECURSIVE {_BOXES},
@@ -347,6 +363,8 @@ _PARTS = f"""marks AS (SELECT p_brand AS panel, dia, p_type AS mark, COUNT(*) AS
     bars AS (SELECT p_brand AS panel, p_partkey AS bar_id, dia, CASE p_partkey % 3 WHEN 0 THEN 'v-mesh' WHEN 1 THEN 'shape' ELSE 'face-dowel' END AS kind, CASE WHEN p_partkey % 5 = 0 THEN 'synthesized' WHEN p_partkey % 5 < 3 THEN 'default' ELSE 'section' END AS z_src,
         ROUND(p_retailprice, 0) AS length, CAST(p_size AS DOUBLE) AS kg, p_partkey % 2 = 0 AS full_span FROM (SELECT *, {SNAP_SQL} AS dia FROM part) WHERE dia IS NOT NULL)"""
 _KG = "CAST(dia AS DOUBLE) * CAST(dia AS DOUBLE) / 162.0::DOUBLE * {} / 1000"
+_RAILS = """WITH s AS (SELECT p_brand AS panel, p_partkey AS id, CAST(p_partkey % 4 AS INT) AS angle_bin, CAST(p_partkey * 3 % 500 AS DOUBLE) AS o, p_size * 10.0::DOUBLE AS lo, p_size * 10.0::DOUBLE + 60 + p_partkey % 90 AS hi FROM part),
+    rails AS (SELECT a.panel, a.angle_bin, a.id AS a, b.id AS b, b.o - a.o AS gap, GREATEST(a.lo, b.lo) AS lo, LEAST(a.hi, b.hi) AS hi FROM s a JOIN s b ON a.panel = b.panel AND a.angle_bin = b.angle_bin AND b.o - a.o BETWEEN 5 AND 34 WHERE LEAST(a.hi, b.hi) - GREATEST(a.lo, b.lo) >= 30) """
 ORACLES = {
     "view_members": _MEMBERS + "SELECT * FROM members",
     "largest_views": _MEMBERS + "SELECT panel, view, x0, y0, x1, y1 FROM (SELECT *, row_number() OVER (PARTITION BY panel ORDER BY (x1 - x0) * (y1 - y0) DESC, view) AS rn FROM views) WHERE rn = 1",
@@ -354,8 +372,28 @@ ORACLES = {
     "box_components": f"""WITH RECURSIVE {_BOXES}, near AS (SELECT a.id AS a, b.id AS b FROM boxes a JOIN boxes b ON a.panel = b.panel AND a.x0 <= b.x1 + 12 AND b.x0 <= a.x1 + 12 AND a.y0 <= b.y1 + 12 AND b.y0 <= a.y1 + 12),
         reach AS (SELECT id AS a, id AS b FROM boxes UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a) SELECT panel, id, MIN(b) AS component FROM boxes JOIN reach ON a = id GROUP BY 1, 2""",
     "box_extents": f"WITH {_BOXES}, e AS (SELECT panel, MIN(x0) AS x0, MIN(y0) AS y0, MAX(x1) AS x1, MAX(y1) AS y1, COUNT(*) AS n FROM boxes GROUP BY 1) SELECT *, CASE WHEN x1 - x0 > 2 * (y1 - y0) THEN 'Horizontal' WHEN y1 - y0 > 2 * (x1 - x0) THEN 'Vertical' ELSE 'Other' END AS orientation FROM e",
-    "rail_pairs": """WITH s AS (SELECT p_brand AS panel, p_partkey AS id, CAST(p_partkey % 4 AS INT) AS angle_bin, CAST(p_partkey * 3 % 500 AS DOUBLE) AS o, p_size * 10.0::DOUBLE AS lo, p_size * 10.0::DOUBLE + 60 + p_partkey % 90 AS hi FROM part)
-        SELECT a.panel, a.angle_bin, a.id AS a, b.id AS b, b.o - a.o AS gap, GREATEST(a.lo, b.lo) AS lo, LEAST(a.hi, b.hi) AS hi FROM s a JOIN s b ON a.panel = b.panel AND a.angle_bin = b.angle_bin AND b.o - a.o BETWEEN 5 AND 34 WHERE LEAST(a.hi, b.hi) - GREATEST(a.lo, b.lo) >= 30""",
+    "rail_pairs": _RAILS + "SELECT * FROM rails",
+    "claimed_rails": _RAILS.replace("WITH", "WITH RECURSIVE", 1) + """, c AS (SELECT *, row_number() OVER (PARTITION BY panel, angle_bin ORDER BY hi - lo DESC, gap, a, b) AS n FROM rails),
+        f AS (SELECT DISTINCT panel, angle_bin, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS gap, CAST([] AS STRUCT(lo DOUBLE, hi DOUBLE)[]) AS pieces, CAST([] AS STRUCT(rail BIGINT, lo DOUBLE, hi DOUBLE)[]) AS taken FROM c
+        UNION ALL SELECT panel, angle_bin, n, a, b, gap, pieces, list_concat(taken, list_concat(list_transform(pieces, lambda p: {'rail': a, 'lo': p.lo, 'hi': p.hi}), list_transform(pieces, lambda p: {'rail': b, 'lo': p.lo, 'hi': p.hi})))
+            FROM (SELECT *, list_filter(list_transform(list_filter(list_distinct(list_concat([lo], list_transform(own, lambda s: s.hi))), lambda p: p >= lo AND p < hi AND len(list_filter(own, lambda s: s.lo <= p AND p < s.hi)) = 0), lambda p: {'lo': p, 'hi': list_min(list_concat([hi], list_filter(list_transform(own, lambda s: s.lo), lambda q: q > p)))}), lambda x: x.hi - x.lo >= 30) AS pieces
+                FROM (SELECT f.panel, f.angle_bin, c.n, c.a, c.b, c.gap, c.lo, c.hi, f.taken, list_filter(f.taken, lambda t: t.rail = c.a OR t.rail = c.b) AS own FROM f JOIN c ON c.panel = f.panel AND c.angle_bin = f.angle_bin AND c.n = f.n + 1)))
+        SELECT panel, angle_bin, a, b, gap, p.lo AS lo, p.hi AS hi FROM (SELECT *, unnest(pieces) AS p FROM f WHERE n > 0)""",
+    "reconciled_bars": f"""WITH {_PARTS},
+        b0 AS (SELECT panel, bar_id, dia, kind, z_src, length + bar_id % 3 AS length, kg, full_span, kg * 20 AS chord FROM bars), o AS (SELECT DISTINCT panel, dia FROM marks WHERE mark <> 'ECONOMY'),
+        b1 AS (SELECT * FROM b0 b WHERE NOT (kind = 'v-mesh' AND z_src <> 'synthesized' AND EXISTS (SELECT 1 FROM o WHERE o.panel = b.panel) AND NOT EXISTS (SELECT 1 FROM o WHERE o.panel = b.panel AND o.dia = b.dia))),
+        dow AS (SELECT panel, dia, bool_or(qty % 2 = 0) AS d FROM marks GROUP BY 1, 2), b2 AS (SELECT b1.* FROM b1 LEFT JOIN dow USING (panel, dia) WHERE NOT (kind = 'face-dowel' AND NOT COALESCE(d, TRUE))),
+        fl AS (SELECT panel, dia, MIN(GREATEST(length / 2, most)) AS least FROM marks GROUP BY 1, 2), b3 AS (SELECT b2.* FROM b2 LEFT JOIN fl USING (panel, dia) WHERE NOT COALESCE(kind = 'v-mesh' AND chord < 0.5::DOUBLE * least, FALSE)),
+        n AS (SELECT p_brand AS panel, COUNT(*) % 3 * 200 + 100 AS width FROM part GROUP BY 1), w AS (SELECT panel, dia, unnest([length, length / 2, CAST(most AS DOUBLE)]) AS want FROM marks),
+        b4 AS (SELECT * FROM b3 b WHERE NOT (full_span AND z_src = 'default' AND EXISTS (SELECT 1 FROM n WHERE n.panel = b.panel AND 1300 >= 4 * width) AND NOT EXISTS (SELECT 1 FROM w WHERE w.panel = b.panel AND w.dia = b.dia AND abs(b.length - want) <= GREATEST(30.0::DOUBLE, 0.08::DOUBLE * b.length)))),
+        c5 AS (SELECT panel, dia, MAX(m.length) AS len FROM marks m JOIN (SELECT panel, dia, COUNT(*) AS n FROM b4 WHERE kind = 'shape' GROUP BY 1, 2) USING (panel, dia) WHERE qty = n GROUP BY 1, 2 HAVING COUNT(*) = 1),
+        b5 AS (SELECT panel, bar_id, dia, kind, CASE WHEN hit THEN 'calibrated' ELSE z_src END AS z_src, CASE WHEN hit THEN len ELSE length END AS length, CASE WHEN hit THEN {_KG.format('len')} ELSE kg END AS kg FROM (SELECT b4.*, len, kind = 'shape' AND len IS NOT NULL AS hit FROM b4 LEFT JOIN c5 USING (panel, dia))),
+        need AS (SELECT panel, dia, SUM({_KG.format('length')} * qty) AS need FROM marks GROUP BY 1, 2), oth AS (SELECT panel, dia, SUM(kg) AS other FROM b5 WHERE NOT (kind IN ('v-mesh', 'h-mesh') AND z_src <> 'section') GROUP BY 1, 2),
+        r6 AS (SELECT b5.*, need, COALESCE(other, 0) AS other, kind IN ('v-mesh', 'h-mesh') AND z_src <> 'section' AS cand FROM b5 LEFT JOIN need USING (panel, dia) LEFT JOIN oth USING (panel, dia)),
+        b6 AS (SELECT * FROM (SELECT *, SUM(kg) OVER (PARTITION BY panel, dia, cand ORDER BY bar_id DESC) AS rest FROM r6) WHERE NOT cand OR need IS NULL OR rest <= need - other + 1e-9),
+        have AS (SELECT panel, dia, CAST(COUNT(*) AS BIGINT) AS have FROM b6 GROUP BY 1, 2), m7 AS (SELECT m.*, COALESCE(have, 0) AS have, COALESCE(SUM(qty) OVER (PARTITION BY m.panel, m.dia ORDER BY mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM marks m LEFT JOIN have USING (panel, dia)),
+        s7 AS (SELECT panel, mark, dia, length, unnest(range(0, CAST(qty - GREATEST(0, LEAST(qty, have - before)) AS BIGINT))) AS i FROM m7)
+        SELECT panel, bar_id, CAST(NULL AS VARCHAR) AS mark, dia, kind, z_src, ROUND(length, 6) AS length, ROUND(kg, 6) AS kg FROM b6 UNION ALL SELECT panel, NULL, mark, dia, 'shape', 'synthesized', ROUND(length, 6), ROUND({_KG.format('length')}, 6) FROM s7""",
     "section_depths": """WITH b AS (SELECT p_brand AS panel, p_partkey AS bar_id, p_partkey % 2 = 0 AS role, p_size % 3 + 4 AS radius, p_partkey * 5 % 600 AS coord FROM part),
         m AS (SELECT p_brand AS panel, p_size % 2 = 0 AS role, p_partkey % 3 + 4 AS r, p_partkey * 11 % 600 AS c, p_size * 4 AS z, p_partkey % 3 AS section FROM part),
         h AS (SELECT bar_id, z, section, abs(c - coord) AS off FROM b JOIN m USING (panel, role) WHERE abs(c - coord) <= 40 AND abs(r - radius) <= 0.5),
