@@ -2,8 +2,9 @@
 
 A vector is rotated by three rounds of random signs and a fast Hadamard transform; its hash is the
 nearest of the signed basis vectors, the coordinate of largest size with its sign. ``width`` hashes
-make a bucket, ``TABLES`` independent buckets a vector, and each vector is also put into the
-``PROBES - 1`` buckets it missed by least in each table. Vectors that share any bucket are compared
+make a bucket, and each vector is also put into the ``PROBES - 1`` buckets it missed by least. There are as
+many independent tables of buckets as a pair at the threshold needs, by the rate at which drawn pairs
+collide, to be missed with a chance of ``MISS`` only. Vectors that share any bucket are compared
 in double precision.
 
 Equal vectors are one node with a multiplicity. A bucket of more than ``BLOCK`` nodes is cut into
@@ -13,6 +14,7 @@ counts and a spanning forest, never pairs; a pair that meets in several buckets
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -25,8 +27,11 @@ from tallyspark.llm.common import discard, map_rows, materialize, small_batches
 from tallyspark.operators.components import connected_components
 
 THRESHOLD = 0.9
-TABLES = 8
 PROBES = 4
+MISS = 0.002
+MOST_TABLES = 64
+RATE_PAIRS = 400
+RATE_TABLES = 4
 BUCKET_TARGET = 64
 BLOCK = 512
 SEED = 7
@@ -43,14 +48,18 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(n)
 
 
+def rotated_size(dim: int) -> int:
+    """Coordinates after padding: a power of two, and enough that random signs make many rotations."""
+    return 1 << max(6, (dim - 1).bit_length())
+
+
 class CrossPolytope:
-    """Buckets of unit vectors: ``keys`` gives (n, TABLES * PROBES) signed 64-bit bucket numbers."""
+    """Buckets of unit vectors: ``keys`` gives (n, tables * probes) signed 64-bit bucket numbers."""
 
-    def __init__(self, dim: int, width: int, tables: int = TABLES, probes: int = PROBES, seed: int = SEED):
-        self.size = 1 << max(1, (dim - 1).bit_length())
+    def __init__(self, dim: int, width: int, tables: int = 8, probes: int = PROBES, seed: int = SEED):
+        self.size = rotated_size(dim)
         self.dim, self.width, self.tables = dim, width, tables
-        self.choices = min(probes, self.size)  # a short vector has few coordinates to choose from
-        self.probes = min(probes, 1 + width * (self.choices - 1))
+        self.choices = self.probes = probes
         self.signs = np.random.default_rng([seed, dim]).choice([-1.0, 1.0], size=(tables, width, 3, self.size))
 
     def keys(self, units: np.ndarray) -> np.ndarray:
@@ -141,21 +150,45 @@ def _common_least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def hash_width(nodes: int, dim: int) -> int:
     """Hashes per bucket so that chance puts about ``BUCKET_TARGET`` nodes into one."""
-    base = 2 * (1 << max(1, (dim - 1).bit_length()))
+    base = 2 * rotated_size(dim)
     most = max(1, int(62 / math.log2(base)) - 1)
     return min(most, max(1, math.ceil(math.log(max(nodes * PROBES / BUCKET_TARGET, 1.0)) / math.log(base))))
 
 
-def tables_for(width: int) -> int:
-    """Tables that keep the miss rate at the threshold; a bucket of two hashes needs ``TABLES``."""
-    return max(2, math.ceil(TABLES * 1.5 ** (width - 2)))
+@functools.lru_cache(maxsize=64)
+def collision_rate(dim: int, width: int, threshold: float = THRESHOLD) -> float:
+    """How often one table's probes bring a pair of exactly ``threshold`` together, measured on drawn pairs."""
+    rng = np.random.default_rng([SEED, dim, width])
+    x, z = rng.normal(size=(2, RATE_PAIRS, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+    y = threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * z
+    hasher = CrossPolytope(dim, width, RATE_TABLES, seed=SEED + 1)
+    a, b = (hasher.keys(v).reshape(RATE_PAIRS, RATE_TABLES, 1, -1) for v in (x, y))
+    return float((a.swapaxes(2, 3) == b).any(axis=(2, 3)).mean())
+
+
+def tables_for(width: int, dim: int, threshold: float = THRESHOLD) -> int:
+    """Tables that let a pair at the threshold be missed with a chance of ``MISS`` at most."""
+    rate = collision_rate(dim, width, threshold)
+    return max(2, math.ceil(math.log(MISS) / math.log1p(-min(rate, 0.999)))) if rate else 1 << 30
+
+
+def shape_for(nodes: int, dim: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(width, tables): the width for that many vectors, or the largest below it that does not need more than
+    ``MOST_TABLES`` tables; narrower hashes make fuller buckets, never fewer finds."""
+    width = hash_width(nodes, dim)
+    while width > 1 and tables_for(width, dim, threshold) > MOST_TABLES:
+        width -= 1
+    return width, tables_for(width, dim, threshold)
 
 
 def link_vectors(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, links, hub) rows for nodes (node, vec, n): links adds up to the number of other
     vectors, copies included, at ``threshold`` or more; (node, hub) rows are edges that connect them."""
     facts = nodes.groupBy(F.length("vec").alias("bytes")).agg(F.count(F.lit(1)).alias("n")).collect()
-    hashers = {r["bytes"]: CrossPolytope(r["bytes"] // 8, w := hash_width(r["n"], r["bytes"] // 8), tables_for(w)) for r in facts}
+    hashers = {r["bytes"]: CrossPolytope(r["bytes"] // 8, *shape_for(r["n"], r["bytes"] // 8, threshold)) for r in facts}
 
     def place(batches):
         for b in batches:
