@@ -23,12 +23,14 @@ def build_session(app: str = "tallyspark", cores: int | str = "*", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where a session leaves it unset (tests on one machine) is a temporary folder made and set.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or else the context's checkpoint
+    folder. Only where a local session leaves both unset, as in tests on one machine, is a temporary folder
+    made and set; a cluster without one is an error."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -276,3 +276,21 @@ def test_near_duplicates_are_the_loop(spark, seed):
             kept.append((i, x0, y0, x1, y1, n))
     df = spark.createDataFrame(rows, "k long, i long, x0 double, y0 double, x1 double, y1 double, length double")
     assert sorted(r.i for r in dedupe.near_duplicates(df, ["k"], "i").collect()) == [r[0] for r in kept]
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace as Fake
+
+    from tallyspark.session import shared_dir
+
+    def session(master, conf=None, checkpoint=None):
+        context = Fake(getConf=lambda: {"spark.checkpoint.dir": conf} if conf else {}, getCheckpointDir=lambda: checkpoint, master=master)
+        kept = {}
+        return Fake(sparkContext=context, conf=Fake(get=kept.get, set=kept.__setitem__))
+
+    assert shared_dir(session("spark://x", "hdfs://a/b/")) == "hdfs://a/b" and shared_dir(session("spark://x", None, "hdfs://c")) == "hdfs://c"
+    for master in ("spark://x", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+    own = session("local[2]")
+    assert shared_dir(own) == shared_dir(own) and shared_dir(own).startswith("file://")
