@@ -121,7 +121,8 @@ def _row_key(id_column: str, text: Column) -> Column:
 
 
 def build_postings(df: DataFrame, trigrams: list[str], id_column: str, text_column: str) -> DataFrame:
-    """The inverted index (trigram, key) over ``trigrams``."""
+    """The inverted index (trigram, key) over ``trigrams``. Lower case is Unicode's here, which takes a few
+    more characters for ASCII letters than the rules do: that only adds candidates."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     low = F.lower(text)
     held = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams)))
