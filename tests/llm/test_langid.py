@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -55,3 +58,60 @@ def test_odd_rows(odd_docs, no_docs):
     assert all(r.lang_pred == "und" and r.score == 0 for r in rows if r.doc_id in (3, 4, 5))
     assert L.identify_documents(no_docs).collect() == []
     assert {r.lang_pred for r in L.identify_documents(odd_docs.where("doc_id is null")).collect()} == {"und"}  # nothing to learn from
+
+
+def plain_model(rows):
+    """(languages, words, grams) as log frequencies, counted by hand from (text, lang)."""
+    langs = sorted({lang for _, lang in rows})
+    counts = {lang: Counter(w for t, own in rows if own == lang for w in re.findall(r"[^\W\d_]+", t.lower())) for lang in langs}
+
+    def logs(tables):
+        known = set().union(*tables.values())
+        whole = {lang: sum(tables[lang].values()) for lang in langs}
+        return {w: [math.log((tables[lang][w] + 0.1) / (whole[lang] + 0.1 * (len(known) + 1))) for lang in langs] for w in known}
+
+    words = logs({lang: Counter({w: n for w, n in c.items() if n > 1}) for lang, c in counts.items()})
+    grams = {}
+    for k in L.ORDERS:
+        tables = {lang: Counter() for lang in langs}
+        for lang, c in counts.items():
+            for w, n in c.items():
+                form = f"^{w}$" if k > 1 else w
+                for i in range(len(form) - k + 1):
+                    tables[lang][form[i : i + k]] += n
+        grams[k] = logs(tables)
+    return langs, words, grams
+
+
+def plain_predict(model, text):
+    langs, words, grams = model
+    found = re.findall(r"[^\W\d_]+", text.lower())
+    total = [0.0] * len(langs)
+    for w in found:
+        scores = words.get(w)
+        for k in L.ORDERS if scores is None else ():
+            form = f"^{w}$" if k > 1 else w
+            known = [grams[k][g] for i in range(len(form) - k + 1) if (g := form[i : i + k]) in grams[k]]
+            if known:
+                scores = [sum(x) / len(known) for x in zip(*known, strict=True)]
+                break
+        total = [a + b for a, b in zip(total, scores or [0.0] * len(langs), strict=True)]
+    mean = [x / len(found) for x in total]
+    odds = [math.exp((x - max(mean)) * min(len(found), 20)) for x in mean]
+    return langs[mean.index(max(mean))], max(odds) / sum(odds)
+
+
+def test_scores_equal_plain_counts(docs):
+    rows = docs.collect()
+    model = plain_model([(r.text, r.lang) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2])
+    texts = {r.doc_id: r.text for r in rows}
+    for r in L.identify_documents(docs).collect():
+        lang, score = plain_predict(model, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+
+
+def test_languages_of_tied_counts_keep_their_words(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_WORDS", 3)
+    rows = [(i, f"w{chr(97 + j)} w{chr(97 + j)}" if j < 10 else "often often often rare rare", "many" if j < 10 else "few") for i, j in enumerate(range(12))]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {f"w{chr(97 + j)}" for j in range(10)} | {"often", "rare"} == set(model.words)

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import zlib
 
@@ -118,3 +119,46 @@ def test_odd_rows(odd_docs, no_docs, frames, spark):
     assert T.score_documents(odd_docs, odd_labels).count() == odd_docs.count()
     kept = T.reject_toxic(odd_docs, none)
     assert kept.schema == odd_docs.schema and kept.count() == odd_docs.count()
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_match(model, word):
+    """The best lexicon entry of a word by edit distances to every entry."""
+    stems = [(0, -len(s), s, v) for s, v in model.stems.items() if word.startswith(s)]
+    words = [(d, -len(t), t, v) for t, v in model.words.items() if (d := distance(word, t)) == 0 or (d == 1 and len(t) >= T.FUZZY_LEAST)]
+    best = min(words, default=None)
+    if best and stems and best[0]:
+        best = None
+    best = best or min(stems, default=None) or min(words, default=None)
+    return best and (best[2], best[3], best[0])
+
+
+def plain_score(model, text):
+    low = (text or "").lower().translate(T._DIGITS)
+    found = list(T._WORD.finditer(low))
+    total = strongest = hits = 0
+    terms = set()
+    for m in found:
+        hit = plain_match(model, m.group())
+        if hit is None or (hit[2] and m.group() in model.clean):
+            continue
+        value = hit[1] * (T.MISSPELT if hit[2] else 1) * T.Scorer._context(low, m.start(), m.end())
+        total, strongest, hits = total + value, max(strongest, value), hits + 1
+        terms.add(hit[0])
+    f = [1, strongest / 5, math.log1p(total) / 3, min(len(terms), 5) / 5, min(1, 20 * hits / len(found)) if hits else 0]
+    return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(f, model.weights, strict=True))))))
+
+
+def test_scores_equal_plain_search(frames, model):
+    rows = T.score(frames[0], model).collect()
+    texts = {r.doc_id: r.text for r in frames[0].collect()}
+    sample = [r for r in rows if r.id % 4 == 0]
+    assert len(sample) > 50 and all(abs(r.score - plain_score(model, texts[r.id])) < 1e-9 for r in sample)
