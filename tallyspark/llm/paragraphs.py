@@ -278,6 +278,26 @@ def candidate_words(df: DataFrame, wanted: DataFrame, id_column: str, text_colum
     return small_batches(found, 300).mapInPandas(run, "a long, b long, t long, start int, stop int, line string")
 
 
+def similar_pairs(sets: list[set], threshold: float) -> np.ndarray:
+    """Which of the sets, which must not be empty, are similar: their intersections as one product of matrices
+    over the elements that several of them hold."""
+    held: dict = {}
+    for n, one in enumerate(sets):
+        for x in one:
+            held.setdefault(x, []).append(n)
+    shared = [rows for rows in held.values() if len(rows) > 1]
+    size = np.array([len(x) for x in sets], dtype=np.float64)
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for at in range(0, len(shared), 8192):
+        some = shared[at : at + 8192]
+        marks = np.zeros((len(sets), len(some)), dtype=np.float32)
+        marks[np.fromiter((r for rows in some for r in rows), dtype=np.int64), np.repeat(np.arange(len(some)), [len(r) for r in some])] = 1
+        common += marks @ marks.T
+    common = common.astype(np.float64)
+    np.fill_diagonal(common, size)
+    return common / (size[:, None] + size[None, :] - common) >= threshold
+
+
 def link_lines(members: DataFrame, lines_of: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) of the line hashes that near-duplicate another. ``members`` (key, hub, ph) holds
     the buckets of several lines with the least of each, ``lines_of`` (ph, line) the lines."""
@@ -313,27 +333,24 @@ def link_lines(members: DataFrame, lines_of: DataFrame, threshold: float = THRES
 
     def compare(batches):
         for (_, i, j), part in _runs(batches, by):
-            sets = [shingles(words_of(x)) for x in part["line"]]
-            ph, own = part["ph"].tolist(), part["own"].tolist()
-            root = {x: x for x in part["label"]}
+            label, ph = part["label"].to_numpy(), part["ph"].to_numpy()
+            good = similar_pairs([shingles(words_of(x)) for x in part["line"]], threshold)
+            good &= label[:, None] != label[None, :]
+            if i != j:
+                own = part["own"].to_numpy()
+                good &= own[:, None] != own[None, :]
+            root: dict[int, int] = {}
 
             def find(x, root=root):
-                while root[x] != x:
-                    root[x] = root[root[x]]
+                while x in root:
                     x = root[x]
                 return x
 
-            label = part["label"].tolist()
             edges = []
-            for a in range(len(ph)):
-                for b in range(a):
-                    if (i != j and own[a] == own[b]) or (x := find(label[a])) == (y := find(label[b])):
-                        continue
-                    # similarity cannot exceed the ratio of the sizes
-                    small, large = sorted((len(sets[a]), len(sets[b])))
-                    if small >= threshold * large and jaccard(sets[a], sets[b]) >= threshold:
-                        root[max(x, y)] = min(x, y)
-                        edges.append((ph[a], ph[b]))
+            for a, b in zip(*(k.tolist() for k in np.nonzero(np.tril(good))), strict=True):
+                if (x := find(int(label[a]))) != (y := find(int(label[b]))):
+                    root[max(x, y)] = min(x, y)
+                    edges.append((ph[a], ph[b]))
             if edges:
                 yield pd.DataFrame(edges, columns=["ph", "hub"])
 

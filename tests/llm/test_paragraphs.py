@@ -90,6 +90,13 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert {r.doc_id: positions(r) for r in got} == P.brute_force(texts)
 
 
+def test_similar_pairs_are_exact():
+    base = passage(70)
+    sets = [P.shingles(P.words_of(t)) for t in (base, *(edited(base, i % 4) for i in range(40)), passage(60), passage(3), base)]
+    got = P.similar_pairs(sets, 0.8)
+    assert all(got[a, b] == (P.jaccard(sets[a], sets[b]) >= 0.8) for a in range(len(sets)) for b in range(len(sets)))
+
+
 def test_recall_of_banding():
     hit = trials = 0
     for _ in range(400):
