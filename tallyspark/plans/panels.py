@@ -85,6 +85,14 @@ def reconciled_bars(spark, sf_dir):
     return out.select("panel", "bar_id", "mark", "dia", "kind", "z_src", F.round("length", 6).alias("length"), F.round("kg", 6).alias("kg"))
 
 
+def chained_bars(spark, sf_dir):
+    """Bars chained end to end from pieces."""
+    x, y = (key() * 7 % 60).cast("double"), (key() * 11 % 50).cast("double")
+    pieces = parts(spark, sf_dir, x0=x, y0=y, x1=x + size() % 20 + 5, y1=y + key() % 5, dia=(size() % 4 + 8).cast("double"), length=(size() + 10).cast("double")).withColumnRenamed("id", "piece_id")
+    out = P.chain_pieces(pieces, ["panel"])
+    return out.select("panel", "chain_id", F.array_join("pieces", ",").alias("pieces"), "length", F.round("dia", 6).alias("dia"))
+
+
 def section_depths(spark, sf_dir):
     """Depths of bars from circles of sections."""
     role = F.when(key() % 2 == 0, "horizontal").otherwise("vertical")
@@ -350,7 +358,7 @@ def deficit_report(spark, sf_dir):
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("deficit"), "panel"))).orderBy("place")
 
 
-QUERIES = {f.__name__: f for f in (view_members, largest_views, elevation_views, box_components, box_extents, rail_pairs, claimed_rails, reconciled_bars, section_depths, detail_labels, link_clashes, sleeves, mesh_family_rows, dowels_dropped, ties_dropped, counted_calibration, uniform_calibration, synthesized_bars, missing_on_grid, mirror_gaps, hairpins, leg_fits, even_runs, text_rows, predicted_counts, section_roles, folded_places, insert_families, panel_sanity, quarantined, path_functions, rounding_modes, wall_clock_instants, label_texts, corner_filters, near_duplicate_segments, arc_partners, bridged_stubs, attached_legs, folded_copies, two_leg_marks, mark_counts, sorted_bar_list, deficit_report)}
+QUERIES = {f.__name__: f for f in (view_members, largest_views, elevation_views, box_components, box_extents, rail_pairs, claimed_rails, chained_bars, reconciled_bars, section_depths, detail_labels, link_clashes, sleeves, mesh_family_rows, dowels_dropped, ties_dropped, counted_calibration, uniform_calibration, synthesized_bars, missing_on_grid, mirror_gaps, hairpins, leg_fits, even_runs, text_rows, predicted_counts, section_roles, folded_places, insert_families, panel_sanity, quarantined, path_functions, rounding_modes, wall_clock_instants, label_texts, corner_filters, near_duplicate_segments, arc_partners, bridged_stubs, attached_legs, folded_copies, two_leg_marks, mark_counts, sorted_bar_list, deficit_report)}
 
 _BOXES = "boxes AS (SELECT p_brand AS panel, p_partkey AS id, CAST(p_partkey * 7 % 900 AS DOUBLE) AS x0, CAST(p_partkey * 13 % 700 AS DOUBLE) AS y0, CAST(p_partkey * 7 % 900 + p_size AS DOUBLE) AS x1, CAST(p_partkey * 13 % 700 + p_partkey % 11 + 5 AS DOUBLE) AS y1, p_size AS size FROM part)"
 _MEMBERS = f"""WITH RECURSIVE {_BOXES},
@@ -379,6 +387,20 @@ ORACLES = {
             FROM (SELECT *, list_filter(list_transform(list_filter(list_distinct(list_concat([lo], list_transform(own, lambda s: s.hi))), lambda p: p >= lo AND p < hi AND len(list_filter(own, lambda s: s.lo <= p AND p < s.hi)) = 0), lambda p: {'lo': p, 'hi': list_min(list_concat([hi], list_filter(list_transform(own, lambda s: s.lo), lambda q: q > p)))}), lambda x: x.hi - x.lo >= 30) AS pieces
                 FROM (SELECT f.panel, f.angle_bin, c.n, c.a, c.b, c.gap, c.lo, c.hi, f.taken, list_filter(f.taken, lambda t: t.rail = c.a OR t.rail = c.b) AS own FROM f JOIN c ON c.panel = f.panel AND c.angle_bin = f.angle_bin AND c.n = f.n + 1)))
         SELECT panel, angle_bin, a, b, gap, p.lo AS lo, p.hi AS hi FROM (SELECT *, unnest(pieces) AS p FROM f WHERE n > 0)""",
+    "chained_bars": """WITH RECURSIVE p AS (SELECT p_brand AS panel, p_partkey AS id, CAST(p_partkey * 7 % 60 AS DOUBLE) AS x0, CAST(p_partkey * 11 % 50 AS DOUBLE) AS y0, CAST(p_partkey * 7 % 60 + p_size % 20 + 5 AS DOUBLE) AS x1, CAST(p_partkey * 11 % 50 + p_partkey % 5 AS DOUBLE) AS y1, p_size % 4 + 8.0::DOUBLE AS dia, p_size + 10.0::DOUBLE AS len FROM part),
+        f AS (SELECT panel, CAST(0 AS BIGINT) AS n, 'new' AS act, list({'id': id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'dia': dia, 'len': len} ORDER BY id) AS free, CAST([] AS BIGINT[]) AS chain, 1 AS side, 0.0::DOUBLE AS ax, 0.0::DOUBLE AS ay, 0.0::DOUBLE AS bx, 0.0::DOUBLE AS by_, 0.0::DOUBLE AS sdia, 0.0::DOUBLE AS total, 0.0::DOUBLE AS weighed FROM p GROUP BY 1
+        UNION ALL SELECT panel, n + 1,
+            CASE WHEN act = 'new' THEN 'grow' WHEN best IS NOT NULL THEN 'grow' WHEN side = 1 THEN 'grow' ELSE 'new' END,
+            CASE WHEN act = 'new' THEN free[2:] WHEN best IS NOT NULL THEN list_filter(free, lambda r: r.id <> best.id) ELSE free END,
+            CASE WHEN act = 'new' THEN [free[1].id] WHEN best IS NULL THEN chain WHEN side = 1 THEN list_append(chain, best.id) ELSE list_prepend(best.id, chain) END,
+            CASE WHEN act = 'new' THEN 1 WHEN best IS NULL AND side = 1 THEN 0 ELSE side END,
+            CASE WHEN act = 'new' THEN free[1].x0 WHEN best IS NOT NULL AND side = 0 THEN best.fx ELSE ax END, CASE WHEN act = 'new' THEN free[1].y0 WHEN best IS NOT NULL AND side = 0 THEN best.fy ELSE ay END,
+            CASE WHEN act = 'new' THEN free[1].x1 WHEN best IS NOT NULL AND side = 1 THEN best.fx ELSE bx END, CASE WHEN act = 'new' THEN free[1].y1 WHEN best IS NOT NULL AND side = 1 THEN best.fy ELSE by_ END,
+            CASE WHEN act = 'new' THEN free[1].dia ELSE sdia END, CASE WHEN act = 'new' THEN free[1].len WHEN best IS NOT NULL THEN total + best.len ELSE total END, CASE WHEN act = 'new' THEN free[1].len * free[1].dia WHEN best IS NOT NULL THEN weighed + best.len * best.dia ELSE weighed END
+            FROM (SELECT *, CASE WHEN act = 'grow' THEN list_min(list_filter(list_concat(list_transform(list_filter(free, lambda r: abs(r.dia - sdia) <= 1.9), lambda r: {'d': sqrt((r.x0 - ex) * (r.x0 - ex) + (r.y0 - ey) * (r.y0 - ey)), 'id': r.id, 'fx': r.x1, 'fy': r.y1, 'len': r.len, 'dia': r.dia}),
+                list_transform(list_filter(free, lambda r: abs(r.dia - sdia) <= 1.9), lambda r: {'d': sqrt((r.x1 - ex) * (r.x1 - ex) + (r.y1 - ey) * (r.y1 - ey)), 'id': r.id, 'fx': r.x0, 'fy': r.y0, 'len': r.len, 'dia': r.dia})), lambda c: c.d <= 4)) END AS best
+                FROM (SELECT *, CASE WHEN side = 1 THEN bx ELSE ax END AS ex, CASE WHEN side = 1 THEN by_ ELSE ay END AS ey FROM f WHERE act = 'grow' OR len(free) > 0)))
+        SELECT panel, list_min(chain) AS chain_id, array_to_string(chain, ',') AS pieces, total AS length, ROUND(weighed / total, 6) AS dia FROM f WHERE act = 'new' AND n > 0""",
     "reconciled_bars": f"""WITH {_PARTS},
         b0 AS (SELECT panel, bar_id, dia, kind, z_src, length + bar_id % 3 AS length, kg, full_span, kg * 20 AS chord FROM bars), o AS (SELECT DISTINCT panel, dia FROM marks WHERE mark <> 'ECONOMY'),
         b1 AS (SELECT * FROM b0 b WHERE NOT (kind = 'v-mesh' AND z_src <> 'synthesized' AND EXISTS (SELECT 1 FROM o WHERE o.panel = b.panel) AND NOT EXISTS (SELECT 1 FROM o WHERE o.panel = b.panel AND o.dia = b.dia))),

@@ -200,6 +200,22 @@ def sheet_file(spark, sf_dir):
     return back.select("employee_id", "name", F.col("date").cast("string").alias("date"), "in_time", "out_time", "source")
 
 
+def cached_totals(spark, sf_dir):
+    """Totals asked for four times: built, read from the cache, built anew when that is too old, and read once
+    more when a later build fails."""
+    folder = scratch(spark, "cache")
+
+    def totals(status):
+        return lambda: table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+    def broken():
+        raise OSError("no source")
+
+    asked = [(0, totals("F")), (29, broken), (30, totals("O")), (90, broken)]
+    out = [S.cached(spark, folder, build, 1_700_000_000 + at).withColumn("asked_at", F.lit(at)) for at, build in asked]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 def sheets_apart(spark, sf_dir):
     """Rows written to one sheet a title, whose names are made unique, and counted from the files."""
     titles = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_name", 1, 3).alias("base"), "p_size").where("p_size <= 12")
@@ -260,7 +276,7 @@ def panels_by_sheet(spark, sf_dir):
     return rows.groupBy("panel", "p_type").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("total")).orderBy("panel", "p_type")
 
 
-QUERIES = {f.__name__: f for f in (pdf_summary_rows, pdf_flowed_rows, pdf_cell_lines, office_rows, layout_items, layout_summaries, layout_block_sizes, revision_cells_dropped, identifier_rows, block_census, drawing_entities, drawing_boxes, panel_documents, printed_reports, registry_file, sheet_file, sheets_apart, models_listed, ranked_sources, sheet_set_rows, located_documents, photo_count_rows, encoding_cache, gate_lines, panels_by_sheet)}
+QUERIES = {f.__name__: f for f in (pdf_summary_rows, pdf_flowed_rows, pdf_cell_lines, office_rows, layout_items, layout_summaries, layout_block_sizes, revision_cells_dropped, identifier_rows, block_census, drawing_entities, drawing_boxes, panel_documents, printed_reports, registry_file, sheet_file, cached_totals, sheets_apart, models_listed, ranked_sources, sheet_set_rows, located_documents, photo_count_rows, encoding_cache, gate_lines, panels_by_sheet)}
 
 _P = "p AS (SELECT *, p_partkey AS k, p_size AS s, ROUND(p_retailprice, 1) AS price, 'P' || p_partkey AS path, ['A', 'B', 'C', 'D', 'E'][CAST(p_partkey % 5 AS INT) + 1] || p_partkey % 100 AS mark FROM part)"
 _CELLS = "n AS (SELECT p_brand, COUNT(*) AS n, COUNT(*) FILTER (WHERE p_partkey % 6 = 0) AS unmarked, COUNT(DISTINCT p_size) AS sizes FROM part GROUP BY 1)"
@@ -282,6 +298,7 @@ ORACLES = {
         SELECT panel, dia, recon, official, recon - official AS gap, CASE WHEN official = 0 AND recon > 0 THEN 'extra' WHEN official = 0 THEN '-' ELSE CAST(round_even(100 * recon / official, 0) AS BIGINT) || '%' END AS pct FROM t""",
     "registry_file": "SELECT CAST(c_custkey AS VARCHAR) AS employee_id, CASE WHEN c_acctbal > 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR) END AS name, NOT c_acctbal > 0 AS auto_registered FROM customer",
     "sheet_file": "SELECT 'E' || o_custkey AS employee_id, o_orderpriority AS name, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 5 > 0 THEN format('{:02d}:00:00', o_orderkey % 24) END AS in_time, CASE WHEN o_orderkey % 3 > 0 THEN format('{:02d}:00:00', o_orderkey % 24) END AS out_time, 'sheet' AS source FROM orders WHERE o_orderkey % 11 > 0",
+    "cached_totals": "SELECT o_orderpriority, COUNT(*) AS n, a AS asked_at FROM orders, (VALUES (0, 'F'), (29, 'F'), (30, 'O'), (90, 'O')) t(a, s) WHERE o_orderstatus = s GROUP BY 1, 3",
     "sheets_apart": "WITH g AS (SELECT substr(p_name, 1, 3) AS base, p_size AS size, COUNT(*) AS n FROM part WHERE p_size <= 12 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY size) AS i FROM g) SELECT CASE WHEN i = 1 THEN base ELSE base || '_' || i END AS sheet, size, n FROM r",
     "models_listed": "SELECT p_partkey AS k FROM part WHERE p_partkey < 40 AND p_partkey % 4 > 1",
     "ranked_sources": "SELECT 'P' || k AS path, CAST(row_number() OVER (ORDER BY CASE WHEN k % 3 = 0 AND k % 2 > 0 THEN 0 ELSE 1 END, abs(k * 7 % 1000 - 500), k % 2, 'P' || k) AS INT) AS rank FROM (SELECT p_partkey AS k FROM part) WHERE k % 3 < 2",

@@ -34,6 +34,27 @@ def with_fallback(primary: Callable[[], DataFrame] | None, fallback: Callable[[]
     return fallback().withColumn("source", F.lit("generated"))
 
 
+def cached(spark: SparkSession, folder: str, build: Callable[[], DataFrame], now: float, seconds: float = 30.0) -> DataFrame:
+    """The result of ``build``, kept below ``folder`` for ``seconds``: asked again within that time of ``now``, an
+    epoch time, the newest kept result is read; later, or with none kept, it is built anew. A failing
+    build falls back to the last result, if there is one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    kept = sorted(int(n[3:]) for n in names if n.startswith("at-"))
+    if not kept or now * 1000 - kept[-1] >= seconds * 1000:
+        try:
+            built = int(now * 1000)
+            build().write.mode("overwrite").parquet(f"{folder}/at-{built}")
+            for old in kept[:-1]:  # the one before may still be read
+                files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/at-{old}"), True)
+            kept.append(built)
+        except Exception:
+            if not kept:
+                raise
+    return spark.read.parquet(f"{folder}/at-{kept[-1]}")
+
+
 def generate_attendance(spark: SparkSession, today: str, people: Sequence[str], days: int = 14, absent: float = 0.12, still_in: float = 0.4, seed: int = 1) -> DataFrame:
     """Seeded attendance rows for the last ``days`` weekdays: in from 8 to 9, out from 17 to 19; a
     share is absent, and a share of today's have not left yet."""
