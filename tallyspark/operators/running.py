@@ -22,16 +22,16 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], wei
     weighed = df.withColumn("__w", weight)
     dealt = weighed.repartitionByRange(count, *map(F.col, keys), *order).withColumn("__part", F.spark_partition_id())
     dealt = materialize(dealt, "running")  # so that every use sees one row in one range
-    sums = dealt.groupBy(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__of")).agg(F.coalesce(F.sum("__w"), F.lit(0)).alias("__sum"))
-    by = Window.partitionBy(*(f"__{k}" for k in keys))
+    sums = dealt.groupBy(*(F.col(k).alias(f"__key_{k}") for k in keys), F.col("__part").alias("__of")).agg(F.coalesce(F.sum("__w"), F.lit(0)).alias("__sum"))
+    by = Window.partitionBy(*(f"__key_{k}" for k in keys))
     before = F.sum("__sum").over(by.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.withColumns({"__before": F.coalesce(before, F.lit(0)), f"{name}_all": F.sum("__sum").over(by)})
     same = F.col("__part") == F.col("__of")
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        same = same & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
     inside = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.withColumn("__run", F.coalesce(F.sum("__w").over(inside), F.lit(0))).join(offsets, same)
-    return out.select(*df.columns, (F.col("__run") + F.col("__before")).alias(name), f"{name}_all")
+    out = dealt.withColumn("__inside", F.coalesce(F.sum("__w").over(inside), F.lit(0))).join(offsets, same)
+    return out.select(*df.columns, (F.col("__inside") + F.col("__before")).alias(name), f"{name}_all")
 
 
 def exact_medians(df: DataFrame, keys: Sequence[str], value: str, name: str, parts: int | None = None) -> DataFrame:

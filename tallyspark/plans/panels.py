@@ -12,6 +12,7 @@ from tallyspark.functions import calc as C
 from tallyspark.functions import text as T
 from tallyspark.operators import bends as B
 from tallyspark.operators import panel as P
+from tallyspark.operators import synthesis as Z
 from tallyspark.operators.dedupe import near_duplicates
 from tallyspark.operators.rules import Rule, findings, quarantine
 from tallyspark.plans.tallies import SNAP_SQL
@@ -222,6 +223,60 @@ def section_roles(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", role.alias("role"))
 
 
+def classified_sections(spark, sf_dir):
+    """Which views are sections, and of which side; panels of every fourth brand have thick walls only."""
+    thick = F.when(F.length("p_brand") == 7, 480 + size() % 9 * 30).otherwise(F.when(key() % 9 == 0, 290).otherwise(80 + size() % 50))
+    long = F.element_at(F.array(F.lit(1000) - size(), F.lit(1500) + size() * 3, F.lit(700) + key() % 40, F.lit(1000) + key() % 60), (key() % 4).cast("int") + 1)
+    x, y = (key() * 37 % 900 - 100).cast("double"), (key() * 53 % 1500 - 100).cast("double")
+    flat = size() % 2 == 0
+    walls = parts(spark, sf_dir, x0=x, y0=y, x1=x + F.when(flat, long).otherwise(thick), y1=y + F.when(flat, thick).otherwise(long)).withColumnRenamed("id", "view")
+    sizes = {"width": 1000.0, "height": 1600.0, "ex0": 0.0, "ey0": 0.0, "ex1": 1000.0, "ey1": 1600.0}
+    panels = parts(spark, sf_dir).select("panel").distinct().withColumns({k: F.lit(v) for k, v in sizes.items()})
+    return Z.classify_sections(walls, panels).withColumnRenamed("along_x", "is_along_x")
+
+
+def _uprights(spark, sf_dir):
+    lo = (key() * 7 % 900).cast("double")
+    return parts(spark, sf_dir, x=(key() * 61 % 1500).cast("double"), z=F.when(size() % 2 == 0, 30.0).otherwise(130.0), dia=(size() % 3 * 4 + 8).cast("int"), lo=lo, hi=lo + 400 + size() * 30)
+
+
+def _panel_heights(spark, sf_dir):
+    return parts(spark, sf_dir).select("panel").distinct().withColumn("height", F.lit(2600.0))
+
+
+def tie_rows(spark, sf_dir):
+    """Ties round neighbouring main bars, by the panel's tie callouts."""
+    label = F.concat(F.lit("T"), (size() % 2 * 4 + 6).cast("string"), F.when(key() % 3 == 0, " Ties").otherwise(""), F.lit(" @ "), (key() % 2 * 50 + 100).cast("string"), F.lit("mm"))
+    said = parts(spark, sf_dir, c=T.bar_pitch(label)).where("c.kind = 'tie'").select("panel", "c.dia", "c.pitch")
+    return Z.tie_stacks(_uprights(spark, sf_dir), said, _panel_heights(spark, sf_dir), reach=60.0)
+
+
+def hairpin_rows(spark, sf_dir):
+    """Hairpins at the ends of bars that both faces share, where no folded bar is."""
+    label = F.concat(F.lit("T"), (size() % 2 * 4 + 8).cast("string"), F.lit(" UBAR @ 100mm"))
+    said = parts(spark, sf_dir, c=T.bar_pitch(label)).select("panel", "c.dia", "c.pitch")
+    bars = _uprights(spark, sf_dir).withColumn("x", F.col("x") % 40 * 30)
+    folded = parts(spark, sf_dir, ux=(key() * 61 % 1500).cast("double"), uy=(key() * 7 % 2600).cast("double")).where(F.col("id") % 11 == 0).drop("id")
+    return Z.edge_hairpins(bars, said, folded, _panel_heights(spark, sf_dir))
+
+
+def hooks_in_rows(spark, sf_dir):
+    """Hooks along the rows of icons, as long as the detail views show them."""
+    icons = parts(spark, sf_dir, axis=F.when(size() % 2 == 0, "v").otherwise("h"), coord=(key() % 3).cast("double"), pos=(key() * 7 % 130 * 50).cast("double"))
+    label = F.concat(F.lit("T"), (size() % 2 * 4 + 8).cast("string"), F.lit(" Hook @ "), (key() % 2 * 50 + 100).cast("string"), F.lit("mm"))
+    said = parts(spark, sf_dir, c=T.bar_pitch(label)).select("panel", "c.dia", "c.pitch")
+    details = parts(spark, sf_dir, dia=(size() % 3 * 4 + 8).cast("int"), length=(size() * 10).cast("double")).where(F.length("panel") > 7)
+    out = Z.hook_rows(icons.drop("id"), details, said, least=3)
+    return out.withColumn("length", F.round("length", 6))
+
+
+def dashed_diagonals(spark, sf_dir):
+    lo = (key() * 11 % 5000).cast("double")
+    dashes = parts(spark, sf_dir, angle_bin=(key() % 3).cast("int"), offset=(key() * 19 % 3000).cast("double"), lo=lo, hi=lo + 150 + size() * 4)
+    out = Z.dashed_lines(dashes)
+    return out.withColumn("offset", F.round("offset", 6))
+
+
 def folded_places(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", B.reflect((key() * 7 - 900).cast("double"), size().cast("double") + 10).alias("place"))
 
@@ -358,7 +413,7 @@ def deficit_report(spark, sf_dir):
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("deficit"), "panel"))).orderBy("place")
 
 
-QUERIES = {f.__name__: f for f in (view_members, largest_views, elevation_views, box_components, box_extents, rail_pairs, claimed_rails, chained_bars, reconciled_bars, section_depths, detail_labels, link_clashes, sleeves, mesh_family_rows, dowels_dropped, ties_dropped, counted_calibration, uniform_calibration, synthesized_bars, missing_on_grid, mirror_gaps, hairpins, leg_fits, even_runs, text_rows, predicted_counts, section_roles, folded_places, insert_families, panel_sanity, quarantined, path_functions, rounding_modes, wall_clock_instants, label_texts, corner_filters, near_duplicate_segments, arc_partners, bridged_stubs, attached_legs, folded_copies, two_leg_marks, mark_counts, sorted_bar_list, deficit_report)}
+QUERIES = {f.__name__: f for f in (view_members, largest_views, elevation_views, box_components, box_extents, rail_pairs, claimed_rails, chained_bars, reconciled_bars, section_depths, detail_labels, link_clashes, sleeves, mesh_family_rows, dowels_dropped, ties_dropped, counted_calibration, uniform_calibration, synthesized_bars, missing_on_grid, mirror_gaps, hairpins, leg_fits, even_runs, text_rows, predicted_counts, section_roles, classified_sections, tie_rows, hairpin_rows, hooks_in_rows, dashed_diagonals, folded_places, insert_families, panel_sanity, quarantined, path_functions, rounding_modes, wall_clock_instants, label_texts, corner_filters, near_duplicate_segments, arc_partners, bridged_stubs, attached_legs, folded_copies, two_leg_marks, mark_counts, sorted_bar_list, deficit_report)}
 
 _BOXES = "boxes AS (SELECT p_brand AS panel, p_partkey AS id, CAST(p_partkey * 7 % 900 AS DOUBLE) AS x0, CAST(p_partkey * 13 % 700 AS DOUBLE) AS y0, CAST(p_partkey * 7 % 900 + p_size AS DOUBLE) AS x1, CAST(p_partkey * 13 % 700 + p_partkey % 11 + 5 AS DOUBLE) AS y1, p_size AS size FROM part)"
 _MEMBERS = f"""WITH RECURSIVE {_BOXES},
@@ -373,6 +428,7 @@ _PARTS = f"""marks AS (SELECT p_brand AS panel, dia, p_type AS mark, COUNT(*) AS
 _KG = "CAST(dia AS DOUBLE) * CAST(dia AS DOUBLE) / 162.0::DOUBLE * {} / 1000"
 _RAILS = """WITH s AS (SELECT p_brand AS panel, p_partkey AS id, CAST(p_partkey % 4 AS INT) AS angle_bin, CAST(p_partkey * 3 % 500 AS DOUBLE) AS o, p_size * 10.0::DOUBLE AS lo, p_size * 10.0::DOUBLE + 60 + p_partkey % 90 AS hi FROM part),
     rails AS (SELECT a.panel, a.angle_bin, a.id AS a, b.id AS b, b.o - a.o AS gap, GREATEST(a.lo, b.lo) AS lo, LEAST(a.hi, b.hi) AS hi FROM s a JOIN s b ON a.panel = b.panel AND a.angle_bin = b.angle_bin AND b.o - a.o BETWEEN 5 AND 34 WHERE LEAST(a.hi, b.hi) - GREATEST(a.lo, b.lo) >= 30) """
+_UPRIGHTS = "WITH up AS (SELECT p_brand AS panel, CAST(p_partkey * 61 % 1500 AS DOUBLE) AS x, CASE WHEN p_size % 2 = 0 THEN 30.0::DOUBLE ELSE 130.0::DOUBLE END AS z, CAST(p_size % 3 * 4 + 8 AS INT) AS dia, CAST(p_partkey * 7 % 900 AS DOUBLE) AS lo, CAST(p_partkey * 7 % 900 + 400 + p_size * 30 AS DOUBLE) AS hi FROM part)"
 ORACLES = {
     "view_members": _MEMBERS + "SELECT * FROM members",
     "largest_views": _MEMBERS + "SELECT panel, view, x0, y0, x1, y1 FROM (SELECT *, row_number() OVER (PARTITION BY panel ORDER BY (x1 - x0) * (y1 - y0) DESC, view) AS rn FROM views) WHERE rn = 1",
@@ -462,6 +518,43 @@ ORACLES = {
         SELECT id AS text_id, dia, CAST(i AS INT) AS bar_no, ROUND(lo + i * step, 6) AS pos FROM (SELECT *, unnest(range(0, n)) AS i FROM n WHERE n > 0)""",
     "predicted_counts": "SELECT p_name AS text, COUNT(*) AS instances, CAST(MAX(floor(p_size * 100.0::DOUBLE / (length(p_name) * 10.0::DOUBLE)) + 1) AS BIGINT) AS per_run, CAST(COUNT(*) * MAX(floor(p_size * 100.0::DOUBLE / (length(p_name) * 10.0::DOUBLE)) + 1) AS BIGINT) AS count FROM part GROUP BY 1",
     "section_roles": "WITH p AS (SELECT p_partkey, abs(p_size * 20 - 500) AS a, abs(p_size * 20 - h) AS b, h FROM (SELECT *, p_partkey % 10 * 100 + 300 AS h FROM part)) SELECT p_partkey, CASE WHEN a <= 0.08::DOUBLE * 500 AND (b > 0.08::DOUBLE * h OR a <= b) THEN 'horizontal' WHEN b <= 0.08::DOUBLE * h THEN 'vertical' END AS role FROM p",
+    "classified_sections": """WITH t AS (SELECT p_brand AS panel, p_partkey AS view, CASE WHEN length(p_brand) = 7 THEN 480 + p_size % 9 * 30 WHEN p_partkey % 9 = 0 THEN 290 ELSE 80 + p_size % 50 END AS t, CASE p_partkey % 4 WHEN 0 THEN 1000 - p_size WHEN 1 THEN 1500 + p_size * 3 WHEN 2 THEN 700 + p_partkey % 40 ELSE 1000 + p_partkey % 60 END AS l,
+            p_size % 2 = 0 AS flat, CAST(p_partkey * 37 % 900 - 100 AS DOUBLE) AS x0, CAST(p_partkey * 53 % 1500 - 100 AS DOUBLE) AS y0 FROM part),
+        b AS (SELECT panel, view, x0, y0, x0 + CASE WHEN flat THEN l ELSE t END AS x1, y0 + CASE WHEN flat THEN t ELSE l END AS y1 FROM t), r AS (SELECT *, LEAST(x1 - x0, y1 - y0) AS thickness, GREATEST(x1 - x0, y1 - y0) AS l, x1 - x0 >= y1 - y0 AS ax FROM b),
+        u AS (SELECT panel, quantile_cont(thickness, 0.5) AS usual FROM r WHERE thickness <= 500 GROUP BY 1), m AS (SELECT panel, quantile_cont(thickness, 0.5) AS middle FROM r GROUP BY 1),
+        s AS (SELECT panel, quantile_cont(thickness, 0.5) AS shared FROM r JOIN m USING (panel) WHERE abs(thickness - middle) <= 0.2::DOUBLE * middle GROUP BY 1 HAVING COUNT(*) >= 2),
+        k AS (SELECT r.*, COALESCE(usual, shared) AS c, abs(l - 1000) < 80 AS across, abs(l - 1600) < 128 AS up FROM r LEFT JOIN u USING (panel) LEFT JOIN s USING (panel) WHERE thickness <= 500 OR usual IS NULL AND shared IS NOT NULL),
+        o AS (SELECT *, CASE WHEN across THEN 'horizontal' WHEN up THEN 'vertical' WHEN NOT ax AND y0 >= -50 AND y1 <= 1650 THEN 'vertical' WHEN ax AND x0 >= -50 AND x1 <= 1050 THEN 'horizontal' END AS role FROM k WHERE c IS NULL OR abs(thickness - c) <= 0.3::DOUBLE * c)
+        SELECT panel, view, role, thickness, ax AS is_along_x, CASE WHEN across OR up THEN CASE WHEN ax THEN x0 ELSE y0 END ELSE 0.0::DOUBLE END AS origin FROM o WHERE role IS NOT NULL""",
+    "tie_rows": _UPRIGHTS.replace("WITH", "WITH RECURSIVE", 1) + """, said AS (SELECT p_brand AS panel, CAST(p_size % 2 * 4 + 6 AS INT) AS d, CAST(p_partkey % 2 * 50 + 100 AS INT) AS p, COUNT(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2, 3),
+        best AS (SELECT panel, d, p, n FROM (SELECT *, row_number() OVER (PARTITION BY panel ORDER BY n DESC, d, p) AS rn FROM said) WHERE rn = 1), main AS (SELECT u.panel, x, lo, hi FROM up u JOIN best USING (panel) WHERE dia >= 12 AND dia > d),
+        g AS (SELECT *, CASE WHEN lo <= MAX(hi) OVER (PARTITION BY panel, x ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM main), i AS (SELECT *, SUM(new) OVER (PARTITION BY panel, x ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS isle FROM g),
+        spans AS (SELECT panel, x, MIN(lo) AS lo, MAX(hi) AS hi FROM i GROUP BY panel, x, isle), xs AS (SELECT panel, x, LEAD(x) OVER (PARTITION BY panel ORDER BY x) AS x2 FROM (SELECT DISTINCT panel, x FROM spans)),
+        runs AS (SELECT xs.panel, xs.x, x2, GREATEST(a.lo, b.lo) AS lo, LEAST(a.hi, b.hi) AS hi, d, p, n FROM xs JOIN spans a ON a.panel = xs.panel AND a.x = xs.x JOIN spans b ON b.panel = xs.panel AND b.x = x2 JOIN best ON best.panel = xs.panel WHERE x2 - xs.x <= 60 AND LEAST(a.hi, b.hi) - GREATEST(a.lo, b.lo) > 2 * p),
+        pairs AS (SELECT panel, x, x2, n, row_number() OVER (PARTITION BY panel ORDER BY SUM(hi - lo) DESC, x) AS i FROM runs GROUP BY 1, 2, 3, 4),
+        f AS (SELECT DISTINCT panel, CAST(0 AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS x2, FALSE AS ok, CAST([] AS DOUBLE[]) AS used FROM pairs
+        UNION ALL SELECT panel, i, x, x2, ok, CASE WHEN ok THEN list_concat(used, [x, x2]) ELSE used END FROM (SELECT f.panel, s.i, s.x, s.x2, f.used, len(f.used) < 2 * s.n AND NOT list_contains(f.used, s.x) AND NOT list_contains(f.used, s.x2) AS ok FROM f JOIN pairs s ON s.panel = f.panel AND s.i = f.i + 1)),
+        held AS (SELECT r.panel, r.x, r.x2, d, p, GREATEST(lo, 30) AS lo, LEAST(hi, 2570) AS hi FROM runs r JOIN f ON f.panel = r.panel AND f.x = r.x AND f.x2 = r.x2 AND ok)
+        SELECT panel, x - 30 AS x_lo, x2 + 30 AS x_hi, lo + unnest(range(0, CAST(GREATEST(floor((hi - lo) / p) + 1, 1) AS BIGINT))) * p AS y, d AS dia FROM held""",
+    "hairpin_rows": _UPRIGHTS + """, best AS (SELECT panel, d FROM (SELECT *, row_number() OVER (PARTITION BY panel ORDER BY n DESC, d) AS rn FROM (SELECT p_brand AS panel, p_size % 2 * 4 + 8 AS d, COUNT(*) AS n FROM part GROUP BY 1, 2)) WHERE rn = 1),
+        own AS (SELECT u.panel, x % 40 * 30 AS x, z, lo, hi, dia FROM up u JOIN best USING (panel) WHERE dia = d), g AS (SELECT *, CASE WHEN lo <= MAX(hi) OVER (PARTITION BY panel, x, z ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 5 THEN 0 ELSE 1 END AS new FROM own),
+        i AS (SELECT *, SUM(new) OVER (PARTITION BY panel, x, z ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS isle FROM g), spans AS (SELECT panel, x, z, MIN(lo) AS lo, MAX(hi) AS hi FROM i GROUP BY panel, x, z, isle),
+        runs AS (SELECT a.panel, a.x, GREATEST(a.lo, b.lo) AS lo, LEAST(a.hi, b.hi) AS hi FROM spans a JOIN spans b ON a.panel = b.panel AND a.x = b.x AND a.z = 30 AND b.z = 130 WHERE LEAST(a.hi, b.hi) > GREATEST(a.lo, b.lo)),
+        ends AS (SELECT panel, x, lo AS e, 1 AS turn FROM runs UNION ALL SELECT panel, x, hi, -1 FROM runs), y AS (SELECT *, LEAST(GREATEST(e, 30), 2570) AS y FROM ends WHERE e BETWEEN 0 AND 2600), d AS (SELECT panel, MAX(dia) AS dia FROM own GROUP BY 1),
+        u AS (SELECT p_brand AS panel, p_partkey * 61 % 1500 AS ux, p_partkey * 7 % 2600 AS uy FROM part WHERE p_partkey % 11 = 0)
+        SELECT y.panel, x, y, turn, dia FROM y JOIN d USING (panel) WHERE y + 400 * turn BETWEEN 0 AND 2600 AND NOT EXISTS (SELECT 1 FROM u WHERE u.panel = y.panel AND abs(x - ux) < 120 AND abs(e - uy) < 200)""",
+    "hooks_in_rows": """WITH best AS (SELECT panel, d, p FROM (SELECT *, row_number() OVER (PARTITION BY panel ORDER BY n DESC, d, p) AS rn FROM (SELECT p_brand AS panel, CAST(p_size % 2 * 4 + 8 AS INT) AS d, p_partkey % 2 * 50 + 100 AS p, COUNT(*) AS n FROM part GROUP BY 1, 2, 3)) WHERE rn = 1),
+        unit AS (SELECT p_brand AS panel, AVG(p_size * 10.0::DOUBLE) AS length FROM part JOIN best ON panel = p_brand WHERE p_size % 3 * 4 + 8 = d AND length(p_brand) > 7 GROUP BY 1),
+        i AS (SELECT p_brand AS panel, CASE WHEN p_size % 2 = 0 THEN 'v' ELSE 'h' END AS axis, CAST(p_partkey % 3 AS DOUBLE) AS coord, p_partkey * 7 % 130 * 50.0::DOUBLE AS pos, d, p, length FROM part JOIN best ON best.panel = p_brand JOIN unit ON unit.panel = p_brand),
+        g AS (SELECT *, pos - LAG(pos) OVER (PARTITION BY panel, axis, coord ORDER BY pos) AS gap FROM i), n AS (SELECT *, CASE WHEN gap <= 1.4::DOUBLE * p THEN 0 ELSE 1 END AS new FROM g), r AS (SELECT *, SUM(new) OVER (PARTITION BY panel, axis, coord ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM n),
+        s AS (SELECT panel, axis, coord, run, d, p, length, MIN(pos) AS lo, MAX(pos) AS hi, COUNT(*) AS n, quantile_cont(gap, 0.5) FILTER (WHERE new = 0) AS step FROM r GROUP BY ALL),
+        e AS (SELECT *, unnest(range(0, CAST(round_even((hi - lo) / p, 0) AS BIGINT) + 1)) AS k FROM s WHERE n >= 3 AND abs(step - p) <= 0.3::DOUBLE * p)
+        SELECT panel, axis, coord, lo + k * p AS pos, ROUND(length, 6) AS length, d AS dia FROM e WHERE lo + k * p <= hi + 1""",
+    "dashed_diagonals": """WITH d AS (SELECT p_brand AS panel, CAST(p_partkey % 3 AS INT) AS angle_bin, CAST(p_partkey * 19 % 3000 AS DOUBLE) AS o, CAST(p_partkey * 11 % 5000 AS DOUBLE) AS lo, CAST(p_partkey * 11 % 5000 + 150 + p_size * 4 AS DOUBLE) AS hi FROM part),
+        a AS (SELECT *, CASE WHEN o - LAG(o) OVER (PARTITION BY panel, angle_bin ORDER BY o) <= 40 THEN 0 ELSE 1 END AS new FROM d), b AS (SELECT panel, angle_bin, o, lo, hi, SUM(new) OVER (PARTITION BY panel, angle_bin ORDER BY o ROWS UNBOUNDED PRECEDING) AS rail FROM a),
+        m AS (SELECT panel, angle_bin, rail, AVG(o) AS o FROM b GROUP BY 1, 2, 3), g AS (SELECT *, CASE WHEN lo <= MAX(hi) OVER (PARTITION BY panel, angle_bin, rail ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 60 THEN 0 ELSE 1 END AS n2 FROM b),
+        i AS (SELECT *, SUM(n2) OVER (PARTITION BY panel, angle_bin, rail ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS isle FROM g), l AS (SELECT panel, angle_bin, rail, MIN(lo) AS lo, MAX(hi) AS hi FROM i GROUP BY panel, angle_bin, rail, isle HAVING MAX(hi) - MIN(lo) >= 300)
+        SELECT panel, angle_bin, ROUND(o, 6) AS "offset", lo, hi FROM l JOIN m USING (panel, angle_bin, rail)""",
     "folded_places": "SELECT p_partkey, CASE WHEN a > size THEN 2 * size - a ELSE a END AS place FROM (SELECT p_partkey, size, ((v % (2 * size)) + 2 * size) % (2 * size) AS a FROM (SELECT p_partkey, CAST(p_partkey * 7 - 900 AS DOUBLE) AS v, p_size + 10.0::DOUBLE AS size FROM part))",
     "insert_families": """WITH f AS (SELECT p_name AS family, COUNT(*) AS copies, CAST(MIN(p_partkey * 7 % 900) AS DOUBLE) AS x0, CAST(MAX(p_partkey * 7 % 900) AS DOUBLE) AS x1, MIN(p_size * 9) AS y0, MAX(p_size * 9) AS y1, MIN(p_partkey) AS first_id FROM part GROUP BY 1)
         SELECT family, copies, CASE WHEN copies > 1 THEN ROUND(GREATEST(x1 - x0, y1 - y0) / (copies - 1), 6) END AS avg_spacing, x0, x1, first_id FROM f""",
