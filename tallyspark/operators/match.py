@@ -67,10 +67,14 @@ def nearest_within(queries: DataFrame, gallery: DataFrame, query_id: str, galler
 
 def first_box(points: DataFrame, boxes: DataFrame, point_id: str, x: str, y: str, margin: float = 0.0) -> DataFrame:
     """(point_id, box_idx): the first box (box_idx, bx0, by0, bx1, by1) that holds the point when
-    grown by ``margin``; -1 if none does. A drawing has few boxes and they are broadcast only when
-    Spark finds them small."""
-    inside = F.col(x).between(F.col("bx0") - margin, F.col("bx1") + margin) & F.col(y).between(F.col("by0") - margin, F.col("by1") + margin)
-    return points.join(boxes, inside, "left").groupBy(point_id).agg(F.coalesce(F.min("box_idx"), F.lit(-1)).alias("box_idx"))
+    grown by ``margin``; -1 if none does. Points meet boxes in cells as large as boxes are on average."""
+    grown = boxes.select("box_idx", *((F.col(c) - margin).alias(c) for c in ("bx0", "by0")), *((F.col(c) + margin).alias(c) for c in ("bx1", "by1"))).where("bx0 <= bx1 and by0 <= by1")
+    size = grown.agg(F.avg(F.col("bx1") - F.col("bx0")), F.avg(F.col("by1") - F.col("by0"))).first()
+    wide, high = (float(v) if v else 1.0 for v in size)
+    cells = grown.withColumn("__cx", F.explode(F.sequence(F.floor(F.col("bx0") / wide), F.floor(F.col("bx1") / wide)))).withColumn("__cy", F.explode(F.sequence(F.floor(F.col("by0") / high), F.floor(F.col("by1") / high))))
+    placed = points.withColumns({"__px": F.floor(F.col(x) / wide), "__py": F.floor(F.col(y) / high)})
+    inside = (F.col("__px") == F.col("__cx")) & (F.col("__py") == F.col("__cy")) & F.col(x).between(F.col("bx0"), F.col("bx1")) & F.col(y).between(F.col("by0"), F.col("by1"))
+    return placed.join(cells, inside, "left").groupBy(point_id).agg(F.coalesce(F.min("box_idx"), F.lit(-1)).alias("box_idx"))
 
 
 def nearest_column(x: Column, columns: Column, cutoff: float | None = None) -> Column:
