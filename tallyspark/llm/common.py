@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +28,24 @@ def fold(id_column: str, parts: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % parts
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def settings_kept(spark: SparkSession) -> Iterator[None]:
+    """Give back the session's batch size afterwards; what was made inside must have been written by then."""
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """Bound the Arrow batches that Python workers get, so that long texts do not fill their memory."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if int(conf.get(BATCH_ROWS)) > rows:
+        conf.set(BATCH_ROWS, str(rows))
     return df
 
 

@@ -1,12 +1,28 @@
-"""Registered queries of this package: each applies one operator to its whole table."""
+"""Registered queries of this package: each applies one operator to its whole table.
+
+Operators that run Python ask the session for smaller batches; their queries write the result and
+leave the session as they found it.
+"""
 
 from __future__ import annotations
 
+import functools
+
 import corpus_pipeline
 from tallyspark.llm import bpe, embeddings, langid, media, oracles, packing, paragraphs, secrets, simhash, toxicity, warc
-from tallyspark.llm.common import table
+from tallyspark.llm.common import materialize, settings_kept, table
+
+
+def written(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        with settings_kept(spark):
+            return materialize(query(spark, sf_dir), query.__name__)
+
+    return run
 
 
+@written
 def op1_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -19,36 +35,44 @@ def op3_secret_scan(spark, sf_dir):
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+@written
 def op4_bpe_round_trip(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+@written
 def op5_language_id(spark, sf_dir):
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
 
+@written
 def op6_media_tiff(spark, sf_dir):
     return media.store_documents(table(spark, sf_dir, "documents"))
 
 
+@written
 def op7_mixture_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@written
 def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+@written
 def op9_substring_dedup(spark, sf_dir):
     return paragraphs.dedup_documents(table(spark, sf_dir, "documents"))
 
 
+@written
 def op10_embedding_near_dedup(spark, sf_dir):
     return embeddings.cosine_components(table(spark, sf_dir, "embeddings"))
 
 
 def pipeline(spark, sf_dir):
-    return corpus_pipeline.run(spark, sf_dir)
+    with settings_kept(spark):
+        return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries():

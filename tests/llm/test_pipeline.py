@@ -70,6 +70,17 @@ def test_run_ends_in_the_last_stage(spark, sf_dir):
     assert out.columns == [c.split()[0] for c in packing.PIECES.split(", ")] and out.count() > 0
 
 
+def test_queries_leave_the_session_as_it_was(spark, sf_dir):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4321")
+    try:
+        for query in ("op6_media_tiff", "op10_embedding_near_dedup"):
+            assert queries.queries()[query](spark, sf_dir).count() > 0 and spark.conf.get(name) == "4321"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11)) and len(names) == 10
