@@ -89,9 +89,85 @@ components AS (SELECT a AS doc_id, MIN(b) AS component_id FROM docreach GROUP BY
 SELECT d.doc_id, COALESCE(n_removed, 0) AS n_removed, COALESCE(removed_chars, 0) AS removed_chars, COALESCE(removed, '') AS removed, component_id
 FROM documents d LEFT JOIN facts f ON d.doc_id = f.doc_id JOIN components c ON c.doc_id = d.doc_id"""
 
+
+def _mul(a: str, b: str | int) -> str:
+    return f"(({a}) * {b}::UHUGEINT % {_WHOLE})"
+
+
+def _add(*terms: str | int) -> str:
+    return f"(({' + '.join(f'({t})::UHUGEINT' for t in terms)}) % {_WHOLE})"
+
+
+def _rotl(x: str, by: int) -> str:
+    return f"(({x}) * {1 << by}::UHUGEINT % {_WHOLE} + ({x}) // {1 << (64 - by)}::UHUGEINT)"
+
+
+def _xor(a: str, b: str) -> str:
+    return f"xor(({a})::UBIGINT, ({b})::UBIGINT)::UHUGEINT"
+
+
+def _little(at: str, size: int) -> str:
+    """The number that ``size`` bytes from byte ``at`` (from 0) of the hex string x make, least byte first."""
+    return "('0x' || " + " || ".join(f"substr(x, CAST(2 * ({at} + {i}) AS INT) + 1, 2)" for i in reversed(range(size))) + ")::UBIGINT::UHUGEINT"
+
+
+def _round(acc: str, value: str) -> str:
+    return _mul(_rotl(_add(acc, _mul(value, _P[1])), 31), _P[0])
+
+
+def _xxh64(seed: int) -> list[str]:
+    """CTEs from ``s0`` (s, x, n: a string, the hex of its bytes and their number) to ``hashed`` (s, h), its XXH64. Each
+    step keeps one number, so that no expression repeats a long one."""
+    start = [(seed + _P[0] + _P[1]) % (1 << 64), (seed + _P[1]) % (1 << 64), seed, (seed - _P[0]) % (1 << 64)]
+    stripes = "list_transform(range(0, n // 32), lambda i: [" + ", ".join(_little(f"32 * i + {8 * k}", 8) for k in range(4)) + "])"
+    lanes = f"list_reduce(list_prepend([{', '.join(f'{v}::UHUGEINT' for v in start)}], {stripes}), lambda a, w: [{', '.join(_round(f'a[{k}]', f'w[{k}]') for k in range(1, 5))}])"
+    out = [f"s1 AS (SELECT s, x, n, CASE WHEN n >= 32 THEN {lanes} END AS v FROM s0)"]
+    out.append(f"s2 AS (SELECT *, CASE WHEN v IS NULL THEN {(seed + _P[4]) % (1 << 64)}::UHUGEINT ELSE {_add(*(_rotl(f'v[{k + 1}]', r) for k, r in enumerate((1, 7, 12, 18))))} END AS h FROM s1)")
+    step = 2
+
+    def then(value: str, when: str | None = None) -> None:
+        nonlocal step
+        value = f"CASE WHEN {when} THEN {value} ELSE h END" if when else value
+        out.append(f"s{step + 1} AS (SELECT s, x, n, v, {value} AS h FROM s{step})")
+        step += 1
+
+    for k in range(1, 5):
+        then(_xor("h", _round("0", f"v[{k}]")), "v IS NOT NULL")
+        then(_add(_mul("h", _P[0]), _P[3]), "v IS NOT NULL")
+    then(_add("h", "n"))
+    for k in range(3):
+        then(_xor("h", _round("0", _little(f"(n - n % 32 + {8 * k})", 8))), f"n % 32 >= {8 * k + 8}")
+        then(_add(_mul(_rotl("h", 27), _P[0]), _P[3]), f"n % 32 >= {8 * k + 8}")
+    then(_xor("h", _mul(_little("(n - n % 8)", 4), _P[0])), "n % 8 >= 4")
+    then(_add(_mul(_rotl("h", 23), _P[1]), _P[2]), "n % 8 >= 4")
+    for k in range(3):
+        then(_xor("h", _mul(_little(f"(n - n % 4 + {k})", 1), _P[4])), f"n % 4 > {k}")
+        then(_mul(_rotl("h", 11), _P[0]), f"n % 4 > {k}")
+    for shift, factor in ((33, _P[1]), (29, _P[2]), (32, 1)):
+        then(_mul(_xor("h", f"h // {1 << shift}::UHUGEINT"), factor))
+    return [*out, f"hashed AS (SELECT s, h::UBIGINT AS h FROM s{step})"]
+
+
+# Fixed values of XXH64, and 2 to the 64.
+_P = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+_WHOLE = "18446744073709551616::UHUGEINT"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SIMHASH = rf"""WITH RECURSIVE worded AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(COALESCE(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x09-\x0d\x20]+'), lambda w: w <> '') AS w FROM documents),
+pieces AS (SELECT rid, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM worded),
+s0 AS (SELECT s, hex(encode(s)) AS x, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM pieces)),
+{", ".join(_xxh64(42))},
+votes AS (SELECT rid, COUNT(*) AS n, {", ".join(f"SUM((h >> {b}) & 1) AS b{b}" for b in range(64))} FROM pieces JOIN hashed USING (s) GROUP BY rid),
+prints AS (SELECT w.rid, doc_id, COALESCE({" + ".join(f"CASE WHEN 2 * b{b} > n THEN {1 << b}::UBIGINT ELSE 0 END" for b in range(64))}, 0)::UBIGINT AS fp FROM worded w LEFT JOIN votes v ON w.rid = v.rid),
+kinds AS (SELECT fp, MIN(doc_id) AS least FROM prints GROUP BY fp),
+near AS (SELECT a.fp AS a, b.fp AS b FROM kinds a JOIN kinds b ON bit_count(xor(a.fp, b.fp)::BIT) <= 2),
+reach AS (SELECT fp AS a, fp AS b FROM kinds UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+named AS (SELECT a AS fp, MIN(least) AS component_id FROM reach JOIN kinds ON b = fp GROUP BY a)
+SELECT doc_id, lpad(lower(hex(fp)), 16, '0') AS fingerprint, component_id FROM prints JOIN named USING (fp)"""
+
 ORACLES = {
     "op2_warc_archive": WARC,
     "op3_secret_scan": SECRETS,
+    "op8_simhash_near_dedup": SIMHASH,
     "op9_substring_dedup": SUBSTRINGS,
     "op10_embedding_near_dedup": EMBEDDINGS,
 }
