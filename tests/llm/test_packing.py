@@ -143,3 +143,18 @@ def test_many_sources_keep_their_proportions(spark, monkeypatch):
     for w in windows.values():
         whole = sum(w.values())
         assert abs(w["a"] / whole - 240 * 1001 / total) < 0.01 and abs(w["b"] / whole - 160 * 1001 / total) < 0.01
+
+
+def test_pools_stay_small(spark, monkeypatch):
+    # at any size a pool gathers about POOL_TOKENS tokens, and a shard its bytes
+    monkeypatch.setattr(packing, "SHARD_BYTES", 40_000)
+    monkeypatch.setattr(packing, "POOL_TOKENS", 15_000)
+    sizes = {}
+    for n in (600, 2400):
+        docs = spark.createDataFrame([(i, "word " * (20 + i * 37 % 500), f"s{i * i % 11}") for i in range(n)], "doc_id long, text string, source string").repartition(4)
+        held = {}
+        for r in packing.pack(docs).collect():
+            held[r.sequence_id >> 32] = held.get(r.sequence_id >> 32, 0) + r.length
+        pools = [v for k, v in held.items() if k >= 1 << 30]
+        sizes[n] = (len(pools), max(pools))
+    assert sizes[2400][0] > 2 * sizes[600][0] > 4 and max(v for _, v in sizes.values()) < 3 * 15_000
