@@ -256,7 +256,7 @@ def hairpin_rows(spark, sf_dir):
     label = F.concat(F.lit("T"), (size() % 2 * 4 + 8).cast("string"), F.lit(" UBAR @ 100mm"))
     said = parts(spark, sf_dir, c=T.bar_pitch(label)).select("panel", "c.dia", "c.pitch")
     bars = _uprights(spark, sf_dir).withColumn("x", F.col("x") % 40 * 30)
-    folded = parts(spark, sf_dir, ux=(key() * 61 % 1500).cast("double"), uy=(key() * 7 % 2600).cast("double")).where(F.col("id") % 11 == 0).drop("id")
+    folded = parts(spark, sf_dir, ux=(key() * 61 % 1500).cast("double"), uy=(key() * 7 % 2600).cast("double"), kind=F.col("p_type")).where("kind = 'PROMO'").drop("id", "kind")
     return Z.edge_hairpins(bars, said, folded, _panel_heights(spark, sf_dir))
 
 
@@ -541,7 +541,7 @@ ORACLES = {
         i AS (SELECT *, SUM(new) OVER (PARTITION BY panel, x, z ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS isle FROM g), spans AS (SELECT panel, x, z, MIN(lo) AS lo, MAX(hi) AS hi FROM i GROUP BY panel, x, z, isle),
         runs AS (SELECT a.panel, a.x, GREATEST(a.lo, b.lo) AS lo, LEAST(a.hi, b.hi) AS hi FROM spans a JOIN spans b ON a.panel = b.panel AND a.x = b.x AND a.z = 30 AND b.z = 130 WHERE LEAST(a.hi, b.hi) > GREATEST(a.lo, b.lo)),
         ends AS (SELECT panel, x, lo AS e, 1 AS turn FROM runs UNION ALL SELECT panel, x, hi, -1 FROM runs), y AS (SELECT *, LEAST(GREATEST(e, 30), 2570) AS y FROM ends WHERE e BETWEEN 0 AND 2600), d AS (SELECT panel, MAX(dia) AS dia FROM own GROUP BY 1),
-        u AS (SELECT p_brand AS panel, p_partkey * 61 % 1500 AS ux, p_partkey * 7 % 2600 AS uy FROM part WHERE p_partkey % 11 = 0)
+        u AS (SELECT p_brand AS panel, p_partkey * 61 % 1500 AS ux, p_partkey * 7 % 2600 AS uy FROM part WHERE p_type = 'PROMO')
         SELECT y.panel, x, y, turn, dia FROM y JOIN d USING (panel) WHERE y + 400 * turn BETWEEN 0 AND 2600 AND NOT EXISTS (SELECT 1 FROM u WHERE u.panel = y.panel AND abs(x - ux) < 120 AND abs(e - uy) < 200)""",
     "hooks_in_rows": """WITH best AS (SELECT panel, d, p FROM (SELECT *, row_number() OVER (PARTITION BY panel ORDER BY n DESC, d, p) AS rn FROM (SELECT p_brand AS panel, CAST(p_size % 2 * 4 + 8 AS INT) AS d, p_partkey % 2 * 50 + 100 AS p, COUNT(*) AS n FROM part GROUP BY 1, 2, 3)) WHERE rn = 1),
         unit AS (SELECT p_brand AS panel, AVG(p_size * 10.0::DOUBLE) AS length FROM part JOIN best ON panel = p_brand WHERE p_size % 3 * 4 + 8 = d AND length(p_brand) > 7 GROUP BY 1),

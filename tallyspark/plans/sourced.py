@@ -218,19 +218,20 @@ def cached_totals(spark, sf_dir):
 
 def sheets_apart(spark, sf_dir):
     """Rows written to one sheet a title, whose names are made unique, and counted from the files."""
-    titles = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_name", 1, 3).alias("base"), "p_size").where("p_size <= 12")
+    titles = table(spark, sf_dir, "part").select(F.substring("p_name", 1, 3).alias("base"), "p_type")
     folder = scratch(spark, "sheets")
-    S.write_sheets(S.unique_titles(titles.groupBy("base", "p_size").agg(F.count(F.lit(1)).alias("rows")), "base", "p_size"), folder)
-    return spark.read.option("header", True).csv(folder).select(F.col("sheet").cast("string").alias("sheet"), F.col("p_size").cast("int").alias("size"), F.col("rows").cast("long").alias("n"))
+    S.write_sheets(S.unique_titles(titles.groupBy("base", "p_type").agg(F.count(F.lit(1)).alias("rows")), "base", "p_type"), folder)
+    return spark.read.option("header", True).csv(folder).select(F.col("sheet").cast("string").alias("sheet"), "p_type", F.col("rows").cast("long").alias("n"))
 
 
 def models_listed(spark, sf_dir):
     """JSON files that hold all required keys, among files that lack some or are no objects."""
-    full = F.when(F.col("k") % 4 == 0, "[1]").when(F.col("k") % 4 == 1, '{"name": 1, "bars": []}').otherwise('{"stats": {}, "bars": [], "name": "x", "more": 0}')
+    kind = F.col("p_size") % 4
+    full = F.when(kind == 0, "[1]").when(kind == 1, '{"name": 1, "bars": []}').otherwise('{"stats": {}, "bars": [], "name": "x", "more": 0}')
     folder = scratch(spark, "models")
-    files = part(spark, sf_dir).where("k < 40").select("k", full.alias("value"))
-    files.repartition("k").write.partitionBy("k").text(folder)
-    return S.models_with_keys(spark, folder, REQUIRED).select(F.regexp_extract("path", "/k=([0-9]+)/", 1).cast("long").alias("k"))
+    files = table(spark, sf_dir, "part").select("p_size", full.alias("value")).distinct()
+    files.repartition("p_size").write.partitionBy("p_size").text(folder)
+    return S.models_with_keys(spark, folder, REQUIRED).select(F.regexp_extract("path", "/p_size=([0-9]+)/", 1).cast("int").alias("size"))
 
 
 def ranked_sources(spark, sf_dir):
@@ -247,7 +248,8 @@ def sheet_set_rows(spark, sf_dir):
 
 def located_documents(spark, sf_dir):
     rows = part(spark, sf_dir)
-    files = rows.where("k % 3 > 0").select(F.concat(F.lit("/docs/"), F.col("path"), F.when(F.col("k") % 2 == 0, " .pdf").otherwise(".pdf")).alias("path"))
+    ending = F.when(F.col("k") % 3 == 0, ".dwg").when(F.col("k") % 2 == 0, " .pdf").otherwise(".pdf")
+    files = rows.select(F.concat(F.lit("/docs/"), F.col("path"), ending).alias("path"))
     return S.locate_documents(rows.select(F.col("path").alias("panel")), files)
 
 
@@ -299,8 +301,8 @@ ORACLES = {
     "registry_file": "SELECT CAST(c_custkey AS VARCHAR) AS employee_id, CASE WHEN c_acctbal > 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR) END AS name, NOT c_acctbal > 0 AS auto_registered FROM customer",
     "sheet_file": "SELECT 'E' || o_custkey AS employee_id, o_orderpriority AS name, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 5 > 0 THEN format('{:02d}:00:00', o_orderkey % 24) END AS in_time, CASE WHEN o_orderkey % 3 > 0 THEN format('{:02d}:00:00', o_orderkey % 24) END AS out_time, 'sheet' AS source FROM orders WHERE o_orderkey % 11 > 0",
     "cached_totals": "SELECT o_orderpriority, COUNT(*) AS n, a AS asked_at FROM orders, (VALUES (0, 'F'), (29, 'F'), (30, 'O'), (90, 'O')) t(a, s) WHERE o_orderstatus = s GROUP BY 1, 3",
-    "sheets_apart": "WITH g AS (SELECT substr(p_name, 1, 3) AS base, p_size AS size, COUNT(*) AS n FROM part WHERE p_size <= 12 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY size) AS i FROM g) SELECT CASE WHEN i = 1 THEN base ELSE base || '_' || i END AS sheet, size, n FROM r",
-    "models_listed": "SELECT p_partkey AS k FROM part WHERE p_partkey < 40 AND p_partkey % 4 > 1",
+    "sheets_apart": "WITH g AS (SELECT substr(p_name, 1, 3) AS base, p_type, COUNT(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_type) AS i FROM g) SELECT CASE WHEN i = 1 THEN base ELSE base || '_' || i END AS sheet, p_type, n FROM r",
+    "models_listed": "SELECT DISTINCT p_size AS size FROM part WHERE p_size % 4 > 1",
     "ranked_sources": "SELECT 'P' || k AS path, CAST(row_number() OVER (ORDER BY CASE WHEN k % 3 = 0 AND k % 2 > 0 THEN 0 ELSE 1 END, abs(k * 7 % 1000 - 500), k % 2, 'P' || k) AS INT) AS rank FROM (SELECT p_partkey AS k FROM part) WHERE k % 3 < 2",
     "sheet_set_rows": "SELECT 'P' || p_partkey AS panel, CASE WHEN p_partkey % 3 = 1 THEN p_size END AS revision FROM part WHERE p_partkey % 3 < 2",
     "located_documents": "SELECT 'P' || p_partkey AS panel, CASE WHEN p_partkey % 3 > 0 THEN '/docs/P' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN ' .pdf' ELSE '.pdf' END END AS path FROM part",
