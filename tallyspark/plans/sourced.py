@@ -200,6 +200,15 @@ def sheet_file(spark, sf_dir):
     return back.select("employee_id", "name", F.col("date").cast("string").alias("date"), "in_time", "out_time", "source")
 
 
+PEOPLE = ("Ada", "Ben", "Cho", "Dee", "Eli")
+
+
+def generated_attendance(spark, sf_dir):
+    """The seeded sheet that stands in where none is configured."""
+    out = S.with_fallback(None, lambda: S.generate_attendance(spark, "2024-01-10", PEOPLE, days=60))
+    return out.select("employee_id", "name", F.col("date").cast("string").alias("date"), "in_time", "out_time", "source")
+
+
 def cached_totals(spark, sf_dir):
     """Totals asked for four times: built, read from the cache, built anew when that is too old, and read once
     more when a later build fails."""
@@ -278,7 +287,7 @@ def panels_by_sheet(spark, sf_dir):
     return rows.groupBy("panel", "p_type").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("total")).orderBy("panel", "p_type")
 
 
-QUERIES = {f.__name__: f for f in (pdf_summary_rows, pdf_flowed_rows, pdf_cell_lines, office_rows, layout_items, layout_summaries, layout_block_sizes, revision_cells_dropped, identifier_rows, block_census, drawing_entities, drawing_boxes, panel_documents, printed_reports, registry_file, sheet_file, cached_totals, sheets_apart, models_listed, ranked_sources, sheet_set_rows, located_documents, photo_count_rows, encoding_cache, gate_lines, panels_by_sheet)}
+QUERIES = {f.__name__: f for f in (pdf_summary_rows, pdf_flowed_rows, pdf_cell_lines, office_rows, layout_items, layout_summaries, layout_block_sizes, revision_cells_dropped, identifier_rows, block_census, drawing_entities, drawing_boxes, panel_documents, printed_reports, registry_file, sheet_file, generated_attendance, cached_totals, sheets_apart, models_listed, ranked_sources, sheet_set_rows, located_documents, photo_count_rows, encoding_cache, gate_lines, panels_by_sheet)}
 
 _P = "p AS (SELECT *, p_partkey AS k, p_size AS s, ROUND(p_retailprice, 1) AS price, 'P' || p_partkey AS path, ['A', 'B', 'C', 'D', 'E'][CAST(p_partkey % 5 AS INT) + 1] || p_partkey % 100 AS mark FROM part)"
 _CELLS = "n AS (SELECT p_brand, COUNT(*) AS n, COUNT(*) FILTER (WHERE p_partkey % 6 = 0) AS unmarked, COUNT(DISTINCT p_size) AS sizes FROM part GROUP BY 1)"
@@ -300,6 +309,10 @@ ORACLES = {
         SELECT panel, dia, recon, official, recon - official AS gap, CASE WHEN official = 0 AND recon > 0 THEN 'extra' WHEN official = 0 THEN '-' ELSE CAST(round_even(100 * recon / official, 0) AS BIGINT) || '%' END AS pct FROM t""",
     "registry_file": "SELECT CAST(c_custkey AS VARCHAR) AS employee_id, CASE WHEN c_acctbal > 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR) END AS name, NOT c_acctbal > 0 AS auto_registered FROM customer",
     "sheet_file": "SELECT 'E' || o_custkey AS employee_id, o_orderpriority AS name, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 5 > 0 THEN format('{:02d}:00:00', o_orderkey % 24) END AS in_time, CASE WHEN o_orderkey % 3 > 0 THEN format('{:02d}:00:00', o_orderkey % 24) END AS out_time, 'sheet' AS source FROM orders WHERE o_orderkey % 11 > 0",
+    "generated_attendance": f"""WITH d AS (SELECT format('E{{:03d}}', i) AS id, [{", ".join(f"'{n}'" for n in PEOPLE)}][i] AS name, CAST(DATE '2024-01-10' - CAST(j AS INT) AS DATE) AS day FROM range(1, {len(PEOPLE) + 1}) p(i), range(0, 60) q(j)),
+        r AS (SELECT *, list_transform(range(1, 5), lambda k: CAST('0x' || substr(md5(id || '|' || strftime(day, '%Y-%m-%d') || '|1|' || k), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) AS r FROM d WHERE isodow(day) < 6),
+        t AS (SELECT *, CAST(floor(28800 + r[2] * 3600) AS BIGINT) AS a, CAST(floor(61200 + r[3] * 7200) AS BIGINT) AS b FROM r WHERE r[1] >= 0.12)
+        SELECT id AS employee_id, name, strftime(day, '%Y-%m-%d') AS date, format('{{:02d}}:{{:02d}}:{{:02d}}', a // 3600, a % 3600 // 60, a % 60) AS in_time, CASE WHEN NOT (day = DATE '2024-01-10' AND r[4] < 0.4) THEN format('{{:02d}}:{{:02d}}:{{:02d}}', b // 3600, b % 3600 // 60, b % 60) END AS out_time, 'generated' AS source FROM t""",
     "cached_totals": "SELECT o_orderpriority, COUNT(*) AS n, a AS asked_at FROM orders, (VALUES (0, 'F'), (29, 'F'), (30, 'O'), (90, 'O')) t(a, s) WHERE o_orderstatus = s GROUP BY 1, 3",
     "sheets_apart": "WITH g AS (SELECT substr(p_name, 1, 3) AS base, p_type, COUNT(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_type) AS i FROM g) SELECT CASE WHEN i = 1 THEN base ELSE base || '_' || i END AS sheet, p_type, n FROM r",
     "models_listed": "SELECT DISTINCT p_size AS size FROM part WHERE p_size % 4 > 1",

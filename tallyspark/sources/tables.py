@@ -63,7 +63,8 @@ def generate_attendance(spark: SparkSession, today: str, people: Sequence[str],
     rows = ids.withColumn("date", F.explode(F.sequence(F.date_sub(end, days - 1), end))).where(F.dayofweek("date").between(2, 6))
 
     def roll(k: int):
-        return F.pmod(F.xxhash64("employee_id", "date", F.lit(seed * 10 + k)), F.lit(1_000_000)) / 1_000_000
+        digest = F.md5(F.concat_ws("|", "employee_id", F.col("date").cast("string"), F.lit(seed), F.lit(k)).cast("binary"))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / (1 << 32)
 
     def clock(base: int, spread: int, k: int):
         seconds = F.floor(F.lit(base * 3600) + roll(k) * spread * 3600)
