@@ -6,8 +6,8 @@ a text's words add up; the language with the largest sum wins and a softmax of t
 gives the confidence.
 
 Counts are gathered in the JVM from a bounded sample of labelled rows and reach the executors as
-tables of bounded size: the ``MAX_WORDS`` most frequent words and ``MAX_GRAMS`` most frequent n-grams a
-language and order, with all that tie with the last of them.
+tables of bounded size: about the ``MAX_WORDS`` most frequent words and ``MAX_GRAMS`` most frequent n-grams
+a language and order; of entries that tie with the last, a hash draws as many as there is room for.
 """
 
 from __future__ import annotations
@@ -39,6 +39,25 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * rows / total))
 
 
+class ScoreTable:
+    """A row of scores for each entry, kept as one matrix."""
+
+    def __init__(self, at: dict[str, int], rows: np.ndarray):
+        self.at, self.rows = at, rows
+
+    def __contains__(self, entry: str) -> bool:
+        return entry in self.at
+
+    def __getitem__(self, entry: str) -> np.ndarray:
+        return self.rows[self.at[entry]]
+
+    def __iter__(self):
+        return iter(self.at)
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+
 class LanguageModel:
     """Log frequencies of words and n-grams per language, as plain tables."""
 
@@ -53,19 +72,18 @@ class LanguageModel:
             self.grams[k] = self._table(own["lang"].map(at), own["word"], own["n"], n)
 
     @staticmethod
-    def _table(lang, key, count, n: int) -> dict[str, np.ndarray]:
+    def _table(lang, key, count, n: int) -> ScoreTable:
         names = {w: i for i, w in enumerate(dict.fromkeys(key))}
         counts = np.zeros((len(names), n))
         if len(names):
             np.add.at(counts, (key.map(names).to_numpy(), lang.to_numpy()), count.to_numpy(dtype=float))
         # a count below one for what a language lacks: absence speaks, but less than presence
         logs = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * (len(names) + 1)))
-        return dict(zip(names, logs.astype(np.float32), strict=True))
+        return ScoreTable(names, logs.astype(np.float32))
 
     def score(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
+        if word in self.words:
+            return self.words[word]
         for k in ORDERS:
             table = self.grams[k]
             text = f"^{word}$" if k > 1 else word
@@ -89,16 +107,20 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, id_column: str = "d
     counts = materialize(sample.select("lang", tokens.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "lang-words")
 
     def top(table: DataFrame, by: list[str], most: int) -> pd.DataFrame:
-        """The ``most`` most frequent entries of each group, and all others that tie with the last of them."""
+        """About the ``most`` most frequent entries of each group: of those that tie with the last, a share by hash."""
         sizes = table.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("m")).toPandas().sort_values([*by, "n"], ascending=[True] * len(by) + [False])
-        fits = sizes[sizes.groupby(by)["m"].cumsum() - sizes["m"] < most]
-        least = fits.groupby(by)["n"].min()
-        if least.empty:
+        if sizes.empty:
             return pd.DataFrame(columns=["lang", "word", "n"], dtype=object)
-        keys = [k if isinstance(k, tuple) else (k,) for k in least.index]
-        entries = [x for k, n in zip(keys, least, strict=True) for x in (F.lit("\0".join(map(str, k))), F.lit(int(n)))]
-        cut = F.create_map(*entries)[F.concat_ws("\0", *by)]
-        return table.where(F.col("n") >= cut).select("lang", "word", "n").toPandas()
+        sizes["room"] = most - (sizes.groupby(by)["m"].cumsum() - sizes["m"])
+        last = sizes[sizes["room"] > 0].groupby(by).tail(1)
+        keys = F.concat_ws("\0", *by)
+
+        def of_group(values) -> Column:
+            return F.create_map(*(x for row, v in zip(last[by].astype(str).agg("\0".join, axis=1), values, strict=True) for x in (F.lit(row), F.lit(v))))[keys]
+
+        least, share = of_group(last["n"].astype(int).tolist()), of_group((last["room"] / last["m"]).clip(upper=1.0).tolist())
+        drawn = F.pmod(F.xxhash64("word", F.lit("tie")), F.lit(1_000_000)) < share * 1_000_000
+        return table.where((F.col("n") > least) | ((F.col("n") == least) & drawn)).select("lang", "word", "n").toPandas()
 
     # a word of one document may be a name or a slip; two or more sightings make it known
     words = top(counts.where("n > 1"), ["lang"], MAX_WORDS)
