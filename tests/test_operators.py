@@ -278,6 +278,23 @@ def test_near_duplicates_are_the_loop(spark, seed):
     assert sorted(r.i for r in dedupe.near_duplicates(df, ["k"], "i").collect()) == [r[0] for r in kept]
 
 
+def test_scratch_is_cleared(spark, tmp_path):
+    from pathlib import Path
+
+    from tallyspark import session
+
+    there = lambda df: Path(df._tallyspark_path.removeprefix("file://")).exists()
+    outside = session.materialize(spark.range(3), "outside")
+    with session.scratch_cleared(spark) as keep:
+        gone, kept = session.materialize(spark.range(4), "gone"), keep(session.materialize(spark.range(5), "kept"))
+        assert there(gone)
+    assert not there(gone) and there(outside) and kept.count() == 5
+    with pytest.raises(ValueError), session.scratch_cleared(spark):
+        gone = session.materialize(spark.range(4), "gone")
+        raise ValueError
+    assert not there(gone) and there(kept)
+
+
 def test_shared_folder(spark):
     from types import SimpleNamespace as Fake
 
