@@ -1,7 +1,7 @@
 """Registered queries of this package: each applies one operator to its whole table.
 
-Operators that run Python ask the session for smaller batches; their queries write the result and
-leave the session as they found it.
+Operators that run Python ask the session for smaller batches; their queries write the result, leave
+the session as they found it, and delete the tables made on the way.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ import functools
 import corpus_pipeline
 from tallyspark.llm import bpe, embeddings, langid, media, oracles, packing, paragraphs, secrets, simhash, toxicity, warc
 from tallyspark.llm.common import materialize, settings_kept, table
+from tallyspark.session import scratch_cleared
 
 
 def written(query):
     @functools.wraps(query)
     def run(spark, sf_dir):
-        with settings_kept(spark):
-            return materialize(query(spark, sf_dir), query.__name__)
+        with settings_kept(spark), scratch_cleared(spark) as keep:
+            return keep(materialize(query(spark, sf_dir), query.__name__))
 
     return run
 
