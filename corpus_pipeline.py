@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import packing, paragraphs, secrets, simhash, toxicity
 from tallyspark.llm.common import discard, materialize, table
+from tallyspark.session import scratch_cleared
 
 
 def recounted(docs: DataFrame) -> DataFrame:
@@ -64,7 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other on ``documents``; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        done = materialize(stage(spark, docs, sf_dir), name)
+        with scratch_cleared(spark) as keep:
+            done = keep(materialize(stage(spark, docs, sf_dir), name))
         discard(docs)
         docs = done
     return docs
