@@ -278,21 +278,41 @@ def candidate_words(df: DataFrame, wanted: DataFrame, id_column: str, text_colum
     return small_batches(found, 300).mapInPandas(run, "a long, b long, t long, start int, stop int, line string")
 
 
-def similar_pairs(sets: list[set], threshold: float) -> np.ndarray:
-    """Which of the sets, which must not be empty, are similar: their intersections as one product of matrices
-    over the elements that several of them hold."""
-    held: dict = {}
-    for n, one in enumerate(sets):
-        for x in one:
-            held.setdefault(x, []).append(n)
-    shared = [rows for rows in held.values() if len(rows) > 1]
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The distinct 64-bit hashes of each line's shingles, sorted; lines must have SHINGLE_WORDS words or more."""
+    out = []
+    for a, z in slices([len(x) for x in lines], SLICE_CHARS):
+        words = Words(lines[a:z])
+        hashes = words.hashes(_GOLDEN)
+        h = np.zeros(len(hashes) - SHINGLE_WORDS + 1, dtype=np.uint64)
+        for i in range(SHINGLE_WORDS):
+            h = h * _OTHER + hashes[i : i + len(h)]
+        h ^= h >> np.uint64(32)
+        h *= _GOLDEN
+        out += [np.unique(h[i : i + n - SHINGLE_WORDS + 1]) for i, n in zip(words.first.tolist(), words.sizes.tolist(), strict=True)]
+    return out
+
+
+def similar_pairs(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which of the sets, which must not be empty, are similar: their intersections as products of matrices over
+    the elements that several of them hold, a share of all elements at a time."""
+    count = len(sets)
     size = np.array([len(x) for x in sets], dtype=np.float64)
-    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    for at in range(0, len(shared), 8192):
-        some = shared[at : at + 8192]
-        marks = np.zeros((len(sets), len(some)), dtype=np.float32)
-        marks[np.fromiter((r for rows in some for r in rows), dtype=np.int64), np.repeat(np.arange(len(some)), [len(r) for r in some])] = 1
-        common += marks @ marks.T
+    flat, of = np.concatenate(sets), np.repeat(np.arange(count), size.astype(np.int64))
+    common = np.zeros((count, count), dtype=np.float32)
+    parts = 1 + len(flat) // 1_000_000
+    for part in range(parts):
+        own = flat % np.uint64(parts) == np.uint64(part)
+        _, column, held = np.unique(flat[own], return_inverse=True, return_counts=True)
+        shared = held[column] > 1
+        row, column = of[own][shared], np.unique(column[shared], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+            i, j = np.searchsorted(column, [at, at + 8192])
+            marks = np.zeros((count, 8192), dtype=np.float32)
+            marks[row[i:j], column[i:j] - at] = 1
+            common += marks @ marks.T
     common = common.astype(np.float64)
     np.fill_diagonal(common, size)
     return common / (size[:, None] + size[None, :] - common) >= threshold
@@ -304,8 +324,10 @@ def link_lines(members: DataFrame, lines_of: DataFrame, threshold: float = THRES
 
     def check(batches):
         for b in batches:
-            good = [jaccard(shingles(words_of(x)), shingles(words_of(y))) >= threshold for x, y in zip(b["line"], b["hub_line"], strict=True)]
-            yield b.loc[good, ["ph", "hub"]]
+            own, hubs = shingle_sets(b["line"].tolist()), shingle_sets(b["hub_line"].tolist())
+            shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(own, hubs, strict=True)])
+            every = np.array([len(x) + len(y) for x, y in zip(own, hubs, strict=True)]) - shared
+            yield b.loc[shared / np.maximum(every, 1) >= threshold, ["ph", "hub"]]
 
     pairs = members.where("ph != hub").select("ph", "hub").distinct()
     with_lines = pairs.join(lines_of, "ph").join(lines_of.select(F.col("ph").alias("hub"), F.col("line").alias("hub_line")), "hub")
@@ -334,7 +356,7 @@ def link_lines(members: DataFrame, lines_of: DataFrame, threshold: float = THRES
     def compare(batches):
         for (_, i, j), part in _runs(batches, by):
             label, ph = part["label"].to_numpy(), part["ph"].to_numpy()
-            good = similar_pairs([shingles(words_of(x)) for x in part["line"]], threshold)
+            good = similar_pairs(shingle_sets(part["line"].tolist()), threshold)
             good &= label[:, None] != label[None, :]
             if i != j:
                 own = part["own"].to_numpy()

@@ -92,9 +92,13 @@ def test_large_group_of_near_copies(spark, monkeypatch):
 
 def test_similar_pairs_are_exact():
     base = passage(70)
-    sets = [P.shingles(P.words_of(t)) for t in (base, *(edited(base, i % 4) for i in range(40)), passage(60), passage(3), base)]
+    lines = [base, *(edited(base, i % 4) for i in range(40)), passage(60), passage(5), base, passage(20_000), "the " * 300]
+    plain, sets = [P.shingles(P.words_of(t)) for t in lines], P.shingle_sets(lines)
+    assert [len(x) for x in sets] == [len(x) for x in plain]
     got = P.similar_pairs(sets, 0.8)
-    assert all(got[a, b] == (P.jaccard(sets[a], sets[b]) >= 0.8) for a in range(len(sets)) for b in range(len(sets)))
+    assert all(got[a, b] == (P.jaccard(plain[a], plain[b]) >= 0.8) for a in range(len(lines)) for b in range(len(lines)))
+    many = [np.unique(np.random.default_rng(i // 2).integers(0, 1 << 63, 400_000 + i % 2, dtype=np.uint64)) for i in range(6)]
+    assert (P.similar_pairs(many, 0.8) == np.kron(np.eye(3), np.ones((2, 2))).astype(bool)).all()
 
 
 def test_recall_of_banding():
