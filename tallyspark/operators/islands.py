@@ -2,7 +2,7 @@
 
 Neighbour rules (gap to the previous element, running end of intervals) are window functions over a
 partition. Anchor rules, which compare with the first element of the open cluster, are not: they are found
-by jumps over the sorted elements of an adjacency cluster. A key's elements are sorted in one place in
+by a fold over the sorted elements of an adjacency cluster. A key's elements are sorted in one place in
 either case, so keys must be chosen so that one of them fits a task.
 """
 
@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,28 +68,22 @@ def adjacency_clusters(df: DataFrame, keys: Sequence[str], value: str, gap: floa
 
 def anchor_clusters(df: DataFrame, keys: Sequence[str], value: str, gap: float) -> DataFrame:
     """(keys, anchor, n): clusters whose members lie within ``gap`` of the cluster's first value."""
-    # a value over ``gap`` from the one before it opens a cluster under either rule, so the anchors of an
-    # adjacency cluster are found apart, by jumps over its sorted values
-    runs = adjacency_clusters(df.where(F.col(value).isNotNull()), keys, value, gap, name="__run").select(*keys, "__run", F.col(value).cast("double").alias("anchor"))
-    kinds = dict(runs.dtypes)
-
-    def jump(group: pd.DataFrame) -> pd.DataFrame:
-        v, at, out = np.sort(group["anchor"].to_numpy()), 0, []
-        while at < len(v):
-            to = int(np.searchsorted(v, v[at] + gap, side="right"))
-            while to < len(v) and v[to] - v[at] <= gap:  # the sum may be rounded down, or up
-                to += 1
-            while v[to - 1] - v[at] > gap:
-                to -= 1
-            out.append((v[at], to - at))
-            at = to
-        made = pd.DataFrame(out, columns=["anchor", "n"])
-        for k in reversed(keys):
-            made.insert(0, k, group[k].iloc[0])
-        return made
-
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "anchor double", "n long"])
-    return runs.groupBy(*keys, "__run").applyInPandas(jump, schema)
+    # a value over ``gap`` from the one before it opens a cluster under either rule, so the fold only has to run
+    # within adjacency clusters; its list grows by a cluster at a time, not by a value
+    runs = adjacency_clusters(df.where(F.col(value).isNotNull()), keys, value, gap, name="__run")
+    sets = runs.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("__v"))
+    none = F.array().cast("array<struct<anchor:double,n:bigint>>")
+    begin = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).cast("long").alias("n"), none.alias("done"))
+
+    def closed(acc):
+        return F.concat(acc["done"], F.array(F.struct(acc["anchor"].alias("anchor"), acc["n"].alias("n"))))
+
+    def step(acc, v):
+        opens = acc["anchor"].isNull() | (v - acc["anchor"] > gap)
+        done = F.when(opens & (acc["n"] > 0), closed(acc)).otherwise(acc["done"])
+        return F.struct(F.when(opens, v).otherwise(acc["anchor"]).alias("anchor"), F.when(opens, F.lit(1).cast("long")).otherwise(acc["n"] + 1).alias("n"), done.alias("done"))
+
+    return sets.select(*keys, F.inline(F.aggregate("__v", begin, step, closed)))
 
 
 def mode_with_ties(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
