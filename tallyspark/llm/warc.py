@@ -6,8 +6,9 @@ the closing blank lines together. Both the address and the header's own SHA-1 ar
 the stored bytes when they are read.
 
 All of it is DataFrame expressions: digests, header text and base32 stay in the JVM. Payload bytes
-are shuffled once, to store them once, and once more to meet their headers; a payload that very many
-records share is joined from plain exchanges, so its headers are split over tasks.
+are shuffled once, to store them once, and once more to meet their headers; the first shuffle's files
+are deleted before the second. A payload that very many records share is joined from plain exchanges,
+so its headers are split over tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import materialize
+from tallyspark.session import shuffles_removed
 
 CRLF = "\r\n"
 # Fixed values of the WARC 1.1 standard.
@@ -101,12 +103,13 @@ def _header(revisit: Column, date: str) -> Column:
 def write_archive(rows: DataFrame, path: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """Store :func:`addressed` rows as two tables, headers and payloads, and return them as read
     back. ``path`` is a folder for both; left out, they go below the shared folder. ``options`` are
-    those of :func:`header_rows`."""
-    headers, payloads = header_rows(rows, **options), payload_rows(rows)
-    if path is None:
-        return materialize(headers, "warc-headers"), materialize(payloads, "warc-payloads")
-    for name, part in (("headers", headers), ("payloads", payloads)):
-        part.write.option("compression", "zstd").parquet(f"{path}/{name}")
+    those of :func:`header_rows`. What was shuffled to write them is deleted."""
+    with shuffles_removed(rows.sparkSession):
+        headers, payloads = header_rows(rows, **options), payload_rows(rows)
+        if path is None:
+            return materialize(headers, "warc-headers"), materialize(payloads, "warc-payloads")
+        for name, part in (("headers", headers), ("payloads", payloads)):
+            part.write.option("compression", "zstd").parquet(f"{path}/{name}")
     return read_archive(rows.sparkSession, path)
 
 

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import time
 
 import pytest
 
@@ -68,3 +69,25 @@ def test_false_headers_are_noticed(pages, old, new):
 
 def test_no_pages(pages):
     assert warc.archive_pages(pages.where("false")).collect() == []
+
+
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (blocks.apply(i).getName() for i in range(blocks.size())) if name.startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("to_path", [False, True])
+def test_writing_leaves_no_shuffle_files(pages, spark, tmp_path, to_path):
+    before = shuffle_files(spark)
+    rows = warc.addressed(pages, "page_id", "url", "html")
+    archive = warc.write_archive(rows, f"file://{tmp_path}/archive" if to_path else None)
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    # shuffles of the reader's own plans stay, and the setting is as it was
+    found = warc.reconstruct(*archive)
+    assert found.count() == found.count() == len(PAGES)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
