@@ -36,7 +36,9 @@ SLICE_CHARS = 2_000_000
 # without U+0130, and common punctuation. Texts of these only take the fast patterns, others are split by the library.
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ƿǍ-ɏ"
 _MARKS = "!-/:-@\\[-`{-~¡£«»¿×÷–—‘’“”…€"
-UNSAFE = re.compile(f"[^\t\n\r {_LETTERS}0-9{_MARKS}]")
+# The lower case of some letters, such as U+0181 and U+023E, lies beyond these; they are not safe either.
+_SAFE_LETTERS = "".join(c for c in map(chr, range(0x250)) if re.fullmatch(f"[{_LETTERS}]{{2}}", c + c.lower()))
+UNSAFE = re.compile(f"[^\t\n\r {_SAFE_LETTERS}0-9{_MARKS}]")
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _WORDS = {
     True: re.compile(f"{_ENDINGS}|[{_LETTERS}]+|[0-9]|[{_MARKS}]+"),

@@ -25,6 +25,14 @@ def test_equals_the_library(name, parts):
     assert OWN[name].decode(ids) == THEIRS[name].decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("name", PATHS)
+def test_every_latin_letter(name):
+    # U+0181 and U+023E are Latin letters whose lower case is not among the safe ones
+    texts = [f"{c} a{c}B" for c in map(chr, range(0x300))]
+    for text, ids in zip(texts, OWN[name].encode_batch(texts), strict=True):
+        assert ids.tolist() == THEIRS[name].encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 @pytest.mark.parametrize("name", PATHS)
 def test_long_words_and_store_resets(name, monkeypatch):
     monkeypatch.setattr(bpe, "STORE_WORDS", 5)
