@@ -9,6 +9,7 @@ import duckdb
 
 from tallyspark.operators import match as M
 from tallyspark.operators import panel as P
+from tallyspark.operators import synthesis as Z
 from tallyspark.plans import panels
 
 BARS = "panel string, bar_id long, pos double, bz double, dia double"
@@ -231,3 +232,39 @@ def test_section_depths_of_parts_without_size(spark, sf_dir, tmp_path):
     duck.execute(f"COPY part TO '{tmp_path}/part.parquet'")
     want = duck.execute(panels.ORACLES["section_depths"]).fetchall()
     assert want and Counter(map(tuple, panels.section_depths(spark, str(tmp_path)).collect())) == Counter(want)
+
+
+DASHES = "panel string, angle_bin int, offset double, lo double, hi double"
+
+
+def plain_lines(rows):
+    groups, out = {}, []
+    for panel, angle, offset, lo, hi in sorted(rows):
+        rails = groups.setdefault((panel, angle), [])
+        if not rails or offset - rails[-1][-1][0] > 40:
+            rails.append([])
+        rails[-1].append((offset, lo, hi))
+    for group, rails in groups.items():
+        for rail in rails:
+            runs = []
+            for lo, hi in sorted(d[1:] for d in rail):
+                if not runs or lo > runs[-1][1] + 60:
+                    runs.append([lo, hi])
+                runs[-1][1] = max(runs[-1][1], hi)
+            out += [(*group, round(sum(d[0] for d in rail) / len(rail), 6), lo, hi) for lo, hi in runs if hi - lo >= 300]
+    return sorted(out)
+
+
+def test_equal_dashes_share_their_line(spark):
+    draw = random.Random(8)
+    rows = []
+    for _ in range(300):  # several hundred rails; a line may begin with any number of equal dashes or offsets
+        lo = float(draw.randrange(0, 5000, 50))
+        rows += [(draw.choice("AB"), draw.randrange(3), float(draw.randrange(0, 9000, 9)), lo, lo + draw.randrange(300, 400, 50))] * draw.randrange(1, 5)
+    rows += [(p, a, o, lo + 500, hi + 400) for p, a, o, lo, hi in rows[::2]]
+    want = plain_lines(rows)
+    assert len(want) > 100
+    for parts in (1, 7):
+        draw.shuffle(rows)
+        got = Z.dashed_lines(spark.createDataFrame(rows, DASHES).repartition(parts), gap=60.0, least=300.0, same=40.0)
+        assert sorted((r.panel, r.angle_bin, round(r.offset, 6), r.lo, r.hi) for r in got.collect()) == want
